@@ -6,19 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import exact_dedup, line_dedup, sharding
+from palisade.llm import exact_dedup, line_dedup, packing, sharding, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_topk": topk.op2_topk,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op6_sharding": sharding.op6_sharding,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op9_packing": packing.op9_packing,
+        "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_topk": topk.OP2_SQL,
         "op4_exact_dedup": exact_dedup.OP4_SQL,
         "op8_line_dedup": line_dedup.OP8_SQL,
+        "op10_warc": warc.OP10_SQL,
     }
