@@ -149,9 +149,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     verified = recipes if shared.isEmpty() else _split(df, recipes, shared, id_col, text_col, digest_bits)
     keyed = verified.select("doc_id", "text_sha256", F.xxhash64("recipe").alias("_h"), "recipe")
     groups = keyed.groupBy("_h", "recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    # coalesce() hides the grouping's partitions, so both sides are dealt anew and a hot group's rows can be split among tasks.
-    groups = groups.where("group_size > 1").select(F.coalesce("_h", F.lit(0)).alias("_h"), "recipe", "keep_id", "group_size")
-    return keyed.join(groups, ["_h", "recipe"], "left").select(
+    # The join's key isn't the grouping's, so both sides are dealt anew and a hot group's rows can be split among tasks.
+    groups = groups.where("group_size > 1").select(F.bitwise_not("_h").alias("_j"), "recipe", "keep_id", "group_size")
+    return keyed.withColumn("_j", F.bitwise_not("_h")).join(groups, ["_j", "recipe"], "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import exact_dedup, line_dedup, packing, sharding, topk, warc
+from palisade.llm import exact_dedup, line_dedup, lm_score, packing, quality, sharding, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_topk": topk.op2_topk,
+        "op3_lm_score": lm_score.op3_lm_score,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op6_sharding": sharding.op6_sharding,
+        "op7_quality": quality.op7_quality,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_packing": packing.op9_packing,
         "op10_warc": warc.op10_warc,
