@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import exact_dedup, line_dedup, lm_score, packing, quality, sharding, topk, warc
+from palisade.llm import exact_dedup, line_dedup, lm_score, ngram_join, packing, quality, sharding, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": ngram_join.op1_ngram_join,
         "op2_topk": topk.op2_topk,
         "op3_lm_score": lm_score.op3_lm_score,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
