@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palisade.llm import exact_dedup, line_dedup, lm_score, ngram_join, packing, quality, sharding, topk, warc
+from palisade.llm import exact_dedup, line_dedup, lm_score, ngram_join, packing, pieces, quality, sharding, topk, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_topk": topk.op2_topk,
         "op3_lm_score": lm_score.op3_lm_score,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_pieces": pieces.op5_pieces,
         "op6_sharding": sharding.op6_sharding,
         "op7_quality": quality.op7_quality,
         "op8_line_dedup": line_dedup.op8_line_dedup,
