@@ -14,6 +14,11 @@ WORD = r"[\p{L}\p{N}]+"
 FUZZY_LENGTH, ENDING, REARRANGED_LENGTH = 5, 3, 4
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value evaluated once: inside lambdas Spark would evaluate it again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def among(word: Column, words: Iterable[str]) -> Column:
     listed = sorted(words)
     return word.isin(*listed) if listed else F.lit(False)
@@ -54,38 +59,43 @@ def names(text: Column, vocabulary: Vocabulary = ENGLISH) -> Column:
     The text falls into words and the gaps before them; a gap says whether its word opens a sentence.
     """
     text = F.coalesce(text, F.lit(""))
-    found, gaps = F.regexp_extract_all(text, F.lit(WORD), 0), F.split(text, WORD, -1)
-    rows = F.zip_with(F.transform(found, lambda w, i: F.struct(w.alias("word"), i.alias("at"))), gaps, lambda w, g: F.struct(w["word"].alias("word"), w["at"].alias("at"), g.alias("gap")))
-    before = lambda r: F.lower(F.get(found, r["at"] - 1))
+
+    def of(found: Column) -> Column:
+        rows = F.zip_with(F.transform(found, lambda w, i: F.struct(w.alias("word"), F.lower(F.get(found, i - 1)).alias("before"))), F.split(text, WORD, -1), lambda w, g: F.struct(w["word"].alias("word"), w["before"].alias("before"), g.alias("gap")))
+        return F.array_distinct(F.transform(F.filter(rows, named), lambda r: F.lower(r["word"])))
 
     def opens(r: Column) -> Column:
         end = F.regexp_extract(r["gap"], "[.?!]", 0)
-        return F.when(end == "", False).when(end != ".", True).otherwise((F.length(before(r)) > 1) & ~among(before(r), ABBREVIATIONS))
+        return F.when(end == "", False).when(end != ".", True).otherwise((F.length(r["before"]) > 1) & ~among(r["before"], ABBREVIATIONS))
 
     def named(r: Column) -> Column:
         low = F.lower(r["word"])
-        return r["word"].isNotNull() & (r["at"] > 0) & (F.length(r["word"]) >= 2) & r["word"].rlike(r"^\p{Lu}") & ~among(low, vocabulary.capitals) & ~(among(low, vocabulary.openers) & opens(r))
+        return r["before"].isNotNull() & r["word"].rlike(r"^\p{Lu}") & (F.length(r["word"]) >= 2) & ~among(low, vocabulary.capitals) & ~(among(low, vocabulary.openers) & opens(r))
 
-    return F.array_distinct(F.transform(F.filter(rows, named), lambda r: F.lower(r["word"])))
+    return let(F.regexp_extract_all(text, F.lit(WORD), 0), of)
 
 
 def spans(text: Column, vocabulary: Vocabulary = ENGLISH) -> Column:
     """Spans between clause punctuation and qualifiers: opener, content words, and whether the span is about the asker."""
     chunks = F.split(F.coalesce(text, F.lit("")), r"[,;:]|\s-\s", -1)
-    marked = F.flatten(F.transform(chunks, lambda c: F.concat(F.array(F.lit("")), words(c))))
-    size = F.size(marked)
-    starts = F.filter(F.sequence(F.lit(1), size), lambda i: (F.element_at(marked, i) == "") | among(F.element_at(marked, i), vocabulary.qualifiers))
-    ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(size + 1))
 
-    def span(start: Column, end: Column) -> Column:
-        inner = F.slice(marked, start + 1, end - start - 1)
+    def of(marked: Column) -> Column:
+        opens = F.filter(F.transform(marked, lambda w, i: F.when((w == "") | among(w, vocabulary.qualifiers), i + 1)), lambda i: i.isNotNull())
+
+        def cut(starts: Column) -> Column:
+            ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(marked) + 1))
+            return F.zip_with(starts, ends, lambda start, end: span(F.element_at(marked, start), F.slice(marked, start + 1, end - start - 1)))
+
+        return F.filter(let(opens, cut), lambda s: F.size(s["words"]) > 0)
+
+    def span(opener: Column, inner: Column) -> Column:
         return F.struct(
-            F.nullif(F.element_at(marked, start), F.lit("")).alias("opener"),
+            F.nullif(opener, F.lit("")).alias("opener"),
             F.filter(inner, lambda w: ~among(w, vocabulary.stopwords)).alias("words"),
             F.exists(inner, lambda w: among(w, FRAMING)).alias("framing"),
         )
 
-    return F.filter(F.zip_with(starts, ends, span), lambda s: F.size(s["words"]) > 0)
+    return let(F.flatten(F.transform(chunks, lambda c: F.concat(F.array(F.lit("")), words(c)))), of)
 
 
 def _rearranged(a: Column, b: Column) -> Column:
@@ -121,33 +131,36 @@ def differs_only_by(a: Column, b: Column, ignored: Iterable[str], tolerance: int
 
 def read(text: Column, vocabulary: Vocabulary = ENGLISH) -> Column:
     """What the rules need to know of a prompt. Computed once for each prompt, before any pairing."""
-    tokens = words(text)
-    marked = lambda which: F.array_sort(F.array_distinct(F.filter(tokens, lambda w: among(w, which))))
-    return F.struct(
-        text.alias("text"),
-        tokens.alias("words"),
-        content(tokens, vocabulary).alias("content"),
-        numbers(text).alias("numbers"),
-        units(tokens, vocabulary).alias("units"),
-        names(text, vocabulary).alias("names"),
-        marked(vocabulary.temporal).alias("moments"),
-        marked(vocabulary.scope).alias("shapes"),
-        (F.coalesce(F.lower(text), F.lit("")).contains("n't") | F.exists(tokens, lambda w: among(w, vocabulary.negation))).alias("negated"),
-        F.exists(tokens, lambda w: among(w, vocabulary.direction)).alias("directed"),
-        spans(text, vocabulary).alias("spans"),
-    )
+    marked = lambda tokens, which: F.array_sort(F.array_distinct(F.filter(tokens, lambda w: among(w, which))))
+
+    def of(tokens: Column) -> Column:
+        return F.struct(
+            text.alias("text"),
+            tokens.alias("words"),
+            content(tokens, vocabulary).alias("content"),
+            numbers(text).alias("numbers"),
+            units(tokens, vocabulary).alias("units"),
+            names(text, vocabulary).alias("names"),
+            marked(tokens, vocabulary.temporal).alias("moments"),
+            marked(tokens, vocabulary.scope).alias("shapes"),
+            (F.coalesce(F.lower(text), F.lit("")).contains("n't") | F.exists(tokens, lambda w: among(w, vocabulary.negation))).alias("negated"),
+            F.exists(tokens, lambda w: among(w, vocabulary.direction)).alias("directed"),
+            spans(text, vocabulary).alias("spans"),
+        )
+
+    return let(words(text), of)
 
 
 def n_grams(text: Column, size: int = 4) -> Column:
     """The distinct character n-grams of the text in lower case, white space collapsed and a blank at both ends."""
     flat = F.concat(F.lit(" "), F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))), F.lit(" "))
-    places = F.sequence(F.lit(1), F.greatest(F.length(flat) - size + 1, F.lit(1)))
-    return F.array_distinct(F.transform(places, lambda i: F.substring(flat, i, F.lit(size))))
+    places = lambda t: F.sequence(F.lit(1), F.greatest(F.length(t) - size + 1, F.lit(1)))
+    return let(flat, lambda t: F.array_distinct(F.transform(places(t), lambda i: F.substring(t, i, F.lit(size)))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    both = F.struct(F.size(F.array_intersect(a, b)).alias("shared"), F.size(F.array_union(a, b)).alias("union"))
+    return let(both, lambda s: F.when(s["union"] == 0, 0.0).otherwise(s["shared"] / s["union"]))
 
 
 _QUESTION = r"(?i)^\s*(who|what|when|where|why|which|whose|whom|how|is|are|was|were|do|does|did|can|could|should|would|will|has|have|had|may|might)\b"
