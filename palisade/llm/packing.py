@@ -55,26 +55,54 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
         self.cores: dict[bytes, bytes] = {}
         self.mark = self.tokenizer.encode(self._MARK, add_special_tokens=False).ids
+        self.letters, self.letter_mark = self._letters_only()
+
+    def _letters_only(self) -> tuple:
+        """The same tokenizer for words of ASCII letters alone: its merges, without the normalising and splitting that
+        leave such words, in lower case, as they are. Where that doesn't hold, the whole tokenizer."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        suffix = self.tokenizer.model.end_of_word_suffix or ""
+        mark = (self.tokenizer.id_to_token(self.mark[0]) or "").removesuffix(suffix) if len(self.mark) == 1 else ""
+        short = Tokenizer(self.tokenizer.model)
+        short.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        for probe in ("a", "the", "strawberries", "zqxjkvb", mark):
+            if not probe or short.encode(probe).ids != self.tokenizer.encode(self._MARK if probe == mark else probe, add_special_tokens=False).ids:
+                return self.tokenizer, self._MARK
+        return short, mark
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
         if len(self.known) > _REMEMBERED:
             self.known, self.cores = {}, {}
         known, cores = self.known, self.cores
-        parts = {w: _core(w) for w in {w for words in split for w in words} if w not in known}
-        fresh = list({x for pair in parts.values() for x in pair if x not in cores})
-        for at in range(0, len(fresh), 50_000):
-            cores.update(zip(fresh[at : at + 50_000], self._tokenise(fresh[at : at + 50_000]), strict=True))
-        for w, (core, tail) in parts.items():
-            known[w] = cores[core] + cores[tail]
-        return [b"".join([known[w] for w in words]) for words in split]
-
-    def _tokenise(self, words: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
+        every = [w for words in split for w in words]
+        found = list(map(known.get, every))
+        missed = [i for i, x in enumerate(found) if x is None]
+        if missed:
+            parts = {w: _core(w) for w in {every[i] for i in missed}}
+            fresh = list({x for pair in parts.values() for x in pair if x not in cores})
+            plain = [x for x in fresh if x.isalpha() and x.isascii()]
+            other = [x for x in fresh if not (x.isalpha() and x.isascii())]
+            for tokenizer, mark, each in ((self.letters, self.letter_mark, plain), (self.tokenizer, self._MARK, other)):
+                for at in range(0, len(each), 50_000):
+                    cores.update(zip(each[at : at + 50_000], self._tokenise(tokenizer, mark, each[at : at + 50_000]), strict=True))
+            for w, (core, tail) in parts.items():
+                known[w] = cores[core] + cores[tail]
+            for i in missed:
+                found[i] = known[every[i]]
+        out, at = [], 0
+        for words in split:
+            out.append(b"".join(found[at : at + len(words)]))
+            at += len(words)
+        return out
+
+    def _tokenise(self, tokenizer, mark: str, words: list[bytes]) -> list[bytes]:
         texts = [w.decode() for w in words]
         alone = len(self.mark) != 1 or any(self._MARK in t for t in texts)
         size = 1 if alone else self._TOGETHER
-        joined = [f" {self._MARK} ".join(texts[i : i + size]) for i in range(0, len(texts), size)]
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        joined = [f" {mark} ".join(texts[i : i + size]) for i in range(0, len(texts), size)]
+        found = [x.ids for x in tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
         if alone:
             return [np.array(ids, "<u4").tobytes() for ids in found]
         ids = np.array([i for x in found for i in (*x, self.mark[0])], "<u4")
