@@ -10,9 +10,9 @@ elements together, where the list of a single frequent n-gram would hold a great
 between light and heavy is the largest size at which enumerating still costs no more rows than scanning.
 
 Equal sets meet on one list for the whole set and need no check. On every other list each set is paired with the
-list's smallest id, first within a batch, which leaves one row a batch of a hot list to shuffle, and then among
-batches; pairs are checked on the sets themselves. Lists that hold sets of different components after that give all their pairs that
-cross components. So a group of near copies is linked by about as many checks as it has members, and no link
+list's smallest id, first within a batch, which leaves one place a batch of a hot list to shuffle, and then among
+batches; pairs are checked on the sets themselves. Sets that share a list but lie in different components after
+that are compared through what they differ from the smallest id in. So no group gives all its pairs, and no link
 between components is missed.
 
 Nulls and empty texts: no elements, no links. A row whose id is null is returned with a null component and linked
@@ -37,7 +37,9 @@ from palisade.llm.components import components
 CHECK_COST = 16
 #: Ratio between the sizes in a band.
 BAND = 1.4
-_ROWS = "n bigint, route bigint, aux bigint, id bigint, near bigint"
+#: Text that gives a bucket's places, and the bounds of how many buckets there are.
+BUCKET_TEXT, LEAST_BUCKETS, MOST_BUCKETS = 32 << 20, 64, 1 << 15
+HEADS, DOCS, SETTLED, COPIES, NAMELESS = range(5)
 _U = np.uint64
 
 
@@ -148,67 +150,129 @@ class Lists:
         return np.concatenate(out) if out else np.zeros(0, _U)
 
 
-def _listed(df: DataFrame, plan: Plan, words: int) -> DataFrame:
-    """Rows (n, route, aux, id, near): with n >= 0 a document and its whole set's list; with n = -1 a place on a list.
+def _listed(df: DataFrame, plan: Plan, words: int, buckets: int) -> DataFrame:
+    """Packed rows (bucket, kind, keys, ids, more), a few for each batch and bucket.
 
-    near is the smallest id of those in this batch that are on the list, if that is another one. Such rows are done
-    and go to a route of their own.
+    HEADS: places on lists, keys are the lists' last 48 bits; DOCS: documents with their whole set's hash, more is the
+    set's size. A batch sends only the smallest id of those that share a list, or a whole set; what it has settled
+    itself, SETTLED places and COPIES, is spread over buckets as it is.
     """
 
     def rows(batch: pa.RecordBatch) -> dict:
         lists = Lists(plan)
-        ids = batch.column(0).to_pylist()
-        order = sorted((i for i in range(len(ids)) if ids[i] is not None), key=lambda i: ids[i])
-        texts = texts_of(batch.column(1))
+        ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
         sets: list = [None] * len(ids)
         for at in range(0, len(ids), 500):
             sets[at : at + 500] = elements(texts[at : at + 500], words)
         head: dict[tuple[int, int], int] = {}
-        doc_rows, keys, owners = [], [], []
-        for i in order:
+        docs, copies, keys, owners = [], [], [], []
+        for i in sorted((i for i in range(len(ids)) if ids[i] is not None), key=lambda i: ids[i]):
             if not len(sets[i]):
-                doc_rows.append((0, ids[i], 0, ids[i], ids[i]))
+                copies.append((ids[i], 0, ids[i]))
                 continue
             whole = lists.whole(sets[i])
             first = head.setdefault(whole, ids[i])
-            doc_rows.append((len(sets[i]), whole[0] - (1 << 63), whole[1] - (1 << 63), ids[i], None if first == ids[i] else first))
-            if first == ids[i]:
-                own = np.unique(lists.of(sets[i]))
-                keys.append(own)
-                owners.append(np.full(len(own), ids[i], np.int64))
-        doc_rows += [(len(sets[i]), 0, 0, None, None) for i in range(len(ids)) if ids[i] is None]
+            if first != ids[i]:
+                copies.append((ids[i], len(sets[i]), first))
+                continue
+            docs.append((*whole, ids[i], len(sets[i])))
+            own = np.unique(lists.of(sets[i]))
+            keys.append(own)
+            owners.append(np.full(len(own), ids[i], np.int64))
+        nameless = [len(s) for i, s in zip(ids, sets, strict=True) if i is None]
         key = np.concatenate(keys) if keys else np.zeros(0, _U)
         owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
         by = np.argsort(key, kind="stable")  # owners stay in ascending order
         key, owner = key[by], owner[by]
         start = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
         lead = owner[np.flatnonzero(start)[np.cumsum(start) - 1]] if len(key) else owner
-        done = lead != owner
-        n, route, aux, own_id, near = zip(*doc_rows, strict=True)
-        cat = lambda a, b, kind=pa.int64(): pa.concat_arrays([pa.array(a, kind), pa.array(b, kind)])
-        # A place that is done carries its list in aux.
-        return {
-            "n": cat(n, np.full(len(key), -1)),
-            "route": cat(route, np.where(done, mix64(key ^ owner.view(_U), 9), key).view(np.int64)),
-            "aux": cat(aux, np.where(done, key.view(np.int64), 0)),
-            "id": cat(own_id, owner),
-            "near": pa.concat_arrays([pa.array(near, pa.int64()), pa.array(lead, pa.int64(), mask=~done)]),
-        }
-
-    return map_batches(df, rows, _ROWS)
+        bucket = ((key >> _U(48)).astype(np.int64) * buckets) >> 16
+        out: list[tuple] = []
+        first = lead == owner
+        for k, (a, b) in _runs(bucket[first]):
+            out.append((k, HEADS, key[first][a:b].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), owner[first][a:b].tobytes(), b""))
+        listed = (bucket << 48) | (key & _U((1 << 48) - 1)).astype(np.int64)
+        spread = int(mix64(np.array([len(key)], _U), ids[0] or 0 if ids else 0)[0] % _U(buckets))
+        if not first.all():
+            out.append((spread, SETTLED, listed[~first].tobytes(), owner[~first].tobytes(), lead[~first].tobytes()))
+        if copies:
+            c = np.array(copies, np.int64)
+            out.append((spread, COPIES, c[:, 2].tobytes(), c[:, 0].tobytes(), c[:, 1].tobytes()))
+        if nameless:
+            out.append((spread, NAMELESS, b"", b"", np.array(nameless, np.int64).tobytes()))
+        if docs:
+            h = np.array([d[:2] for d in docs], _U)
+            own, size = np.array([d[2] for d in docs], np.int64), np.array([d[3] for d in docs], np.int64)
+            where = ((h[:, 0] >> _U(48)).astype(np.int64) * buckets) >> 16
+            by = np.argsort(where, kind="stable")
+            for k, (a, b) in _runs(where[by]):
+                out.append((k, DOCS, h[by][a:b].tobytes(), own[by][a:b].tobytes(), size[by][a:b].tobytes()))
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        return {n: pa.array(list(c), t) for n, c, t in zip(("bucket", "kind", "keys", "ids", "more"), cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)}
+
+    return map_batches(df, rows, "bucket int, kind int, keys binary, ids binary, more binary")
+
+
+def _runs(sorted_: np.ndarray):
+    """Each value of a sorted array with its first and last place."""
+    if len(sorted_):
+        starts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(sorted_)], strict=True):
+            yield int(sorted_[a]), (a, b)
 
 
 def _met(listed: DataFrame) -> DataFrame:
-    """Documents, and the places on lists of two or more: list, id, and the id it is paired with."""
-    own = Window.partitionBy("route", "aux")
-    lead = F.coalesce("near", F.min("id").over(own))
-    met = listed.withColumn("lead", lead).where((F.col("n") >= 0) | (F.col("lead") != F.col("id")))
-    key = F.when(F.col("n") >= 0, F.lit(None)).when(F.col("near").isNull(), F.col("route")).otherwise(F.col("aux"))
-    return met.select("n", key.alias("list"), "id", "lead")
+    """Documents (n >= 0), and the places on lists of two or more (n = -1): list, id, and the id it is paired with.
 
+    A bucket holds about as many places at any input size; a place is 14 bytes.
+    """
 
-def _linked(pairs: DataFrame, docs: DataFrame, plan: Plan, words: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, by the sets themselves."""
+    def meet(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        bucket, kinds = key[0].as_py(), rows.column("kind").to_numpy()
+        cat = lambda kind, name: b"".join(x for k, x in zip(kinds, rows.column(name).to_pylist(), strict=True) if k == kind)
+        ints = lambda kind, name: np.frombuffer(cat(kind, name), np.int64)
+        parts = []  # n, list, id, lead, settled
+
+        wide = np.zeros((len(ints(HEADS, "ids")), 8), np.uint8)
+        wide[:, :6] = np.frombuffer(cat(HEADS, "keys"), np.uint8).reshape(-1, 6)
+        k, ids = wide.view(np.int64).ravel(), ints(HEADS, "ids")
+        order = np.lexsort((ids, k))
+        k, ids = k[order], ids[order]
+        starts = np.concatenate([[True], k[1:] != k[:-1]]) if len(k) else np.zeros(0, bool)
+        lead = ids[np.flatnonzero(starts)[np.cumsum(starts) - 1]] if len(k) else ids
+        on = lead != ids
+        parts.append((np.full(on.sum(), -1), (bucket << 48) | k[on], ids[on], lead[on], np.zeros(on.sum(), bool)))
+
+        h, ids, n = np.frombuffer(cat(DOCS, "keys"), _U).reshape(-1, 2), ints(DOCS, "ids"), ints(DOCS, "more")
+        order = np.lexsort((ids, h[:, 1], h[:, 0]))
+        h, ids, n = h[order], ids[order], n[order]
+        starts = np.concatenate([[True], (h[1:] != h[:-1]).any(1)]) if len(h) else np.zeros(0, bool)
+        lead = ids[np.flatnonzero(starts)[np.cumsum(starts) - 1]] if len(h) else ids
+        parts.append((n, np.zeros(len(n), np.int64), ids, lead, np.zeros(len(n), bool)))
+
+        ids = ints(SETTLED, "ids")
+        parts.append((np.full(len(ids), -1), ints(SETTLED, "keys"), ids, ints(SETTLED, "more"), np.ones(len(ids), bool)))
+        ids = ints(COPIES, "ids")
+        parts.append((ints(COPIES, "more"), np.zeros(len(ids), np.int64), ids, ints(COPIES, "keys"), np.zeros(len(ids), bool)))
+        out = [np.concatenate(c) for c in zip(*parts, strict=True)]
+        named = pa.table([pa.array(c) for c in out], names=["n", "list", "id", "lead", "settled"])
+        bare = ints(NAMELESS, "more")
+        null = pa.nulls(len(bare), pa.int64())
+        return pa.concat_tables([named, pa.table([pa.array(bare), null, null, null, pa.array(np.zeros(len(bare), bool))], names=named.column_names)])
+
+    return listed.groupBy("bucket").applyInArrow(meet, "n bigint, list bigint, id bigint, lead bigint, settled boolean")
+
+
+def _places(met: DataFrame) -> DataFrame:
+    """Places with their list's smallest id of all. What a batch has settled follows that batch's smallest id on the list."""
+    heads, settled = met.where("n < 0 AND NOT settled").select("list", "id", "lead"), met.where("n < 0 AND settled").select("list", "id", F.col("lead").alias("near"))
+    tops = heads.select("list", F.col("id").alias("near"), F.col("lead").alias("top"))
+    moved = settled.join(tops, ["list", "near"], "left").select("list", "id", F.coalesce("top", "near").alias("lead"))
+    return heads.unionByName(moved)
+
+
+def _grams(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The sets of all ids in pairs."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("_want")).distinct()
     texts = docs.join(wanted, F.col("id") == F.col("_want"), "left_semi")
 
@@ -220,14 +284,23 @@ def _linked(pairs: DataFrame, docs: DataFrame, plan: Plan, words: int) -> DataFr
         flat = np.concatenate(found).view(np.int64)
         return {"id": batch.column(0), "grams": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
 
-    grams = materialize(map_batches(texts.select("id", "text"), sets, "id bigint, grams array<bigint>"), "grams")
+    return map_batches(texts.select("id", "text"), sets, "id bigint, grams array<bigint>")
+
+
+def _sets_of(pairs: DataFrame, grams: DataFrame) -> DataFrame:
     both = pairs.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
-    both = both.join(grams.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
-    # Sizes first: a pair that can't be similar costs no intersection.
+    return both.join(grams.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
+
+
+def _checked(pairs: DataFrame, grams: DataFrame, plan: Plan) -> DataFrame:
+    """pairs with the sizes n and m of their sets, how many elements are in one only, and whether they are linked."""
     n, m = F.size("x").cast("long"), F.size("y").cast("long")
-    both = both.where((n * plan.q >= m * plan.p) & (m * plan.q >= n * plan.p))
-    shared = F.size(F.array_intersect("x", "y")).cast("long")
-    return both.where(shared * (plan.p + plan.q) >= (n + m) * plan.p).select("a", "b").distinct()
+    sized = _sets_of(pairs, grams).select("a", "b", "x", "y", n.alias("n"), m.alias("m"))
+    # A pair whose sizes alone rule a link out costs no intersection.
+    near = (F.col("n") * plan.q >= F.col("m") * plan.p) & (F.col("m") * plan.q >= F.col("n") * plan.p)
+    apart = F.when(near, F.col("n") + F.col("m") - 2 * F.size(F.array_intersect("x", "y")))
+    linked = F.coalesce(F.col("apart") * (plan.p + plan.q) <= (F.col("n") + F.col("m")) * (plan.q - plan.p), F.lit(False))
+    return sized.withColumn("apart", apart).select("a", "b", "n", "m", "apart", linked.alias("linked"))
 
 
 def ngram_join(df: DataFrame, words: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,34 +308,79 @@ def ngram_join(df: DataFrame, words: int = 5, p: int = 80, q: int = 100, id_col:
     prepare(df.sparkSession)
     plan = Plan(p, q)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    met = materialize(_met(_listed(docs, plan, words)), "lists")
-    places = met.where("n < 0").select("list", "id", "lead")
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    met = materialize(_met(_listed(docs, plan, words, min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-size // BUCKET_TEXT))))), "lists")
     equal = met.where("n > 0 AND id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b"))
-    pairs = places.select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct().join(equal, ["a", "b"], "left_anti")
-    pairs = materialize(pairs, "pairs")
-    links = materialize(equal.unionByName(_linked(pairs, docs, plan, words)), "linked")
+    pairs = _places(met).select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
+    pairs = materialize(pairs.join(equal, ["a", "b"], "left_anti"), "pairs")
+    grams = materialize(_grams(pairs, docs, words), "grams")
+    checked = materialize(_checked(pairs, grams, plan), "checked")
+    links = equal.unionByName(checked.where("linked").select("a", "b"))
     found = materialize(components(links), "components")
-    crossing = materialize(_crossing(places, found, pairs), "crossing")
-    if not crossing.isEmpty():
-        more = materialize(_linked(crossing, docs, plan, words), "linked-more")
-        if not more.isEmpty():
-            found = materialize(components(links.unionByName(more)), "components")
+    more = _crossing(checked, found, grams, plan)
+    if more is not None:
+        found = materialize(components(links.unionByName(more)), "components")
     rows = met.where("n >= 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"))
     return rows.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _crossing(places: DataFrame, found: DataFrame, checked: DataFrame) -> DataFrame:
-    """The pairs that share a list, lie in different components and haven't been checked."""
-    on = places.select("list", "id").unionByName(places.select("list", F.col("lead").alias("id"))).distinct()
-    on = on.join(found, "id", "left").select("list", "id", F.coalesce("component", "id").alias("component"))
-    on = materialize(on, "places")
-    # Of a list of two, the only pair has been checked.
-    open_ = on.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
-    open_ = open_.where("lo <> hi AND n > 2").select("list")
-    left = on.join(open_, "list", "left_semi")
-    right = left.select("list", F.col("id").alias("b"), F.col("component").alias("other"))
-    cross = left.withColumnRenamed("id", "a").join(right, "list").where("component <> other AND a > b")
-    return cross.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti")
+def _crossing(checked: DataFrame, found: DataFrame, grams: DataFrame, plan: Plan) -> DataFrame | None:
+    """Links between different components among the sets that share a list but not a link to its smallest id, the pivot.
+
+    What sets X and Y differ in follows from what each differs from the pivot in: |X ^ Y| = d + e - 2 |D & E|, with
+    D and E those differences and d and e their sizes. So X and Y are linked only if D and E share enough elements,
+    and that is a join of small sets whose elements, one document's own changes, are mostly rare: by prefixes of the
+    elements in order of their frequency within the pivot's group. A group of near copies that are all a little too
+    far apart thus costs about its changes, not its pairs.
+    """
+    t, c = plan.p + plan.q, plan.q - plan.p  # linked: |X ^ Y| * t <= (n + m) * c
+    rows = checked.where("apart IS NOT NULL").join(found.withColumnRenamed("id", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    groups = rows.groupBy("b").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    open_ = groups.where("lo <> hi").select(F.bitwise_not("b").alias("_j"))
+    rows = rows.withColumn("_j", F.bitwise_not("b")).join(open_, "_j", "left_semi").drop("_j")
+    rows = materialize(rows.withColumn("slack", F.col("apart") * t - F.col("n") * c), "open")
+    if rows.isEmpty():
+        return None
+    least = rows.groupBy("b").agg(F.min(F.when(~F.col("linked"), F.col("slack"))).alias("far"), F.min(F.when(F.col("linked"), F.struct("slack", "a"))).alias("near"), F.max("n").alias("most"))
+    least = least.select(F.bitwise_not("b").alias("_j"), "far", "near", "most")
+    rows = rows.withColumn("_j", F.bitwise_not("b")).join(least, "_j").drop("_j")
+    need = lambda s: F.ceil(s / F.lit(2 * t))
+    # Both slacks together at 0 or below: linked whatever the differences share. The least slack stands for all.
+    sure = rows.where(~F.col("linked") & (F.col("slack") + F.col("near.slack") <= 0)).select("a", F.col("near.a").alias("b"))
+    # Two sets are at least as far apart as their distances from the pivot differ: a set needs another component's set
+    # whose distance is near enough to its own, or it is out.
+    banded = rows.withColumn("band", F.floor(F.col("apart") * t / F.greatest(F.col("most") * (2 * c), F.lit(1))))
+    beside = banded.select("b", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "component")
+    beside = beside.groupBy("b", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("b", "band")
+    rows = materialize(banded.join(beside, ["b", "band"], "left_semi").drop("band", "most"), "within-reach")
+    differing = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
+    each = _sets_of(rows, grams).select("a", "b", "n", "component", "slack", "linked", "apart", "far", "near", F.explode(differing).alias("element"))
+    each = materialize(each, "differences")
+    often = each.groupBy("b", "element").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    # Elements of one set only can't be shared: they count for the prefix, and come first, but need no row.
+    shared = each.join(often, ["b", "element"])
+    rank = F.row_number().over(Window.partitionBy("b", "a").orderBy("often", "element"))
+    kept = shared.withColumn("place", F.col("apart") - F.count(F.lit(1)).over(Window.partitionBy("b", "a")) + rank)
+    kept = materialize(kept.select("a", "b", "n", "component", "slack", "linked", "apart", "element", "place", need(F.col("slack") + F.col("far")).alias("to_far"), need(F.col("slack") + F.col("near.slack")).alias("to_near")), "shared-differences")
+    prefix = lambda side, o: kept.where(side & (F.col("place") <= F.col("apart") - F.greatest(F.col(o), F.lit(1)) + 1))
+    left = lambda df: df.select("b", "element", *(F.col(k).alias(f"l_{k}") for k in ("a", "n", "component", "slack", "apart", "place")))
+    right = lambda df: df.select("b", "element", *(F.col(k).alias(f"r_{k}") for k in ("a", "n", "component", "slack", "apart", "place")))
+    far, near = ~F.col("linked"), F.col("linked")
+    among = left(prefix(far, "to_far")).join(right(prefix(far, "to_far")), ["b", "element"]).where("l_a < r_a")
+    across = left(prefix(far, "to_near")).join(right(prefix(near, "to_far")), ["b", "element"])
+
+    def possible(df: DataFrame) -> DataFrame:
+        wanted = need(F.col("l_slack") + F.col("r_slack"))
+        room = F.least(F.col("l_apart") - F.col("l_place"), F.col("r_apart") - F.col("r_place")) + 1
+        close = F.abs(F.col("l_apart") - F.col("r_apart")) * t <= (F.col("l_n") + F.col("r_n")) * c
+        kept = df.where((F.col("l_component") != F.col("r_component")) & close & (room >= wanted))
+        return kept.select("b", "l_a", "r_a", wanted.alias("wanted")).distinct()
+
+    wanted = materialize(possible(among).unionByName(possible(across)), "wanted")
+    sets = kept.groupBy("b", "a").agg(F.collect_list("element").alias("elements"))
+    tested = wanted.join(sets.select("b", F.col("a").alias("l_a"), F.col("elements").alias("l")), ["b", "l_a"]).join(sets.select("b", F.col("a").alias("r_a"), F.col("elements").alias("r")), ["b", "r_a"])
+    hits = tested.where(F.size(F.array_intersect("l", "r")) >= F.col("wanted")).select(F.col("l_a").alias("a"), F.col("r_a").alias("b"))
+    return materialize(sure.unionByName(hits).distinct(), "linked-more")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
