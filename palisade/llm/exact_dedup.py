@@ -135,7 +135,9 @@ def _split(df: DataFrame, recipes: DataFrame, shared: DataFrame, id_col: str, te
     # Rows that repeat a doc_id with different texts differ in the text's sha256; those that repeat it whole are one here and counted from recipes.
     lists = identified.distinct().groupBy("doc_id", "text_sha256").agg(F.array_sort(F.collect_set(F.struct("at", "digest", "rank"))).alias("l"))
     flat = lists.select("doc_id", "text_sha256", F.flatten(F.transform("l", lambda x: F.array(x["digest"], x["rank"]))).alias("ids"))
-    return recipes.drop("recipe").join(flat, F.col("doc_id").eqNullSafe(flat["doc_id"]) & (recipes["text_sha256"] == flat["text_sha256"])).select(recipes["doc_id"], recipes["text_sha256"], flat["ids"].alias("recipe"))
+    named = flat.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "ids")
+    joined = recipes.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_sha256") == F.col("_sha")))
+    return joined.select("doc_id", F.col("ids").alias("recipe"), "text_sha256")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_bits: int = 64) -> DataFrame:

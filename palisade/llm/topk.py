@@ -105,7 +105,7 @@ def _tiles(k: int):
 
 def _merged(hits: DataFrame, keys: list[str], k: int) -> DataFrame:
     """The k best hits of each key: a bounded list, since a key has k rows from each of _FAN parts at most."""
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id", "score"))), 1, k)
+    top = F.slice(F.array_sort(F.collect_list(F.struct(F.bitwise_not("score").alias("less"), "vec_id", "score"))), 1, k)
     return hits.groupBy(*keys).agg(top.alias("top"))
 
 
