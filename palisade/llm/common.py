@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: The white space of every contract here: space, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 #: Bytes of one Arrow batch between the JVM and a Python worker; long texts make batches of few rows.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 _prepared: weakref.WeakSet = weakref.WeakSet()
 _written: list[tuple[SparkSession, str]] = []

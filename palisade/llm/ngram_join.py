@@ -40,6 +40,8 @@ BAND = 1.4
 #: Text that gives a bucket's places, and the bounds of how many buckets there are.
 BUCKET_TEXT, LEAST_BUCKETS, MOST_BUCKETS = 32 << 20, 64, 1 << 15
 HEADS, DOCS, SETTLED, COPIES, NAMELESS = range(5)
+#: Size of the filter of ids whose sets are compared: 1 MiB.
+FILTER_BITS = 1 << 23
 _U = np.uint64
 
 
@@ -162,8 +164,8 @@ def _listed(df: DataFrame, plan: Plan, words: int, buckets: int) -> DataFrame:
         lists = Lists(plan)
         ids, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
         sets: list = [None] * len(ids)
-        for at in range(0, len(ids), 500):
-            sets[at : at + 500] = elements(texts[at : at + 500], words)
+        for at in range(0, len(ids), 200):
+            sets[at : at + 200] = elements(texts[at : at + 200], words)
         head: dict[tuple[int, int], int] = {}
         docs, copies, keys, owners = [], [], [], []
         for i in sorted((i for i in range(len(ids)) if ids[i] is not None), key=lambda i: ids[i]):
@@ -271,20 +273,37 @@ def _places(met: DataFrame) -> DataFrame:
     return heads.unionByName(moved)
 
 
-def _grams(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The sets of all ids in pairs."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_want")).distinct()
-    texts = docs.join(wanted, F.col("id") == F.col("_want"), "left_semi")
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A bit for each of FILTER_BITS hashes of ids; FILTER_BITS / 8 bytes at any input size. Set bits may be others' too."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = ids.select(F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int")).alias("bit"))
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
+        out[r["word"]] = r["bits"]
+    return out
 
-    def sets(batch: pa.RecordBatch) -> dict:
+
+def _grams(pairs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The sets of all ids in pairs. Texts stay where they are: a filter of fixed size leaves out most others, the join the rest."""
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted-ids")
+    bits = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+
+    def sets(batch: pa.RecordBatch) -> dict | None:
+        at = batch.column(2).to_numpy()
+        keep = np.flatnonzero((bits.value[at >> 6] >> (at & 63)) & 1)
+        if not len(keep):
+            return None
+        batch = batch.take(pa.array(keep))
         texts, found = texts_of(batch.column(1)), []
-        for at in range(0, len(texts), 500):
-            found += elements(texts[at : at + 500], words)
+        for i in range(0, len(texts), 200):
+            found += elements(texts[i : i + 200], words)
         ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
         flat = np.concatenate(found).view(np.int64)
         return {"id": batch.column(0), "grams": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))}
 
-    return map_batches(texts.select("id", "text"), sets, "id bigint, grams array<bigint>")
+    near = map_batches(docs.where("id IS NOT NULL").select("id", "text", bit.alias("bit")), sets, "id bigint, grams array<bigint>")
+    return near.join(wanted, "id", "left_semi")
 
 
 def _sets_of(pairs: DataFrame, grams: DataFrame) -> DataFrame:
@@ -296,10 +315,8 @@ def _checked(pairs: DataFrame, grams: DataFrame, plan: Plan) -> DataFrame:
     """pairs with the sizes n and m of their sets, how many elements are in one only, and whether they are linked."""
     n, m = F.size("x").cast("long"), F.size("y").cast("long")
     sized = _sets_of(pairs, grams).select("a", "b", "x", "y", n.alias("n"), m.alias("m"))
-    # A pair whose sizes alone rule a link out costs no intersection.
-    near = (F.col("n") * plan.q >= F.col("m") * plan.p) & (F.col("m") * plan.q >= F.col("n") * plan.p)
-    apart = F.when(near, F.col("n") + F.col("m") - 2 * F.size(F.array_intersect("x", "y")))
-    linked = F.coalesce(F.col("apart") * (plan.p + plan.q) <= (F.col("n") + F.col("m")) * (plan.q - plan.p), F.lit(False))
+    apart = F.col("n") + F.col("m") - 2 * F.size(F.array_intersect("x", "y"))
+    linked = F.col("apart") * (plan.p + plan.q) <= (F.col("n") + F.col("m")) * (plan.q - plan.p)
     return sized.withColumn("apart", apart).select("a", "b", "n", "m", "apart", linked.alias("linked"))
 
 
@@ -334,35 +351,41 @@ def _crossing(checked: DataFrame, found: DataFrame, grams: DataFrame, plan: Plan
     far apart thus costs about its changes, not its pairs.
     """
     t, c = plan.p + plan.q, plan.q - plan.p  # linked: |X ^ Y| * t <= (n + m) * c
-    rows = checked.where("apart IS NOT NULL").join(found.withColumnRenamed("id", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    rows = checked.join(found.withColumnRenamed("id", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
     groups = rows.groupBy("b").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
     open_ = groups.where("lo <> hi").select(F.bitwise_not("b").alias("_j"))
     rows = rows.withColumn("_j", F.bitwise_not("b")).join(open_, "_j", "left_semi").drop("_j")
     rows = materialize(rows.withColumn("slack", F.col("apart") * t - F.col("n") * c), "open")
     if rows.isEmpty():
         return None
-    least = rows.groupBy("b").agg(F.min(F.when(~F.col("linked"), F.col("slack"))).alias("far"), F.min(F.when(F.col("linked"), F.struct("slack", "a"))).alias("near"), F.max("n").alias("most"))
-    least = least.select(F.bitwise_not("b").alias("_j"), "far", "near", "most")
+    least = rows.groupBy("b").agg(F.min(F.when(~F.col("linked"), F.col("slack"))).alias("far"), F.min(F.when(F.col("linked"), F.struct("slack", "a"))).alias("near"), F.max("n").alias("most"), F.max(F.when(F.col("linked"), F.col("apart"))).alias("near_apart"))
+    least = least.select(F.bitwise_not("b").alias("_j"), "far", "near", "most", "near_apart")
     rows = rows.withColumn("_j", F.bitwise_not("b")).join(least, "_j").drop("_j")
     need = lambda s: F.ceil(s / F.lit(2 * t))
     # Both slacks together at 0 or below: linked whatever the differences share. The least slack stands for all.
     sure = rows.where(~F.col("linked") & (F.col("slack") + F.col("near.slack") <= 0)).select("a", F.col("near.a").alias("b"))
-    # Two sets are at least as far apart as their distances from the pivot differ: a set needs another component's set
-    # whose distance is near enough to its own, or it is out.
-    banded = rows.withColumn("band", F.floor(F.col("apart") * t / F.greatest(F.col("most") * (2 * c), F.lit(1))))
-    beside = banded.select("b", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "component")
-    beside = beside.groupBy("b", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("b", "band")
-    rows = materialize(banded.join(beside, ["b", "band"], "left_semi").drop("band", "most"), "within-reach")
-    differing = F.concat(F.array_except("x", "y"), F.array_except("y", "x"))
-    each = _sets_of(rows, grams).select("a", "b", "n", "component", "slack", "linked", "apart", "far", "near", F.explode(differing).alias("element"))
-    each = materialize(each, "differences")
-    often = each.groupBy("b", "element").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    # Elements of one set only can't be shared: they count for the prefix, and come first, but need no row.
-    shared = each.join(often, ["b", "element"])
-    rank = F.row_number().over(Window.partitionBy("b", "a").orderBy("often", "element"))
-    kept = shared.withColumn("place", F.col("apart") - F.count(F.lit(1)).over(Window.partitionBy("b", "a")) + rank)
-    kept = materialize(kept.select("a", "b", "n", "component", "slack", "linked", "apart", "element", "place", need(F.col("slack") + F.col("far")).alias("to_far"), need(F.col("slack") + F.col("near.slack")).alias("to_near")), "shared-differences")
-    prefix = lambda side, o: kept.where(side & (F.col("place") <= F.col("apart") - F.greatest(F.col(o), F.lit(1)) + 1))
+    # A partner is at most as much nearer to the pivot as the two may differ: that bounds its slack from below.
+    bound = F.col("apart") * t - (F.col("n") + 2 * F.col("most")) * c
+    least_shared = lambda s: F.greatest(need(F.col("slack") + F.greatest(F.col(s), bound)), F.lit(1))
+    reached = (F.col("apart") - F.col("near_apart")) * t <= (F.col("n") + F.col("most")) * c
+    rows = rows.select("a", "b", "n", "component", "slack", "linked", "apart", least_shared("far").alias("to_far"), F.when(F.col("linked") | reached, least_shared("near.slack")).alias("to_near"))
+    # Elements the pivot lacks come first, then those it has: few sets lack the same ones, so prefixes seldom meet.
+    length = F.col("apart") - F.when(F.col("linked"), F.col("to_far")).otherwise(F.least("to_far", "to_near")) + 1
+    both = _sets_of(rows.where(length > 0), grams).withColumns({"own": F.array_sort(F.array_except("x", "y")), "lacks": F.array_except("y", "x")})
+    taken = F.slice("own", 1, F.greatest(F.least(length, F.size("own")), F.lit(0)).cast("int"))
+    listed = F.concat(
+        F.transform(taken, lambda e, i: F.struct(e.alias("element"), (i + 1).cast("long").alias("place"))),
+        F.transform(F.when(length > F.size("own"), F.col("lacks")).otherwise(F.array().cast("array<bigint>")), lambda e: F.struct(e.alias("element"), F.lit(0).cast("long").alias("place"))),
+    )
+    each = both.select("a", "b", "n", "component", "slack", "linked", "apart", "to_far", "to_near", F.size("own").alias("n_own"), F.explode(listed).alias("e"))
+    each = materialize(each.select("a", "b", "n", "component", "slack", "linked", "apart", "to_far", "to_near", "n_own", "e.element", "e.place"), "differences")
+    often = each.groupBy("b", "element").agg(F.count(F.lit(1)).alias("often"))
+    # Rarest first among those it has; an element of one set only counts for the places and needs no row after that.
+    lacking = each.where("place = 0").join(often, ["b", "element"])
+    ranked = lacking.withColumn("place", F.col("n_own") + F.row_number().over(Window.partitionBy("b", "a").orderBy("often", "element")))
+    kept = ranked.where("often > 1").unionByName(each.where("place > 0").join(often.where("often > 1"), ["b", "element"]))
+    kept = materialize(kept.drop("n_own", "often"), "shared-differences")
+    prefix = lambda side, o: kept.where(side & (F.col("place") <= F.col("apart") - F.col(o) + 1))
     left = lambda df: df.select("b", "element", *(F.col(k).alias(f"l_{k}") for k in ("a", "n", "component", "slack", "apart", "place")))
     right = lambda df: df.select("b", "element", *(F.col(k).alias(f"r_{k}") for k in ("a", "n", "component", "slack", "apart", "place")))
     far, near = ~F.col("linked"), F.col("linked")
@@ -377,9 +400,8 @@ def _crossing(checked: DataFrame, found: DataFrame, grams: DataFrame, plan: Plan
         return kept.select("b", "l_a", "r_a", wanted.alias("wanted")).distinct()
 
     wanted = materialize(possible(among).unionByName(possible(across)), "wanted")
-    sets = kept.groupBy("b", "a").agg(F.collect_list("element").alias("elements"))
-    tested = wanted.join(sets.select("b", F.col("a").alias("l_a"), F.col("elements").alias("l")), ["b", "l_a"]).join(sets.select("b", F.col("a").alias("r_a"), F.col("elements").alias("r")), ["b", "r_a"])
-    hits = tested.where(F.size(F.array_intersect("l", "r")) >= F.col("wanted")).select(F.col("l_a").alias("a"), F.col("r_a").alias("b"))
+    pairs = wanted.select(F.col("l_a").alias("a"), F.col("r_a").alias("b")).distinct()
+    hits = _checked(pairs, grams, plan).where("linked").select("a", "b")
     return materialize(sure.unionByName(hits).distinct(), "linked-more")
 
 

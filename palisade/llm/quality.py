@@ -232,8 +232,8 @@ def score_quality(docs: DataFrame, model: LineField | float, extra: list[str], t
 
     def score(batch: pa.RecordBatch) -> dict:
         out, texts = [], texts_of(batch.column(0))
-        for at in range(0, len(texts), 1000):
-            part = texts[at : at + 1000]
+        for at in range(0, len(texts), 250):
+            part = texts[at : at + 250]
             out.append(np.full(len(part), model) if isinstance(model, float) else model.score(*line_features(part)))
         scores = np.concatenate(out)
         kept = {name: batch.column(i + 1) for i, name in enumerate(extra)}
