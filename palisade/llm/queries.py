@@ -28,6 +28,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_topk": topk.OP2_SQL,
         "op4_exact_dedup": exact_dedup.OP4_SQL,
+        "op6_sharding": sharding.OP6_SQL,
         "op8_line_dedup": line_dedup.OP8_SQL,
         "op10_warc": warc.OP10_SQL,
     }

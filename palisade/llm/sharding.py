@@ -123,3 +123,25 @@ def shard_by_bytes(df: DataFrame, shards: int = 40, id_col: str = "doc_id", text
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(table(spark, sf_dir, "documents"), shards=40)
+
+
+#: The CRC-32's table is made from its polynomial; texts are taken byte by byte.
+OP6_SQL = """
+WITH tab AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END)) AS t
+), b AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST((instr('123456789ABCDEF', h[1:1])) * 16 + instr('123456789ABCDEF', h[2:2]) AS BIGINT)) AS bytes
+  FROM documents
+), r AS (
+  SELECT doc_id, len(bytes) + 16 AS size, md5(text) AS key, coalesce(doc_id, -9223372036854775808) AS tie,
+         xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) AS text_crc32
+  FROM b, tab
+), p AS (
+  SELECT *, sum(size) OVER (ORDER BY key, tie, size ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM r
+), s AS (
+  SELECT *, CAST(least(before * 40 // total, 39) AS INTEGER) AS shard FROM p
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY key, tie, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s
+"""
