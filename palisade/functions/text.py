@@ -20,8 +20,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def among(word: Column, words: Iterable[str]) -> Column:
+    """Whether the word is listed. The list is one literal, so that plans stay small."""
     listed = sorted(words)
-    return word.isin(*listed) if listed else F.lit(False)
+    return F.array_contains(F.split(F.lit(" ".join(listed)), " "), word) if listed else F.lit(False)
+
+
+def table(pairs: dict[str, str]) -> Column:
+    """A map as one literal; neither side may hold a comma, a colon or a blank."""
+    return F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in sorted(pairs.items()))), F.lit(","), F.lit(":"))
 
 
 def words(text: Column) -> Column:
@@ -40,17 +46,17 @@ def numbers(text: Column) -> Column:
     return F.array_sort(F.transform(found, lambda n: F.replace(F.regexp_replace(n, r",(\d{3})(?!\d)", "$1"), F.lit(","), F.lit("."))))
 
 
-def units(tokens: Column, vocabulary: Vocabulary = ENGLISH) -> Column:
-    """The units of measure: canonical name and dimension of each, once."""
-    struct = lambda w: F.element_at(_unit_map(vocabulary), w)
-    return F.array_distinct(F.transform(F.filter(tokens, lambda w: among(w, vocabulary.units)), struct))
+def unit_names(vocabulary: Vocabulary) -> Column:
+    return table({w: name for w, (name, _) in vocabulary.units.items()})
 
 
-def _unit_map(vocabulary: Vocabulary) -> Column:
+def units(tokens: Column, vocabulary: Vocabulary = ENGLISH) -> Column:
+    """The units of measure: canonical name and dimension of each, once."""
     if not vocabulary.units:
-        return F.create_map(F.lit(""), F.struct(F.lit("").alias("name"), F.lit("").alias("dimension")))
-    pairs = [x for w, (name, kind) in vocabulary.units.items() for x in (F.lit(w), F.struct(F.lit(name).alias("name"), F.lit(kind).alias("dimension")))]
-    return F.create_map(*pairs)
+        return F.array().cast("array<struct<name: string, dimension: string>>")
+    kinds = table({w: kind for w, (_, kind) in vocabulary.units.items()})
+    struct = lambda w: F.struct(F.element_at(unit_names(vocabulary), w).alias("name"), F.element_at(kinds, w).alias("dimension"))
+    return F.array_distinct(F.transform(F.filter(tokens, lambda w: among(w, vocabulary.units)), struct))
 
 
 def names(text: Column, vocabulary: Vocabulary = ENGLISH) -> Column:

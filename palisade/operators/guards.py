@@ -58,12 +58,12 @@ def antonym(vocabulary: Vocabulary = ENGLISH) -> Guard:
         opposite.setdefault(b, []).append(a)
     if not opposite:
         return Guard("antonym", lambda q, c, _: F.lit(False))
-    table = F.create_map(*[x for w, o in opposite.items() for x in (F.lit(w), F.array(*map(F.lit, o)))])
+    table = T.table({w: "|".join(o) for w, o in opposite.items()})
 
     def rejects(q, c, _):
         count = lambda p, w: F.size(F.filter(p["words"], lambda x: x == w))
         more = lambda w: count(q, w) > count(c, w)
-        flipped = lambda w: F.exists(F.element_at(table, w), lambda o: count(c, o) > count(q, o))
+        flipped = lambda w: F.exists(F.split(F.element_at(table, w), r"\|"), lambda o: count(c, o) > count(q, o))
         return F.exists(F.filter(F.array_distinct(q["words"]), lambda w: T.among(w, opposite)), lambda w: more(w) & flipped(w))
 
     return Guard("antonym", rejects)
@@ -92,11 +92,9 @@ def _places(a: Column, b: Column, same: Callable[[Column, Column], Column]) -> C
 
 
 def substitution(vocabulary: Vocabulary = ENGLISH, least: int = 4, most: int | None = None, head_least: int | None = None) -> Guard:
-    table = T._unit_map(vocabulary)
-
     def same(a: Column, b: Column) -> Column:
-        unit = F.when(T.among(a, vocabulary.units) & T.among(b, vocabulary.units), F.element_at(table, a)["name"] == F.element_at(table, b)["name"]).otherwise(False)
-        return T.same_word(a, b) | unit
+        unit = F.when(T.among(a, vocabulary.units) & T.among(b, vocabulary.units), F.element_at(T.unit_names(vocabulary), a) == F.element_at(T.unit_names(vocabulary), b)).otherwise(False)
+        return T.same_word(a, b) | unit if vocabulary.units else T.same_word(a, b)
 
     def rejects(q, c, _):
         a, b = q["content"], c["content"]
@@ -144,10 +142,11 @@ def direction(vocabulary: Vocabulary = ENGLISH) -> Guard:
 def sub_span() -> Guard:
     def rejects(q, c, _):
         a, b = q["content"], c["content"]
-        inside = lambda short, long: F.forall(short, lambda w: F.exists(long, lambda x: T.same_word(w, x)))
+        found = lambda w, words: F.array_contains(words, w) | F.exists(words, lambda x: T.same_word(w, x))
+        inside = lambda short, long: F.forall(short, lambda w: found(w, long))
 
         def narrowed(long: Column, short: Column) -> Column:
-            new = lambda s: F.exists(s["words"], lambda w: ~F.exists(short, lambda x: T.same_word(x, w)))
+            new = lambda s: F.exists(s["words"], lambda w: ~found(w, short))
             last = F.element_at(long["spans"], -1)
             return F.when(F.size(long["spans"]) > 0, (F.size(F.filter(long["spans"], new)) == 1) & new(last) & last["opener"].isNotNull() & ~last["framing"]).otherwise(False)
 
@@ -172,9 +171,11 @@ def shared_words(a: Column, b: Column) -> Column:
 def lexical_divergence(least: float = 0.25, least_words: int = 5) -> Guard:
     def rejects(q, c, _):
         a, b = q["content"], c["content"]
-        shared = shared_words(a, b)
-        union = F.size(a) + F.size(b) - shared
-        return F.when((F.size(a) >= least_words) & (F.size(b) >= least_words), (union > 0) & (shared / union < least)).otherwise(False)
+        apart = lambda shared: shared / (F.size(a) + F.size(b) - shared) < least
+        # Words in both lists: pairing loses half of them at most, so often there is nothing to pair.
+        surely = F.size(F.array_intersect(a, b)) / 2
+        long = (F.size(a) >= least_words) & (F.size(b) >= least_words)
+        return F.when(~long, False).when(~apart(surely), False).otherwise(T.let(shared_words(a, b), apart))
 
     return Guard("lexical-divergence", rejects)
 
@@ -211,7 +212,7 @@ def answer_anchor(most: int = 2) -> Guard:
 
 def disjoint_terms(name: str, groups: dict[str, tuple[str, ...]]) -> Guard:
     """A rule for one field of knowledge: rejects when both prompts name groups and share none of them."""
-    table = F.create_map(*[x for group, terms in groups.items() for term in terms for x in (F.lit(term), F.lit(group))])
+    table = T.table({term: group for group, terms in groups.items() for term in terms})
 
     def rejects(q, c, _):
         mine, theirs = (F.array_distinct(F.transform(F.filter(p["words"], lambda w: T.among(w, [t for ts in groups.values() for t in ts])), lambda w: F.element_at(table, w))) for p in (q, c))
