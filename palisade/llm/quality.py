@@ -16,6 +16,7 @@ gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from operator import eq
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import map_batches, prepare, table, texts_of
+from palisade.llm.common import map_batches, materialize, prepare, table, texts_of
 
 TRAIN_DOCS, TRAIN_LINES = 4_000, 200_000
 #: Bytes by kind: other, lower case, upper case, digit, common punctuation, symbol, white space.
@@ -213,12 +214,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     joined = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(chosen), F.col(id_col) == F.col("_id"))
     found = map_batches(joined.select(id_col, text_col, "label"), features, "id bigint, label int, lines bigint, x binary, size binary")
-    # Of documents in a fixed order, as many as fit into train_lines: what the driver holds stays bounded.
-    fit, left = [], train_lines
-    for r in sorted(found.where(F.col("lines") <= train_lines).collect(), key=lambda r: (r["lines"], r["id"], r["label"])):
+    found = materialize(found, "line-features")
+    # Of documents in the order of a hash, as many as fit into train_lines: what the driver holds stays bounded.
+    order, chosen_ids, left = lambda r: (zlib.crc32(str(r["id"]).encode()), r["id"], r["label"]), set(), train_lines
+    for r in sorted(found.select("id", "label", "lines").collect(), key=order):
         if r["lines"] <= left:
-            fit.append(r)
+            chosen_ids.add(r["id"])
             left -= r["lines"]
+    fit = sorted(found.where(F.col("id").isin(*chosen_ids)).collect() if chosen_ids else [], key=order)
     y = np.array([r["label"] for r in fit], np.float64)
     if len(set(y.tolist())) < 2:
         return float(y.mean()) if len(y) else 0.5
