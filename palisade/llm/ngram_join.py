@@ -4,9 +4,9 @@ Two sets of sizes n and m are linked when they share at least c(n, m) elements,
 asks for. Light sets enumerate their subsets of the sizes c that a partner can ask for: two light sets that are
 linked share such a subset. Heavy sets are scanned along inverted lists. Sizes fall into bands, each band splits the
 elements' hash range into more blocks than a linked pair can have differing elements, and a list holds the sets
-that have the same elements in one block: two linked sets share the list of some block, and a set that has more
-blocks with elements than it can differ in leaves its empty blocks out. A list of one block is as rare as all its
-elements together, where the list of a single frequent n-gram would hold a great part of the corpus. The boundary
+that have the same elements in one block: two linked sets share the list of some block, and a set needs only its
+fullest blocks, one more than it can differ in. A list of one block is as rare as all its elements together, where
+the list of a single frequent n-gram would hold a great part of the corpus. The boundary
 between light and heavy is the largest size at which enumerating still costs no more rows than scanning.
 
 Equal sets meet on one list for the whole set and need no check. On every other list each set is paired with the
@@ -35,6 +35,8 @@ from palisade.llm.components import components
 
 #: Rows that checking the pairs of a heavy set is taken to cost, beside its rows on lists.
 CHECK_COST = 16
+#: One block in so many is to spare, so that sets can leave their emptier blocks out.
+SPARE = 6
 #: Ratio between the sizes in a band.
 BAND = 1.4
 #: Text that gives a bucket's places, and the bounds of how many buckets there are.
@@ -75,7 +77,7 @@ class Plan:
 
     def _blocks(self, most: int) -> int:
         differing = self.differing(most, most)
-        return differing + 2 + differing // 25
+        return differing + 2 + differing // SPARE
 
     def band(self, n: int) -> tuple[int, int, int]:
         """Number, least and greatest size of the band of heavy size n."""
@@ -142,9 +144,12 @@ class Lists:
             run = np.concatenate([np.zeros(1, _U), np.cumsum(mixed, dtype=_U)])
             for band, blocks, differing in self._bands[n]:
                 ends = np.concatenate([[0], np.searchsorted(found, self._cuts(blocks)), [n]])
-                filled = ends[1:] > ends[:-1]
+                filled = ends[1:] - ends[:-1]
                 keys = mix64((run[ends[1:]] - run[ends[:-1]]) ^ mix64(np.arange(blocks, dtype=_U), 2 * band + 101), 5)
-                out.append(keys[filled] if filled.sum() > differing else keys)
+                # The fullest blocks, one more than may differ, and those as full: some block of at least the greater of
+                # two sets' bounds is alike in both.
+                least = np.partition(filled, blocks - 1 - differing)[blocks - 1 - differing] if differing < blocks else 0
+                out.append(keys[filled >= least])
             if n <= plan.boundary:
                 for c in plan.subset_sizes(n):
                     sums = [sum(x) & (2**64 - 1) for x in combinations(mixed.tolist(), c)]
