@@ -20,6 +20,15 @@ def cells(x):
     return x
 
 
+def test_names_need_no_session():
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True).returncode == 0
+
+
 def test_names():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
