@@ -6,9 +6,11 @@ to the next shorter one (method D: half of each distinct byte's first sighting g
 it has seen are excluded, down to all bytes alike. The model is pretrained on the training documents;
 `adaptive_code_length` starts every text with an empty trie and learns as it goes.
 
-Only the longest contexts are counted; shorter ones are their sums. The trie goes to the tasks whole, so its order
-is lowered until it has max_nodes nodes at most, whatever the corpus. The unigram base needs the whole vocabulary,
-which has no such bound: it is sent in slices of slice_words words, a pass over the documents each.
+Only the longest contexts are counted; shorter ones are their sums. The order is max_order whatever the corpus, and
+no context is left out: neither the trie nor the vocabulary of the unigram base has a bound, so both are sent in
+slices, of max_nodes longest contexts with their next byte and of slice_words words, a pass over the documents for
+each pair of slices. A slice of the trie is a range of contexts in the order of their bytes from the last one back, so the
+shorter contexts that a byte escapes to lie in the same range; those that reach over its ends are sent in full.
 
 Nulls: a null text is empty, and still has its end. A row whose id is null is never learned from and counts as held
 out. Rows that repeat an id are learned and scored each. Without training documents the score is the uniform one
@@ -50,6 +52,11 @@ def contexts(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return codes[keep], sizes
 
 
+def reversed_contexts(codes: np.ndarray, order: int) -> np.ndarray:
+    """The codes' contexts as numbers with the last byte first; order is at least 1."""
+    return (codes >> np.uint64(8)).byteswap() >> np.uint64(64 - 8 * order)
+
+
 def _pieces(texts: list[bytes]):
     """Ranges of texts of about _PIECE bytes."""
     at = 0
@@ -135,15 +142,17 @@ class _HashTable:
 class ByteTrie:
     """The pretrained model, from the counts of the longest contexts with their next byte."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int):
-        self.order = order
+    def __init__(self, codes: np.ndarray, counts: np.ndarray, order: int, shorter: list[tuple[np.ndarray, np.ndarray]] | None = None, within: tuple[int, int] | None = None):
+        """shorter: codes and counts of each order below, where the longest contexts of a slice don't add up to them.
+        within: the slice's range of reversed contexts."""
+        self.order, self.within = order, within
         self.codes: list[np.ndarray] = [np.zeros(0)] * (order + 1)
         self.counts, self.ctx, self.total, self.kinds = list(self.codes), list(self.codes), list(self.codes), list(self.codes)
         by = np.argsort(codes)
         codes, counts = codes[by].astype(np.uint64), counts[by].astype(np.float64)
         for j in range(order, -1, -1):
             mask = np.uint64((1 << 8 * (j + 1)) - 1)
-            codes, counts = _add_up([(codes & mask, counts)])
+            codes, counts = _add_up([(codes & mask, counts)]) if shorter is None or j == order else shorter[j]
             heads = codes >> np.uint64(8)
             starts = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]])) if len(heads) else np.zeros(0, int)
             self.codes[j], self.counts[j], self.ctx[j] = codes, counts, heads[starts]
@@ -184,15 +193,24 @@ class ByteTrie:
         out[left] -= np.log10(256 - gone_kinds[left])
         return out
 
+    def _each(self, codes: np.ndarray) -> np.ndarray:
+        each, there = self.known.find(codes)
+        if not there.all():
+            rare, inverse = np.unique(codes[~there], return_inverse=True)
+            each[~there] = self._through_escapes(rare)[inverse]
+        return each
+
     def log10(self, texts: list[bytes]) -> np.ndarray:
-        """log10 of each text's chance, its end included."""
+        """log10 of each text's chance, its end included; of a slice, what the bytes whose context is in it add to that."""
         out = np.zeros(len(texts))
         for a, b in _pieces(texts):
             codes, sizes = contexts(texts[a:b], self.order)
-            each, there = self.known.find(codes)
-            if not there.all():
-                rare, inverse = np.unique(codes[~there], return_inverse=True)
-                each[~there] = self._through_escapes(rare)[inverse]
+            if self.within is None:
+                each = self._each(codes)
+            else:
+                each, back = np.zeros(len(codes)), reversed_contexts(codes, self.order)
+                own = (back >= np.uint64(self.within[0])) & (back < np.uint64(self.within[1]))
+                each[own] = self._each(codes[own])
             out[a:b] = np.add.reduceat(each, np.cumsum(sizes) - sizes)
         return out
 
@@ -231,7 +249,10 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train_trie(counts: DataFrame, max_order: int, max_nodes: int) -> ByteTrie:
-    """The trie of the highest order that keeps it within max_nodes longest contexts and next bytes."""
+    """The trie of the highest order that keeps it within max_nodes longest contexts and next bytes.
+
+    For callers that want one small trie; lm_score keeps its order and slices the trie.
+    """
     order = max_order
     while order and counts.count() > max_nodes:
         order -= 1
@@ -239,6 +260,54 @@ def train_trie(counts: DataFrame, max_order: int, max_nodes: int) -> ByteTrie:
     return ByteTrie(*_arrays(counts), order)
 
 
+def _reversed(order: int) -> F.Column:
+    """reversed_contexts of the column code."""
+    byte = lambda i: F.shiftright("code", 8 * (i + 1)).bitwiseAND(F.lit(255))
+    out = F.lit(0).cast("long")
+    for i in range(order):
+        out = out.bitwiseOR(F.shiftleft(byte(i), 8 * (order - 1 - i)))
+    return out
+
+
+def trie_ranges(longest: DataFrame, order: int, max_nodes: int) -> list[tuple[int, int]]:
+    """Ranges of reversed contexts that cover them all and have max_nodes longest nodes at most, or are one context."""
+    if longest.count() <= max_nodes or not order:
+        return [(0, 1 << 8 * order)]
+    nodes = longest.select(_reversed(order).alias("back"))
+    depth = min(2, order)
+    split = lambda df: {r.at: r.n for r in df.groupBy(F.shiftright("back", 8 * (order - depth)).alias("at")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    cells = {(at << 8 * (order - depth)): n for at, n in split(nodes).items()}
+    while depth < order and (large := [lo for lo, n in cells.items() if n > max_nodes]):
+        # Cells that are still too large are as wide as the last depth has left them.
+        inside = F.shiftright("back", 8 * (order - depth)).isin([lo >> 8 * (order - depth) for lo in large])
+        depth += 1
+        for lo in large:
+            del cells[lo]
+        cells |= {(at << 8 * (order - depth)): n for at, n in split(nodes.where(inside)).items()}
+    starts, held = [0], 0
+    for lo, n in sorted(cells.items()):
+        if held and held + n > max_nodes:
+            starts, held = [*starts, lo], 0
+        held += n
+    return list(zip(starts, [*starts[1:], 1 << 8 * order], strict=True))
+
+
+def trie_nodes(longest: DataFrame, order: int) -> DataFrame:
+    """depth, code, n of the contexts of every order with their next byte, and low and high, their range of reversed contexts."""
+    masks = F.array(*[F.lit((1 << 8 * (j + 1)) - 1 if j < 7 else -1).cast("long") for j in range(order + 1)])
+    every = longest.select(F.posexplode(masks).alias("depth", "mask"), "code", "n")
+    summed = every.groupBy("depth", F.col("code").bitwiseAND(F.col("mask")).alias("code")).agg(F.sum("n").alias("n"))
+    low = _reversed(order)  # bytes that a shorter context lacks are 0
+    return summed.withColumn("low", low).withColumn("high", F.col("low") + F.element_at(F.array(*[F.lit(1 << 8 * (order - j)).cast("long") for j in range(order + 1)]), F.col("depth") + 1))
+
+
+def trie_slice(nodes: DataFrame, order: int, within: tuple[int, int]) -> ByteTrie:
+    t = nodes.where((F.col("low") < within[1]) & (F.col("high") > within[0])).select("depth", "code", "n").toArrow()
+    depth, codes, n = t.column("depth").to_numpy(), t.column("code").to_numpy().view(np.uint64), t.column("n").to_numpy()
+    tables = [_add_up([(codes[depth == j], n[depth == j].astype(np.float64))]) for j in range(order + 1)]
+    return ByteTrie(*tables[order], order, tables[:order], within)
+
+
 def _words(texts: list[bytes], codes: np.ndarray, counts: np.ndarray) -> tuple[list[int], list[int], list[float]]:
     """Each text's words, how many of them the slice has, and their log10(count + 1)."""
     split = [t.lower().split() for t in texts]
@@ -266,11 +335,24 @@ def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
     vocabulary, tokens = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     ends = counted.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     tokens, distinct = tokens + ends, vocabulary + (ends > 0)
-    trie = spark.sparkContext.broadcast(train_trie(counted.where("kind = 1"), max_order, max_nodes))
+    longest = counted.where("kind = 1").select("code", "n")
+    ranges = trie_ranges(longest, max_order, max_nodes)
     slices = max(1, -(-vocabulary // slice_words))
-    part = lambda i: spark.sparkContext.broadcast(_arrays(words.where(F.pmod(F.col("code"), F.lit(slices)) == i) if slices > 1 else words))
+    passes = max(slices, len(ranges))
+    nodes = materialize(trie_nodes(longest, max_order), "contexts") if len(ranges) > 1 else None
+
+    def trie_part(i: int) -> ByteTrie | None:
+        if i >= len(ranges):
+            return None
+        return ByteTrie(*_arrays(longest), max_order) if nodes is None else trie_slice(nodes, max_order, ranges[i])
+
+    def part(i: int):
+        """Slice i of the vocabulary and of the trie; None where there are fewer. The driver holds one at a time."""
+        own = words.where(F.pmod(F.col("code"), F.lit(slices)) == i) if slices > 1 else words
+        sent = spark.sparkContext.broadcast(trie_part(i))
+        return spark.sparkContext.broadcast(_arrays(own) if i < slices else None), sent
 
-    base, end_log, less = part(0), math.log10(ends + 1), math.log10(tokens + 1 * (distinct + 1))
+    (base, trie), end_log, less = part(0), math.log10(ends + 1), math.log10(tokens + 1 * (distinct + 1))
 
     def score(batch: pa.RecordBatch) -> dict:
         texts = texts_of(batch.column(1))
@@ -288,27 +370,32 @@ def lm_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod:
             "base_score": np.array(logs) + end_log - n * less,
             "score": trie.value.log10(texts),
         }
-        return out | {"row": pa.array([hashlib.sha256(t).digest() if slices > 1 else None for t in texts], pa.binary())}
+        return out | {"row": pa.array([hashlib.sha256(t).digest() if passes > 1 else None for t in texts], pa.binary())}
 
     scored = map_batches(rows, score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, row binary")
-    if slices == 1:
+    if passes == 1:
         return scored.drop("row")
     scored, more = materialize(scored, "lm-scores"), None
-    for i in range(1, slices):
-        own = part(i)
+    base.destroy()
+    trie.destroy()
+    for i in range(1, passes):
+        own, tries = part(i)
 
-        def add(batch: pa.RecordBatch, own=own) -> dict:
+        def add(batch: pa.RecordBatch, i=i, own=own, tries=tries) -> dict:
             texts = texts_of(batch.column(0))
-            parts = [_words(texts[a:b], *own.value) for a, b in _pieces(texts)]
-            return {"row": pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), "known": np.array([x for p in parts for x in p[1]], np.int64), "logs": np.array([x for p in parts for x in p[2]], np.float64)}
+            parts = [_words(texts[a:b], *own.value) for a, b in _pieces(texts)] if i < slices else []
+            known, logs = (np.array([x for p in parts for x in p[at]], kind) if parts else np.zeros(len(texts), kind) for at, kind in ((1, np.int64), (2, np.float64)))
+            chance = tries.value.log10(texts) if i < len(ranges) else np.zeros(len(texts))
+            return {"row": pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), "known": known, "logs": logs, "chance": chance}
 
-        added = materialize(map_batches(rows.select("text"), add, "row binary, known bigint, logs double").withColumn("part", F.lit(i)), "lm-slice")
+        added = materialize(map_batches(rows.select("text"), add, "row binary, known bigint, logs double, chance double").withColumn("part", F.lit(i)), "lm-slice")
         own.destroy()
+        tries.destroy()
         more = added if more is None else more.unionByName(added)
     # Equal texts have equal sums: one row of each slice is enough, and hot texts shrink before the shuffle.
-    sums = more.groupBy("row", "part").agg(F.first("known").alias("known"), F.first("logs").alias("logs"))
-    sums = sums.groupBy("row").agg(F.sum("known").alias("known"), F.sum("logs").alias("logs")).select(F.unhex(F.hex("row")).alias("row"), "known", "logs")
-    return scored.join(sums, "row").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("known")).alias("n_known"), "train_tokens", (F.col("base_score") + F.col("logs")).alias("base_score"), "score")
+    sums = more.groupBy("row", "part").agg(*[F.first(c).alias(c) for c in ("known", "logs", "chance")])
+    sums = sums.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("known", "logs", "chance")]).select(F.unhex(F.hex("row")).alias("row"), "known", "logs", "chance")
+    return scored.join(sums, "row").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("known")).alias("n_known"), "train_tokens", (F.col("base_score") + F.col("logs")).alias("base_score"), (F.col("score") + F.col("chance")).alias("score"))
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

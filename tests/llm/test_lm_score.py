@@ -82,3 +82,25 @@ def test_order_falls_until_the_trie_fits(spark):
 
 def test_adaptive_learns():
     assert M.adaptive_code_length(b"abc" * 50) < 0.3 * M.adaptive_code_length(bytes(range(32, 182)))
+
+
+@pytest.mark.parametrize("options", [{"max_nodes": 1}, {"max_nodes": 50}, {"max_nodes": 50, "slice_words": 7}, {"max_nodes": 200}])
+def test_order_stays_and_no_context_is_left_out_in_slices(spark, options):
+    rows = [(i, f"the cat number {i} sat on the mat {'purring ' * (i % 4)}") for i in range(12)] + [(50, None), (51, ""), (52, "Ünïcode zq"), (None, "nobody"), (3, "twice the id")]
+    if options["max_nodes"] == 1:  # a slice for each context
+        rows = [(i, "ab" * i) for i in range(4)] + [(52, "ba"), (53, "zab")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in M.lm_score(df, max_order=3, **options).collect()), key=str)
+    for g, w in zip(got, sorted(brute(rows, 3), key=str), strict=True):
+        assert g[:5] == w[:5]
+        assert g[5:] == pytest.approx(w[5:])
+
+
+def test_ranges_cover_all_contexts_within_the_bound(spark):
+    df = spark.createDataFrame([(i, f"text {i} of many words {i * 7919}") for i in range(60)], "doc_id bigint, text string")
+    longest = M._count(df, "text", 4).where("kind = 1").cache()
+    ranges = M.trie_ranges(longest, 4, 40)
+    back = M.reversed_contexts(M._arrays(longest)[0], 4)
+    counts = [int(((back >= lo) & (back < hi)).sum()) for lo, hi in ranges]
+    assert len(ranges) > 1 and max(counts) <= 40 and sum(counts) == len(back)
+    assert [lo for lo, _ in ranges] == [0, *(hi for _, hi in ranges[:-1])] and ranges[-1][1] == 1 << 32
