@@ -2,10 +2,11 @@
 
 Vectors are quantised to integers and packed into shards of bounded size; the queries are packed into tiles. Each
 (tile, shard) pair is one integer matrix product, of which only k candidates a query leave the task; lists of
-different shards are merged in a tree. The products are exact: in doubles while no sum can reach 2^53, and in
-whole numbers beyond.
+different shards are merged in a tree. The products are exact: in doubles while no sum can reach 2^53, in 64-bit
+numbers below 2^63, and in numbers of any size beyond. Codes are kept as doubles, which hold every floor of a double.
 
-Takes no part: a vector that is null or holds null, NaN or infinity, or whose id is null. Vectors are compared with vectors of
+Takes no part: a vector that is null or holds null, NaN or infinity (also scale * x in double; no float reaches
+that at scale 256), or whose id is null. Vectors are compared with vectors of
 their own length only. If rows repeat an id, the one with the smallest vector takes part. A query with no
 candidate gives no rows, and so does an empty table. Scores beyond 64 bits are cut to the nearest 64-bit number.
 """
@@ -30,9 +31,10 @@ _HITS = "query_id bigint, part bigint, vec_id bigint, score bigint"
 
 def quantise(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """floor(scale * x) of every component, in double; only vectors that take part, one for each id."""
-    codes = F.transform(F.col(vec_col), lambda x: F.floor(F.lit(float(scale)) * x.cast("double")))
-    # A component beyond 2^62 / scale has no 64-bit code that could be multiplied.
-    sound = F.forall(F.col(vec_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(2.0**62 / scale)))
+    scaled = lambda x: F.lit(float(scale)) * x.cast("double")
+    # From 2^53 on every double is whole, and floor() would cut to 64 bits.
+    codes = F.transform(F.col(vec_col), lambda x: F.when(F.abs(scaled(x)) < F.lit(2.0**53), F.floor(scaled(x)).cast("double")).otherwise(scaled(x)))
+    sound = F.forall(F.col(vec_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(scaled(x)) < F.lit(float("inf"))))
     kept = df.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull() & sound)
     return kept.select(F.col(id_col).cast("long").alias("id"), codes.alias("codes"))
 
@@ -62,14 +64,14 @@ def _packed(vectors: DataFrame, rows: int, part: str, keep: F.Column | None = No
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T in whole numbers."""
+    """a @ b.T of whole numbers kept as doubles, cut to 64 bits."""
     bound = a.shape[1] * int(np.abs(a).max(initial=0)) * int(np.abs(b).max(initial=0))
     if bound < 2**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    if bound < 2**63:
-        return a @ b.T
-    exact = a.astype(object) @ b.astype(object).T
-    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
+        return (a @ b.T).astype(np.int64)
+    if bound < 2**63 and max(np.abs(a).max(initial=0), np.abs(b).max(initial=0)) < 2.0**63:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = np.frompyfunc(int, 1, 1)
+    return np.clip(whole(a) @ whole(b).T, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def _best(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,7 +98,7 @@ def _tiles(k: int):
         for b in batches:
             for r in b.to_pylist():
                 queries, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                scores = _product(np.frombuffer(r["q_codes"], np.int64).reshape(len(queries), -1), np.frombuffer(r["codes"], np.int64).reshape(len(ids), -1))
+                scores = _product(np.frombuffer(r["q_codes"], np.float64).reshape(len(queries), -1), np.frombuffer(r["codes"], np.float64).reshape(len(ids), -1))
                 q, v, s = _best(queries, ids, scores, k)
                 yield pa.RecordBatch.from_pydict({"query_id": q, "part": np.full(len(q), r["shard"]), "vec_id": v, "score": s})
 

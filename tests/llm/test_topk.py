@@ -35,3 +35,15 @@ def test_against_every_pair(spark, sizes):
 def test_empty(spark):
     df = spark.createDataFrame([], "vec_id bigint, embedding array<float>")
     assert K.top_k(df, F.col("id") % 50 == 0).collect() == []
+
+
+def test_large_components_take_part(spark):
+    rows = [(0, [2.0**54, -1.0]), (1, [2.0**54, 3.5]), (2, [-(2.0**100), 2.0**100]), (3, [1.0, 2.0**54]), (4, [3e38, -3e38]), (50, [1.0, 2.0]), (5, [2.0**-60, 0.0]), (100, [2.0**100, 2.0**100]), (6, [float("-inf"), 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    limit = lambda s: max(-(2**63), min(2**63 - 1, s))
+    codes = {i: [math.floor(256 * float(np.float32(x))) for x in v] for i, v in rows if i != 6}
+    want = []
+    for q in (0, 50, 100):
+        scored = sorted((-limit(sum(x * y for x, y in zip(codes[q], c))), i) for i, c in codes.items() if i != q)
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(scored[:5], 1)]
+    assert sorted(map(tuple, K.top_k(df, F.col("id") % 50 == 0, 5).collect())) == want
