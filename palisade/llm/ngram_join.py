@@ -12,7 +12,7 @@ between light and heavy is the largest size at which enumerating still costs no
 Equal sets meet on one list for the whole set and need no check. On every other list each set is paired with the
 list's smallest id, first within a batch, which leaves one place a batch of a hot list to shuffle, and then among
 batches; pairs are checked on the sets themselves. Sets that share a list but lie in different components after
-that are compared through what they differ from the smallest id in. So no group gives all its pairs, and no link
+that are compared through what they differ from their group's centre in. So no group gives all its pairs, and no link
 between components is missed.
 
 Nulls and empty texts: no elements, no links. A row whose id is null is returned with a null component and linked
@@ -27,7 +27,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palisade.llm.common import map_batches, materialize, mix64, prepare, table, texts_of, word_hashes
@@ -42,6 +42,10 @@ BAND = 1.4
 #: Text that gives a bucket's places, and the bounds of how many buckets there are.
 BUCKET_TEXT, LEAST_BUCKETS, MOST_BUCKETS = 32 << 20, 64, 1 << 15
 HEADS, DOCS, SETTLED, COPIES, NAMELESS = range(5)
+#: Elements of a group's sets that one task takes; sets, and elements of sets, that a larger group's centre is taken from.
+GROUP_ELEMENTS, SAMPLE, SAMPLE_ELEMENTS = 1 << 20, 64, 1 << 18
+LINK, MEMBER, LISTED = range(3)
+_DIFFERENCES = "kind int, b bigint, element bigint, a bigint, component bigint, other bigint, slack bigint, reach bigint, low bigint, most bigint, indexed boolean"
 #: Size of the filter of ids whose sets are compared: 1 MiB.
 FILTER_BITS = 1 << 23
 _U = np.uint64
@@ -339,75 +343,181 @@ def ngram_join(df: DataFrame, words: int = 5, p: int = 80, q: int = 100, id_col:
     checked = materialize(_checked(pairs, grams, plan), "checked")
     links = equal.unionByName(checked.where("linked").select("a", "b"))
     found = materialize(components(links), "components")
-    more = _crossing(checked, found, grams, plan)
-    if more is not None:
-        found = materialize(components(links.unionByName(more)), "components")
     rows = met.where("n >= 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"))
-    return rows.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    rows = rows.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    more = _crossing(checked, found, grams, plan)
+    if more is not None and not more.isEmpty():
+        merged = materialize(components(more), "merged").select(F.col("id").alias("component"), F.col("component").alias("least"))
+        rows = rows.join(merged, "component", "left").withColumn("component", F.coalesce("least", "component"))
+    return rows.select("doc_id", "n_shingles", F.col("component").alias("component_id"))
 
 
 def _crossing(checked: DataFrame, found: DataFrame, grams: DataFrame, plan: Plan) -> DataFrame | None:
-    """Links between different components among the sets that share a list but not a link to its smallest id, the pivot.
-
-    What sets X and Y differ in follows from what each differs from the pivot in: |X ^ Y| = d + e - 2 |D & E|, with
-    D and E those differences and d and e their sizes. So X and Y are linked only if D and E share enough elements,
-    and that is a join of small sets whose elements, one document's own changes, are mostly rare: by prefixes of the
-    elements in order of their frequency within the pivot's group. A group of near copies that are all a little too
-    far apart thus costs about its changes, not its pairs.
+    """Pairs of components between which a link exists, among the sets that share a list but not its smallest id's
+    component; None if there are no such sets.
+
+    The sets paired with one id are a group. A group has a centre, the elements that more than half of its sets hold, and
+    a set is described by its r differences from it, rarest in the group first. With D and E the differences of sets of
+    sizes n and m, |X ^ Y| = |D| + |E| - 2 |D & E|, so the pair is linked if and only if
+    slack(X) + slack(Y) <= 2 t |D & E|, where slack = r t - n c, t = p + q and c = q - p. Two consequences:
+    if the slacks add up to 0 or less the pair is linked whatever it shares, and the set of least slack stands for all;
+    else the first difference that both hold is at a place of X with slack(Y) <= reach = 2 t (r - place + 1) - slack(X),
+    and the same the other way. The pair is looked for among the set of less slack's first n c / t + 1 differences, which
+    are its own rare changes. So a group of near copies that are all a little too far apart costs about its changes.
+
+    Groups of up to GROUP_ELEMENTS elements are done where they meet. Larger ones are split by a hash, take centre and
+    order from a sample that each part gets, and list their differences for a join.
     """
-    t, c = plan.p + plan.q, plan.q - plan.p  # linked: |X ^ Y| * t <= (n + m) * c
-    rows = checked.join(found.withColumnRenamed("id", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    groups = rows.groupBy("b").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_ = groups.where("lo <> hi").select(F.bitwise_not("b").alias("_j"))
-    rows = rows.withColumn("_j", F.bitwise_not("b")).join(open_, "_j", "left_semi").drop("_j")
-    rows = materialize(rows.withColumn("slack", F.col("apart") * t - F.col("n") * c), "open")
+    t, c = plan.p + plan.q, plan.q - plan.p
+    rows = checked.select("a", "b", "n").join(found.withColumnRenamed("id", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    groups = rows.groupBy("b").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows"), F.sum("n").alias("elements"), F.max("n").alias("most"))
+    parts = F.ceil(F.col("elements") / F.lit(GROUP_ELEMENTS)).alias("parts")
+    # The join's key isn't the grouping's, so that a large group's rows can be split among tasks.
+    open_ = groups.where("lo <> hi").select(F.bitwise_not("b").alias("_j"), "rows", "elements", "most", parts)
+    rows = rows.select("a", "b", "component").distinct().withColumn("_j", F.bitwise_not("b")).join(open_, "_j").drop("_j")
+    rows = materialize(rows, "open")
     if rows.isEmpty():
         return None
-    least = rows.groupBy("b").agg(F.min(F.when(~F.col("linked"), F.col("slack"))).alias("far"), F.min(F.when(F.col("linked"), F.struct("slack", "a"))).alias("near"), F.max("n").alias("most"), F.max(F.when(F.col("linked"), F.col("apart"))).alias("near_apart"))
-    least = least.select(F.bitwise_not("b").alias("_j"), "far", "near", "most", "near_apart")
-    rows = rows.withColumn("_j", F.bitwise_not("b")).join(least, "_j").drop("_j")
-    need = lambda s: F.ceil(s / F.lit(2 * t))
-    # Both slacks together at 0 or below: linked whatever the differences share. The least slack stands for all.
-    sure = rows.where(~F.col("linked") & (F.col("slack") + F.col("near.slack") <= 0)).select("a", F.col("near.a").alias("b"))
-    # A partner is at most as much nearer to the pivot as the two may differ: that bounds its slack from below.
-    bound = F.col("apart") * t - (F.col("n") + 2 * F.col("most")) * c
-    least_shared = lambda s: F.greatest(need(F.col("slack") + F.greatest(F.col(s), bound)), F.lit(1))
-    reached = (F.col("apart") - F.col("near_apart")) * t <= (F.col("n") + F.col("most")) * c
-    rows = rows.select("a", "b", "n", "component", "slack", "linked", "apart", least_shared("far").alias("to_far"), F.when(F.col("linked") | reached, least_shared("near.slack")).alias("to_near"))
-    # Elements the pivot lacks come first, then those it has: few sets lack the same ones, so prefixes seldom meet.
-    length = F.col("apart") - F.when(F.col("linked"), F.col("to_far")).otherwise(F.least("to_far", "to_near")) + 1
-    both = _sets_of(rows.where(length > 0), grams).withColumns({"own": F.array_sort(F.array_except("x", "y")), "lacks": F.array_except("y", "x")})
-    taken = F.slice("own", 1, F.greatest(F.least(length, F.size("own")), F.lit(0)).cast("int"))
-    listed = F.concat(
-        F.transform(taken, lambda e, i: F.struct(e.alias("element"), (i + 1).cast("long").alias("place"))),
-        F.transform(F.when(length > F.size("own"), F.col("lacks")).otherwise(F.array().cast("array<bigint>")), lambda e: F.struct(e.alias("element"), F.lit(0).cast("long").alias("place"))),
-    )
-    each = both.select("a", "b", "n", "component", "slack", "linked", "apart", "to_far", "to_near", F.size("own").alias("n_own"), F.explode(listed).alias("e"))
-    each = materialize(each.select("a", "b", "n", "component", "slack", "linked", "apart", "to_far", "to_near", "n_own", "e.element", "e.place"), "differences")
-    often = each.groupBy("b", "element").agg(F.count(F.lit(1)).alias("often"))
-    # Rarest first among those it has; an element of one set only counts for the places and needs no row after that.
-    lacking = each.where("place = 0").join(often, ["b", "element"])
-    ranked = lacking.withColumn("place", F.col("n_own") + F.row_number().over(Window.partitionBy("b", "a").orderBy("often", "element")))
-    kept = ranked.where("often > 1").unionByName(each.where("place > 0").join(often.where("often > 1"), ["b", "element"]))
-    kept = materialize(kept.drop("n_own", "often"), "shared-differences")
-    prefix = lambda side, o: kept.where(side & (F.col("place") <= F.col("apart") - F.col(o) + 1))
-    left = lambda df: df.select("b", "element", *(F.col(k).alias(f"l_{k}") for k in ("a", "n", "component", "slack", "apart", "place")))
-    right = lambda df: df.select("b", "element", *(F.col(k).alias(f"r_{k}") for k in ("a", "n", "component", "slack", "apart", "place")))
-    far, near = ~F.col("linked"), F.col("linked")
-    among = left(prefix(far, "to_far")).join(right(prefix(far, "to_far")), ["b", "element"]).where("l_a < r_a")
-    across = left(prefix(far, "to_near")).join(right(prefix(near, "to_far")), ["b", "element"])
-
-    def possible(df: DataFrame) -> DataFrame:
-        wanted = need(F.col("l_slack") + F.col("r_slack"))
-        room = F.least(F.col("l_apart") - F.col("l_place"), F.col("r_apart") - F.col("r_place")) + 1
-        close = F.abs(F.col("l_apart") - F.col("r_apart")) * t <= (F.col("l_n") + F.col("r_n")) * c
-        kept = df.where((F.col("l_component") != F.col("r_component")) & close & (room >= wanted))
-        return kept.select("b", "l_a", "r_a", wanted.alias("wanted")).distinct()
-
-    wanted = materialize(possible(among).unionByName(possible(across)), "wanted")
-    pairs = wanted.select(F.col("l_a").alias("a"), F.col("r_a").alias("b")).distinct()
-    hits = _checked(pairs, grams, plan).where("linked").select("a", "b")
-    return materialize(sure.unionByName(hits).distinct(), "linked-more")
+    part, every = F.pmod(F.xxhash64("a"), F.col("parts")), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)
+    share = F.greatest(F.lit(1.0), F.least(F.lit(float(SAMPLE)), F.col("rows") * F.lit(float(SAMPLE_ELEMENTS)) / F.col("elements")))
+    sampled = (F.col("parts") > 1) & (F.pmod(F.xxhash64("a", F.lit(1)), F.col("rows")) < share)
+    dealt = rows.select("a", "b", "component", "most", "parts", part.alias("own"), sampled.alias("sampled"), F.explode(F.when(sampled, every).otherwise(F.array(part))).alias("part"))
+    dealt = dealt.join(grams.select(F.col("id").alias("a"), "grams"), "a")
+
+    def differ(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        return _differences(key[0].as_py(), rows, t, c)
+
+    met = materialize(dealt.groupBy("b", "part").applyInArrow(differ, _DIFFERENCES), "differences")
+    here = met.where(F.col("kind") == LINK).select("component", "other")
+    members = met.where(F.col("kind") == MEMBER).withColumn("_j", F.bitwise_not("b"))
+    least = members.groupBy("_j").agg(F.min(F.struct("slack", "component")).alias("least"))
+    sure = members.join(least, "_j").where(F.col("slack") + F.col("least.slack") <= 0).select("component", F.col("least.component").alias("other"))
+    listed = met.where(F.col("kind") == LISTED)
+    mixed = listed.groupBy("b", "element").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("b", "element")
+    listed = listed.join(mixed, ["b", "element"], "left_semi")
+    width, upper = F.col("most") * c + 1, F.least("reach", "slack")
+    step = lambda x: F.floor(x / width)
+    index = listed.where("indexed").select("b", "element", step(F.col("slack")).alias("step"), *(F.col(k).alias(f"l_{k}") for k in ("a", "component", "slack", "reach")))
+    probe = listed.where(F.col("low") <= upper).select("b", "element", F.explode(F.sequence(step(F.col("low")), step(upper))).alias("step"), *(F.col(k).alias(f"r_{k}") for k in ("a", "component", "slack", "reach")))
+    near = (F.col("l_component") != F.col("r_component")) & (F.col("l_slack") <= F.least("r_slack", "r_reach")) & (F.col("r_slack") <= F.col("l_reach"))
+    pairs = index.join(probe, ["b", "element", "step"]).where(near).select(F.col("l_a").alias("a"), F.col("r_a").alias("b"), F.col("l_component").alias("component"), F.col("r_component").alias("other")).distinct()
+    pairs = materialize(pairs, "wanted")
+    linked = _checked(pairs.select("a", "b").distinct(), grams, plan).where("linked").select("a", "b")
+    far = pairs.join(linked, ["a", "b"], "left_semi").select("component", "other")
+    every = here.unionByName(sure).unionByName(far).where("component <> other")
+    return materialize(every.select(F.col("component").alias("a"), F.col("other").alias("b")).distinct(), "linked-more")
+
+
+def _differences(b: int, rows: pa.Table, t: int, c: int) -> pa.Table:
+    """LINK rows of a group that is whole; MEMBER and LISTED rows of a part of one."""
+    ids, component = rows.column("a").to_numpy(), rows.column("component").to_numpy()
+    sets = rows.column("grams").combine_chunks()
+    offsets, flat = sets.offsets.to_numpy().astype(np.int64), sets.values.to_numpy()
+    most, whole = int(rows.column("most")[0].as_py()), rows.column("parts")[0].as_py() == 1
+    own = (rows.column("part").to_numpy() == rows.column("own").to_numpy()) if not whole else np.ones(len(ids), bool)
+    drawn = rows.column("sampled").to_numpy(zero_copy_only=False) if not whole else own
+    flat = flat[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    n = np.diff(offsets)
+    distinct, code = np.unique(flat, return_inverse=True)
+    held = np.bincount(code[np.repeat(drawn, n)], minlength=len(distinct))
+    centre = 2 * held > drawn.sum()
+    order = np.lexsort((distinct, np.where(centre, drawn.sum() - held, held)))  # rarest difference first
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    core = np.sort(rank[centre])
+    is_core = centre[order]
+    found = []
+    for i in range(len(ids)):
+        mine = np.sort(rank[code[offsets[i] : offsets[i + 1]]])
+        kept = mine[is_core[mine]]
+        found.append(np.sort(np.concatenate([mine[~is_core[mine]], np.setdiff1d(core, kept, assume_unique=True)])))
+    r = np.array([len(f) for f in found], np.int64)
+    slack = r * t - n * c
+    # A partner is at most as much nearer to the centre as the two may differ.
+    low = np.maximum(r * t - (n + 2 * most) * c, slack.min() if whole else -most * c)
+    # The first places that can be a pair's first shared difference: of the set of less slack, or of the other.
+    length = np.minimum(r, np.maximum(n * c // t + 1, (2 * t * (r + 1) - slack - low) // (2 * t)))
+    length = np.where(own, length, 0)
+    who = np.repeat(np.arange(len(ids)), length)
+    place = np.arange(len(who)) - np.repeat(np.cumsum(length) - length, length) + 1
+    element = np.concatenate([f[:k] for f, k in zip(found, length, strict=True)]) if len(who) else np.zeros(0, np.int64)
+    reach = 2 * t * (r[who] - place + 1) - slack[who]
+    indexed = (place - 1) * t <= n[who] * c
+    if not whole:
+        members = np.flatnonzero(own)
+        null = lambda k: pa.nulls(k, pa.int64())
+        col = lambda x, y: pa.concat_arrays([x if isinstance(x, pa.Array) else pa.array(x), y if isinstance(y, pa.Array) else pa.array(y)])
+        m, k = len(members), len(who)
+        return pa.table({
+            "kind": pa.array(np.concatenate([np.full(m, MEMBER), np.full(k, LISTED)]), pa.int32()),
+            "b": np.full(m + k, b, np.int64),
+            "element": col(null(m), distinct[order[element]]),
+            "a": col(ids[members], ids[who]),
+            "component": col(component[members], component[who]),
+            "other": null(m + k),
+            "slack": col(slack[members], slack[who]),
+            "reach": col(null(m), reach),
+            "low": col(null(m), low[who]),
+            "most": np.full(m + k, most, np.int64),
+            "indexed": pa.concat_arrays([pa.nulls(m, pa.bool_()), pa.array(indexed)]),
+        })
+    links = _links_within(found, component, slack, who, element, reach, indexed, low, t)
+    bare = pa.nulls(len(links), pa.int64())
+    return pa.table({
+        "kind": pa.array(np.full(len(links), LINK), pa.int32()), "b": np.full(len(links), b, np.int64), "element": bare, "a": bare,
+        "component": np.array([x for x, _ in links], np.int64), "other": np.array([y for _, y in links], np.int64),
+        "slack": bare, "reach": bare, "low": bare, "most": bare, "indexed": pa.nulls(len(links), pa.bool_()),
+    })
+
+
+def _links_within(found: list[np.ndarray], component: np.ndarray, slack: np.ndarray, who: np.ndarray, element: np.ndarray, reach: np.ndarray, indexed: np.ndarray, low: np.ndarray, t: int) -> list[tuple[int, int]]:
+    """Enough of the linked pairs of components of a whole group to connect all that are linked."""
+    root = {int(x): int(x) for x in np.unique(component)}
+    links: list[tuple[int, int]] = []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def join(i: int, j: int) -> None:
+        x, y = find(int(component[i])), find(int(component[j]))
+        if x != y:
+            root[x] = y
+            links.append((x, y))
+
+    least = int(np.argmin(slack))
+    for i in np.flatnonzero(slack + slack[least] <= 0):
+        join(i, least)
+    base, span = int(slack.min()), int(slack.max() - slack.min()) + 2
+    at = np.flatnonzero(indexed)
+    keys = element[at] * span + (slack[who[at]] - base)
+    by = np.argsort(keys, kind="stable")
+    at, keys = at[by], keys[by]
+    top = np.minimum(reach, slack[who])
+    probes = np.flatnonzero((top >= base) & (low[who] <= top))
+    start = np.searchsorted(keys, element[probes] * span + (low[who[probes]] - base))
+    stop = np.searchsorted(keys, element[probes] * span + (top[probes] - base), "right")
+    some = stop > start
+    probes, start, stop = probes[some], start[some], stop[some]
+    tried: set[tuple[int, int]] = set()
+    cuts = np.concatenate([[0], np.cumsum(stop - start)])
+    at_probe = 0
+    while at_probe < len(probes):
+        upto = max(at_probe + 1, int(np.searchsorted(cuts, cuts[at_probe] + 2_000_000, "right")) - 1)
+        size = stop[at_probe:upto] - start[at_probe:upto]
+        right = np.repeat(probes[at_probe:upto], size)
+        left = at[np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start[at_probe:upto], size)]
+        x, y = who[left], who[right]
+        for i, j in {(int(i), int(j)) for i, j in zip(*(z[(component[x] != component[y]) & (slack[y] <= reach[left])] for z in (x, y)), strict=True)} - tried:
+            tried.add((i, j))
+            if find(int(component[i])) != find(int(component[j])):
+                shared = len(np.intersect1d(found[i], found[j], assume_unique=True))
+                if slack[i] + slack[j] <= 2 * t * shared:
+                    join(i, j)
+        at_probe = upto
+    return links
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
