@@ -53,7 +53,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of the tiers' lengths, with their ids' checksums."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

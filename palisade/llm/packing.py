@@ -5,15 +5,18 @@ longest tier are filled straight away; what is left of a document goes to the sh
 opens a window with each piece that is more than half its size and fills the gap from the shorter tiers' waiting
 pieces, longest first, cutting the last one to fit. Each task packs what it reads, so no ids are shuffled; the
 pieces that wait are bounded in number. What is left at a task's end is laid end to end and cut into windows of the tiers'
-sizes, so that a task leaves one short sequence at most. Sequences of one tier are dealt to step groups that hold
-the same number of tokens each.
+sizes, so that a task leaves one short sequence at most. Sequences of one tier are numbered over the whole table, from
+the counts that each task has made of each tier, and dealt in that order to step groups of the same number of tokens;
+only a tier's last group may be smaller.
 
-Nulls: a null or empty text is its end id alone. A null doc_id is carried through. Rows that repeat a doc_id are
-packed each. An empty table gives no rows.
+Nulls: a null or empty text is its end id alone. A null doc_id is carried through. Rows that repeat a doc_id, or are the
+same altogether, are packed each. Very long texts are tokenised a slice at a time. An empty table gives no rows.
+Ties: pieces of one length wait in the order they come.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -21,19 +24,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from palisade.llm.common import prepare, table, texts_of
+from palisade.llm.common import materialize, prepare, table, texts_of
 
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens of a step group; pieces that may wait in a tier before they are packed by themselves.
 STEP_TOKENS, WAITING = 65_536, 512
-#: Words whose ids a worker remembers; only speed depends on it.
-_REMEMBERED = 1_500_000
-_SCHEMA = (
-    "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, "
-    "offset bigint, sequence_tokens bigint, padded_to bigint, step_group bigint, ids binary"
-)
+#: Bytes of words and ids that a worker remembers, its objects' own bytes included, and the longest word; only speed depends on them.
+_REMEMBERED, _ENTRY, _LONGEST = 96 << 20, 200, 64
+#: Bytes of text that are split into words at once.
+_SLICE = 1 << 20
+_SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_tokens bigint, padded_to bigint, task int, tier int, nth bigint"
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -53,7 +57,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-        self.cores: dict[bytes, bytes] = {}
+        self.held = 0
         self.mark = self.tokenizer.encode(self._MARK, add_special_tokens=False).ids
         self.letters, self.letter_mark = self._letters_only()
 
@@ -72,30 +76,61 @@ class WordEncoder:
         return short, mark
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > _REMEMBERED:
-            self.known, self.cores = {}, {}
-        known, cores = self.known, self.cores
-        split = [t.split() for t in texts]
+        """Each text's ids. Texts are read in slices that end at white space, whole words each."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        owners, slices, size = [], [], 0
+        for i, text in enumerate(texts):
+            for part in _slices(text):
+                if slices and size + len(part) > _SLICE:
+                    self._encode(slices, owners, out)
+                    owners, slices, size = [], [], 0
+                owners.append(i)
+                slices.append(part)
+                size += len(part)
+        self._encode(slices, owners, out)
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+    def _encode(self, slices: list[bytes], owners: list[int], out: list[list[bytes]]) -> None:
+        split = [t.split() for t in slices]
         every = [w for words in split for w in words]
-        found = list(map(known.get, every))
+        found = list(map(self.known.get, every))
         missed = [i for i, x in enumerate(found) if x is None]
         if missed:
-            parts = {w: _core(w) for w in {every[i] for i in missed}}
-            fresh = list({x for pair in parts.values() for x in pair if x not in cores})
-            plain = [x for x in fresh if x.isalpha() and x.isascii()]
-            other = [x for x in fresh if not (x.isalpha() and x.isascii())]
-            for tokenizer, mark, each in ((self.letters, self.letter_mark, plain), (self.tokenizer, self._MARK, other)):
-                for at in range(0, len(each), 50_000):
-                    cores.update(zip(each[at : at + 50_000], self._tokenise(tokenizer, mark, each[at : at + 50_000]), strict=True))
-            for w, (core, tail) in parts.items():
-                known[w] = cores[core] + cores[tail]
+            fresh = self._ids_of({every[i] for i in missed})
             for i in missed:
-                found[i] = known[every[i]]
-        out, at = [], 0
-        for words in split:
-            out.append(b"".join(found[at : at + len(words)]))
+                found[i] = fresh[every[i]]
+            self._remember(fresh)
+        at = 0
+        for i, words in zip(owners, split, strict=True):
+            out[i].append(b"".join(found[at : at + len(words)]))
             at += len(words)
-        return out
+
+    def _ids_of(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words and of their cores, none of the words known."""
+        parts = {w: _core(w) for w in words}
+        ids = {b"": b""}
+        for x in {x for pair in parts.values() for x in pair if x}:
+            if (old := self.known.get(x)) is not None:
+                ids[x] = old
+        todo = [x for x in {x for pair in parts.values() for x in pair} if x not in ids]
+        plain = [x for x in todo if x.isalpha() and x.isascii()]
+        other = [x for x in todo if not (x.isalpha() and x.isascii())]
+        for tokenizer, mark, each in ((self.letters, self.letter_mark, plain), (self.tokenizer, self._MARK, other)):
+            for at in range(0, len(each), 50_000):
+                ids.update(zip(each[at : at + 50_000], self._tokenise(tokenizer, mark, each[at : at + 50_000]), strict=True))
+        ids.update({w: ids[core] + ids[tail] for w, (core, tail) in parts.items()})
+        return ids
+
+    def _remember(self, fresh: dict[bytes, bytes]) -> None:
+        """Adds words up to the bound; beyond it the older half goes."""
+        for w, ids in fresh.items():
+            if 0 < len(w) <= _LONGEST and w not in self.known:
+                self.known[w] = ids
+                self.held += _ENTRY + len(w) + len(ids)
+        if self.held > _REMEMBERED:
+            kept = list(self.known.items())[len(self.known) // 2 :]
+            self.known = dict(kept)
+            self.held = sum(_ENTRY + len(w) + len(ids) for w, ids in kept)
 
     def _tokenise(self, tokenizer, mark: str, words: list[bytes]) -> list[bytes]:
         texts = [w.decode() for w in words]
@@ -110,6 +145,18 @@ class WordEncoder:
         return [data[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends[:-1])], ends, strict=True)]
 
 
+def _slices(text: bytes) -> Iterator[bytes]:
+    """The text in parts of about _SLICE bytes; a part ends before white space, so that no word is cut."""
+    at = 0
+    while len(text) - at > _SLICE:
+        cut = _SPACE.search(text, at + _SLICE)
+        if cut is None:
+            break
+        yield text[at : cut.start()]
+        at = cut.start()
+    yield text[at:] if at else text
+
+
 def _core(word: bytes) -> tuple[bytes, bytes]:
     """The word in lower case up to its last punctuation, and that; the whole word and nothing where case or the cut could matter."""
     core = word.rstrip(b".,;:!?")
@@ -210,39 +257,47 @@ class Packer:
         return out
 
 
-def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
-    """One row for each piece. A sequence that fills a tier is padded no further; any other is padded to the longest."""
-    prepare(df.sparkSession)
+def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, with_ids: bool = True) -> DataFrame:
+    """One row for each piece. A sequence that fills a tier is padded no further; any other is padded to the longest.
+
+    The ids themselves are a column only on request: what nobody reads isn't sent to the JVM.
+    """
+    spark = df.sparkSession
+    prepare(spark)
     longest, end = max(tiers), end_id.to_bytes(4, "little")
+    kinds = [0, *sorted(tiers)]
+    schema = _SCHEMA + (", ids binary" if with_ids else "")
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, packer = encoder(tokenizer_path), Packer(tiers)
         context = TaskContext.get()
-        base, made, steps = (context.partitionId() if context else 0) << 36, 0, dict.fromkeys([*tiers, 0], 0)
+        task, made, nth = context.partitionId() if context else 0, 0, [0] * len(kinds)
+        base = task << 36
 
         def rows() -> pa.RecordBatch | None:
             nonlocal made
-            cols: list[list] = [[] for _ in range(11)]
+            cols: list[list] = [[] for _ in names]
             for size, window in packer.drain():
                 length = sum(len(ids) for _, _, ids in window) // 4
-                kind = length if length in steps and length else 0
-                group = base + (list(steps).index(kind) << 32) + steps[kind] // max(1, step_tokens // (kind or longest))
-                steps[kind] += 1
+                kind = kinds.index(length) if length in kinds else 0
                 offset = 0
                 for (doc, tokens), start, ids in window:
                     n = len(ids) // 4
-                    for col, x in zip(cols, (doc, start, n, zlib.crc32(ids), tokens, base + made, offset, length, kind or longest, group, ids), strict=True):
+                    for col, x in zip(cols, (doc, start, n, zlib.crc32(ids), tokens, base + made, offset, length, kinds[kind] or longest, task, kind, nth[kind], ids), strict=False):
                         col.append(x)
                     offset += n
+                nth[kind] += 1
                 made += 1
-            if cols[0]:
-                return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:10]), pa.array(cols[10], pa.binary())], [x.split()[0] for x in _SCHEMA.split(", ")])
-            return None
+            if not cols[0]:
+                return None
+            types = [pa.int32() if x in ("task", "tier") else pa.binary() if x == "ids" else pa.int64() for x in names]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
         for batch in batches:
             docs, texts = batch.column(0).to_pylist(), texts_of(batch.column(1))
-            for at in range(0, len(docs), 500):
-                for doc, ids in zip(docs[at : at + 500], words.encode(texts[at : at + 500]), strict=True):
+            for at in range(0, len(docs), 200):
+                for doc, ids in zip(docs[at : at + 200], words.encode(texts[at : at + 200]), strict=True):
                     packer.add((doc, len(ids) // 4 + 1), ids + end)
                 if (out := rows()) is not None:
                     yield out
@@ -250,10 +305,17 @@ def pack(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: s
         if (out := rows()) is not None:
             yield out
 
-    return df.select(id_col, text_col).mapInArrow(run, _SCHEMA)
+    pieces = materialize(df.select(id_col, text_col).mapInArrow(run, schema), "pieces")
+    # One row for each task and tier: what the tasks before it have made of the tier.
+    counts = pieces.groupBy("task", "tier").agg((F.max("nth") + 1).alias("made"))
+    before = counts.select("task", "tier", (F.sum("made").over(Window.partitionBy("tier").orderBy("task")) - F.col("made")).alias("before"))
+    width = F.element_at(F.array(*(F.lit(max(1, step_tokens // (k or longest))) for k in kinds)), F.col("tier") + 1)
+    group = F.call_function("shiftleft", F.col("tier").cast("long"), F.lit(48)) + F.floor((F.col("before") + F.col("nth")) / width)
+    found = pieces.join(before, ["task", "tier"]).withColumn("step_group", group)
+    return found.select(*names[:9], "step_group", *names[12:])
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)

@@ -67,3 +67,27 @@ def test_packer_fills_gaps_from_shorter_tiers():
     assert sum(len(x[2]) // 4 for _, w in done for x in w) == 76
     short = [size for size, w in done if sum(len(x[2]) // 4 for x in w) not in (4, 8, 16)]
     assert len(short) <= 1
+
+
+def test_words_remembered_are_bounded_and_long_texts_sliced(monkeypatch):
+    tokenizer, words = Tokenizer.from_file(PATH), P.WordEncoder(PATH)
+    monkeypatch.setattr(P, "_REMEMBERED", 20_000)
+    monkeypatch.setattr(P, "_SLICE", 100)
+    texts = [" ".join(f"word{i * j}," for i in range(80)) for j in range(30)] + ["x" * 500 + " y", "\n" * 300, " " + "z" * 99]
+    for t, ids in zip(texts, words.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    assert words.held <= 20_000 and all(len(w) <= P._LONGEST for w in words.known)
+
+
+def test_step_groups_are_full_over_the_whole_table(spark):
+    rows = [(i, "some words here " * (5 + 37 * i % 900)) for i in range(300)]
+    got = P.pack(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), PATH, step_tokens=8192).collect()
+    tokens = defaultdict(dict)
+    for r in got:
+        tokens[r.step_group][r.sequence_id] = r.padded_to
+    tiers = defaultdict(list)
+    for group, mine in tokens.items():
+        tiers[group >> 48].append((group, sum(mine.values())))
+    for mine in tiers.values():
+        sizes = [n for _, n in sorted(mine)]
+        assert all(n == 8192 for n in sizes[:-1]) and sizes[-1] <= 8192
