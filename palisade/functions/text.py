@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,9 +21,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def among(word: Column, words: Iterable[str]) -> Column:
-    """Whether the word is listed. The list is one literal, so that plans stay small."""
-    listed = sorted(words)
-    return F.array_contains(F.split(F.lit(" ".join(listed)), " "), word) if listed else F.lit(False)
+    """Whether the word is listed. The list is one literal, so that plans stay small: a pattern that branches on the first letter."""
+    return word.rlike(_pattern(frozenset(words)))
+
+
+@cache
+def _pattern(words: frozenset[str]) -> str:
+    quoted = lambda x: x if x.isalnum() or not x else f"\\Q{x}\\E"
+    by: dict[str, list[str]] = {}
+    for w in sorted(words):
+        by.setdefault(w[:1], []).append(quoted(w[1:]))
+    return r"\A(?:" + "|".join(f"{quoted(first)}(?:{'|'.join(rest)})" for first, rest in by.items()) + r")\z" if by else r"\A\b\B"
 
 
 def table(pairs: dict[str, str]) -> Column:
@@ -169,22 +178,40 @@ def jaccard(a: Column, b: Column) -> Column:
     return let(both, lambda s: F.when(s["union"] == 0, 0.0).otherwise(s["shared"] / s["union"]))
 
 
-_QUESTION = r"(?i)^\s*(who|what|when|where|why|which|whose|whom|how|is|are|was|were|do|does|did|can|could|should|would|will|has|have|had|may|might)\b"
-_VERB = r"(?i)\b(is|are|was|were|be|been|has|have|had|do|does|did|can|could|will|would|should|\w+ed|\w+ing)\b"
+# The words that tell a prompt's register, and the bounds of the length bands.
+_ASKING = ("what", "who", "whom", "whose", "where", "when", "why", "which", "how", "is", "are", "was", "were", "am", "be", "do", "does", "did", "can", "could", "should", "would", "will", "shall", "may", "might", "has", "have", "had")
+_TELLING = (
+    "explain", "define", "list", "show", "give", "write", "convert", "calculate", "find", "compare", "translate", "summarize", "summarise",
+    "describe", "tell", "name", "create", "make", "generate", "set", "add", "remove", "install", "configure", "fix", "recommend", "suggest",
+    "draft", "rewrite", "outline", "analyse", "analyze", "check", "review",
+)
+_VERB = r"\b(is|are|was|were|be|been|being|has|have|had|do|does|did|will|would|can|could|should|may|might|\w+ed|\w+s)\b"
+_FRAGMENT_WORDS = 6
+REGISTERS = ("question", "imperative", "fragment", "declarative", "mixed")
+BAND_BOUNDS = (48, 96, 192, 384, 768, 1536)
+BANDS = ("<48", "48-95", "96-191", "192-383", "384-767", "768-1535", "1536+")
 
 
 def register(text: Column) -> Column:
-    """question, fragment (up to six words without a verb form) or declarative."""
-    asks = text.rlike(r"\?\s*$") | text.rlike(_QUESTION)
-    return F.when(asks, "question").when((F.size(words(text)) <= 6) & ~text.rlike(_VERB), "fragment").otherwise("declarative")
+    """question, imperative, fragment (up to six words without a verb form, or none) or declarative, by the first word."""
+    low = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))
+
+    def of(found: Column) -> Column:
+        first = F.get(found, F.lit(0))
+        kind = F.when(F.size(found) == 0, "fragment").when(F.endswith(low, F.lit("?")) | among(first, _ASKING), "question").when(among(first, _TELLING), "imperative")
+        return kind.when((F.size(found) <= _FRAGMENT_WORDS) & ~low.rlike(_VERB), "fragment").otherwise("declarative")
+
+    return let(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}']+"), 0), of)
 
 
-def length_band(a: Column, b: Column, bounds: tuple[int, ...] = (40, 80, 120, 200, 400, 1000)) -> Column:
-    """The band that the pair's mean length falls into, by number from 0."""
+def pair_register(a: Column, b: Column) -> Column:
+    """The register of both, or mixed."""
+    return F.when(register(a) == register(b), register(a)).otherwise("mixed")
+
+
+def length_band(a: Column, b: Column, bounds: tuple[int, ...] = BAND_BOUNDS) -> Column:
+    """The band that the pair's mean length in whole characters falls into, by number from 0."""
     mean, band = F.floor((F.length(a) + F.length(b)) / 2), F.lit(len(bounds))
     for i in range(len(bounds) - 1, -1, -1):
         band = F.when(mean < bounds[i], i).otherwise(band)
     return band
-
-
-Reading = Callable[[Column], Column]

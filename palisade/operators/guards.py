@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache, reduce
+from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palisade.functions import text as T
@@ -18,11 +20,15 @@ from palisade.functions.vocabulary import COORDINATORS, ENGLISH, Vocabulary
 
 @dataclass(frozen=True)
 class Guard:
-    """name, and rejects(incoming, stored, response): a boolean column. Response is the stored answer, for rules that read it."""
+    """name, and rejects(incoming, stored, response): a boolean column. Response is the stored answer, for rules that read it.
+
+    symmetric: the verdict is the same with the prompts exchanged, so that one direction stands for both.
+    """
 
     name: str
     rejects: Callable[[Column, Column, Column | None], Column]
     needs_response: bool = False
+    symmetric: bool = False
 
     def reason(self, incoming: Column, stored: Column, response: Column | None = None) -> Column:
         if self.needs_response and response is None:
@@ -30,27 +36,32 @@ class Guard:
         return F.when(F.coalesce(self.rejects(incoming, stored, response), F.lit(False)), F.lit(self.name))
 
 
+@cache
 def numeric() -> Guard:
-    return Guard("numeric", lambda q, c, _: q["numbers"] != c["numbers"])
+    return Guard("numeric", lambda q, c, _: q["numbers"] != c["numbers"], symmetric=True)
 
 
+@cache
 def unit() -> Guard:
     def rejects(q, c, _):
         mine, theirs = F.array_except(q["units"], c["units"]), F.array_except(c["units"], q["units"])
         kinds = lambda u: F.transform(u, lambda x: x["dimension"])
         return F.arrays_overlap(kinds(mine), kinds(theirs))
 
-    return Guard("unit", rejects)
+    return Guard("unit", rejects, symmetric=True)
 
 
+@cache
 def temporal(vocabulary: Vocabulary = ENGLISH) -> Guard:
-    return Guard("temporal", lambda q, c, _: (q["moments"] != c["moments"]) & T.differs_only_by(q["content"], c["content"], vocabulary.temporal, 0))
+    return Guard("temporal", lambda q, c, _: (q["moments"] != c["moments"]) & T.differs_only_by(q["content"], c["content"], vocabulary.temporal, 0), symmetric=True)
 
 
+@cache
 def negation(vocabulary: Vocabulary = ENGLISH) -> Guard:
-    return Guard("negation", lambda q, c, _: (q["negated"] != c["negated"]) & T.differs_only_by(q["content"], c["content"], vocabulary.negation, 1))
+    return Guard("negation", lambda q, c, _: (q["negated"] != c["negated"]) & T.differs_only_by(q["content"], c["content"], vocabulary.negation, 1), symmetric=True)
 
 
+@cache
 def antonym(vocabulary: Vocabulary = ENGLISH) -> Guard:
     opposite: dict[str, list[str]] = {}
     for a, b in vocabulary.antonyms:
@@ -66,9 +77,10 @@ def antonym(vocabulary: Vocabulary = ENGLISH) -> Guard:
         flipped = lambda w: F.exists(F.split(F.element_at(table, w), r"\|"), lambda o: count(c, o) > count(q, o))
         return F.exists(F.filter(F.array_distinct(q["words"]), lambda w: T.among(w, opposite)), lambda w: more(w) & flipped(w))
 
-    return Guard("antonym", rejects)
+    return Guard("antonym", rejects, symmetric=True)
 
 
+@cache
 def entity(vocabulary: Vocabulary = ENGLISH) -> Guard:
     def spelled(name: Column, other: Column) -> Column:
         n = F.length(name)
@@ -82,7 +94,7 @@ def entity(vocabulary: Vocabulary = ENGLISH) -> Guard:
         theirs = F.filter(F.array_except(c["names"], q["names"]), lambda n: ~spelled(n, q))
         return (F.size(q["names"]) > 0) & (F.size(c["names"]) > 0) & (F.size(mine) > 0) & (F.size(theirs) > 0)
 
-    return Guard("entity", rejects)
+    return Guard("entity", rejects, symmetric=True)
 
 
 def _places(a: Column, b: Column, same: Callable[[Column, Column], Column]) -> Column:
@@ -91,6 +103,7 @@ def _places(a: Column, b: Column, same: Callable[[Column, Column], Column]) -> C
     return F.filter(F.transform(differ, lambda d, i: F.when(d, i)), lambda i: i.isNotNull())
 
 
+@cache
 def substitution(vocabulary: Vocabulary = ENGLISH, least: int = 4, most: int | None = None, head_least: int | None = None) -> Guard:
     def same(a: Column, b: Column) -> Column:
         unit = F.when(T.among(a, vocabulary.units) & T.among(b, vocabulary.units), F.element_at(T.unit_names(vocabulary), a) == F.element_at(T.unit_names(vocabulary), b)).otherwise(False)
@@ -106,17 +119,19 @@ def substitution(vocabulary: Vocabulary = ENGLISH, least: int = 4, most: int | N
         one = F.when(hit, F.size(places) == 1).otherwise(False)
         return one if head_least is None else one & ((F.get(places, F.lit(0)) > 0) | (n >= head_least))
 
-    return Guard("substitution", rejects)
+    return Guard("substitution", rejects, symmetric=True)
 
 
+@cache
 def scope() -> Guard:
     def rejects(q, c, _):
         mine, theirs = F.array_except(q["shapes"], c["shapes"]), F.array_except(c["shapes"], q["shapes"])
         return (F.size(mine) > 0) & (F.size(theirs) > 0)
 
-    return Guard("scope", rejects)
+    return Guard("scope", rejects, symmetric=True)
 
 
+@cache
 def direction(vocabulary: Vocabulary = ENGLISH) -> Guard:
     def rejects(q, c, _):
         a, b = q["content"], c["content"]
@@ -136,9 +151,10 @@ def direction(vocabulary: Vocabulary = ENGLISH) -> Guard:
         moved = (n == F.size(b)) & (n > 0) & (a != b) & (F.array_sort(a) == F.array_sort(b))
         return F.when((q["directed"] | c["directed"]) & moved, ~turned & ~either(q) & ~either(c)).otherwise(False)
 
-    return Guard("direction", rejects)
+    return Guard("direction", rejects, symmetric=True)
 
 
+@cache
 def sub_span() -> Guard:
     def rejects(q, c, _):
         a, b = q["content"], c["content"]
@@ -152,7 +168,7 @@ def sub_span() -> Guard:
 
         return F.when((F.size(a) > F.size(b)) & inside(b, a), narrowed(q, b)).when((F.size(b) > F.size(a)) & inside(a, b), narrowed(c, a)).otherwise(False)
 
-    return Guard("sub-span", rejects)
+    return Guard("sub-span", rejects, symmetric=True)
 
 
 def shared_words(a: Column, b: Column) -> Column:
@@ -168,6 +184,7 @@ def shared_words(a: Column, b: Column) -> Column:
     return F.aggregate(a, none, take, lambda s: s["shared"])
 
 
+@cache
 def lexical_divergence(least: float = 0.25, least_words: int = 5) -> Guard:
     def rejects(q, c, _):
         a, b = q["content"], c["content"]
@@ -180,14 +197,16 @@ def lexical_divergence(least: float = 0.25, least_words: int = 5) -> Guard:
     return Guard("lexical-divergence", rejects)
 
 
+@cache
 def length_ratio(most: float = 4.0) -> Guard:
     def rejects(q, c, _):
         a, b = F.size(q["words"]), F.size(c["words"])
         return F.when((a > 0) & (b > 0), F.greatest(a, b) / F.least(a, b) > most).otherwise(False)
 
-    return Guard("length-ratio", rejects)
+    return Guard("length-ratio", rejects, symmetric=True)
 
 
+@cache
 def word_order(least_anchors: int = 2) -> Guard:
     def rejects(q, c, _):
         anchors = lambda p: F.array_union(p["names"], F.array_distinct(F.filter(p["words"], lambda w: w.rlike(r"\p{Nd}"))))
@@ -196,9 +215,10 @@ def word_order(least_anchors: int = 2) -> Guard:
         moved = F.exists(F.transform(a, lambda w, i: F.exists(F.slice(a, i + 2, F.size(a)), lambda x: F.array_position(b, w) > F.array_position(b, x))), lambda m: m)
         return F.when((F.array_sort(q["content"]) == F.array_sort(c["content"])) & (F.size(shared) >= least_anchors), moved).otherwise(False)
 
-    return Guard("word-order", rejects)
+    return Guard("word-order", rejects, symmetric=True)
 
 
+@cache
 def answer_anchor(most: int = 2) -> Guard:
     def rejects(q, c, response):
         a, b = q["content"], c["content"]
@@ -265,6 +285,24 @@ def first_rejection(guards: list[Guard], incoming: Column, stored: Column, respo
     return F.coalesce(*(g.reason(incoming, stored, response) for g in guards), F.lit(None).cast("string"))
 
 
+def first_rejections(rows: DataFrame, chains: dict[str, list[Guard]], incoming: str, stored: str, response: str | None = None) -> DataFrame:
+    """Adds each chain's first reason under the chain's name. A rule that several chains have is evaluated once, and only
+    where one of them has come to it."""
+    said = F.col(response) if response else None
+    columns: dict[Guard, str] = {}
+    before = lambda chain, g: [F.col(columns[x]) for x in chain[: chain.index(g)]]
+    ahead = [list(c) for c in chains.values()]
+    while any(ahead):
+        # The next rule is one that no chain still has something before.
+        g = next(c[0] for c in ahead if c and not any(c[0] in other[1:] for other in ahead))
+        open_ = [F.coalesce(*b).isNull() if (b := before(c, g)) else F.lit(True) for c in chains.values() if g in c]
+        columns[g] = f"_rule{len(columns)}"
+        rows = rows.withColumn(columns[g], F.when(reduce(or_, open_), g.reason(F.col(incoming), F.col(stored), said)))
+        ahead = [c[1:] if c and c[0] is g else c for c in ahead]
+    firsts = {n: F.coalesce(*(F.col(columns[g]) for g in c), F.lit(None).cast("string")) for n, c in chains.items()}
+    return rows.withColumns(firsts).drop(*columns.values())
+
+
 def verdicts(guards: list[Guard], incoming: Column, stored: Column, response: Column | None = None) -> Column:
     """Every rule's reason by its name, in order; null where it accepts."""
     if not guards:
@@ -274,4 +312,5 @@ def verdicts(guards: list[Guard], incoming: Column, stored: Column, response: Co
 
 def either_way(guard: Guard, a: Column, b: Column) -> Column:
     """Whether the rule rejects the pair in one direction or the other."""
-    return guard.reason(a, b).isNotNull() | guard.reason(b, a).isNotNull()
+    one = guard.reason(a, b).isNotNull()
+    return one if guard.symmetric else one | guard.reason(b, a).isNotNull()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palisade.functions import text as T
 from palisade.functions import vectors as V
-from palisade.operators.guards import Guard, either_way, first_rejection, standard
+from palisade.operators.guards import Guard, first_rejection, standard
 
 #: The normal quantile of a two-sided 95 % interval.
 Z = 1.959964
@@ -80,12 +80,20 @@ def score_pairs(pairs: DataFrame, embeddings: DataFrame, guards: list[Guard] | N
 
 
 def rejected(pairs: DataFrame, guards: list[Guard] | None = None) -> DataFrame:
-    """pairs with `rejecting`: the rules that reject the pair in one direction or the other, and the directions that disagree."""
+    """pairs with `rejecting`: the rules that reject the pair in one direction or the other, and whether the directions disagree.
+
+    Each rule is evaluated once in each direction, a symmetric one once in all.
+    """
     guards = standard() if guards is None else guards
-    read = pairs.withColumns({"ra": T.read(F.col("a")), "rb": T.read(F.col("b"))})
-    flags = F.array(*(F.when(either_way(g, F.col("ra"), F.col("rb")), F.lit(g.name)) for g in guards)) if guards else F.array().cast("array<string>")
-    one, other = first_rejection(guards, F.col("ra"), F.col("rb")).isNotNull(), first_rejection(guards, F.col("rb"), F.col("ra")).isNotNull()
-    return read.withColumns({"rejecting": F.filter(flags, lambda x: x.isNotNull()), "disagrees": one != other}).drop("ra", "rb")
+    read = pairs.withColumns({"_a": T.read(F.col("a")), "_b": T.read(F.col("b"))})
+    there = {f"_there{i}": g.reason(F.col("_a"), F.col("_b")) for i, g in enumerate(guards)}
+    back = {f"_back{i}": g.reason(F.col("_b"), F.col("_a")) for i, g in enumerate(guards) if not g.symmetric}
+    flags = read.withColumns(there | back) if guards else read
+    other = [F.col(f"_back{i}" if f"_back{i}" in back else f"_there{i}") for i in range(len(guards))]
+    none = F.lit(None).cast("string")
+    rules = F.array(*(F.coalesce(f"_there{i}", x) for i, x in enumerate(other))) if guards else F.array().cast("array<string>")
+    disagree = F.coalesce(*map(F.col, there), none).isNull() != F.coalesce(*other, none).isNull()
+    return flags.withColumns({"rejecting": F.filter(rules, lambda x: x.isNotNull()), "disagrees": disagree}).drop("_a", "_b", *there, *back)
 
 
 def corpus_score(judged: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -120,10 +128,35 @@ def separated(a_successes: Column, a_trials: Column, b_successes: Column, b_tria
     return (ah < bl) | (bh < al)
 
 
-def trials_to_separate(a: Column, b: Column, step: int = 10, most: int = 100_000) -> Column:
-    """The least number of trials, in steps, at which rates a and b would have separate intervals; null beyond most."""
-    tries = F.sequence(F.lit(step), F.lit(most), F.lit(step))
-    return F.array_min(F.filter(tries, lambda n: separated(a * n, n, b * n, n)))
+def trials_to_separate(asked: DataFrame, around: float = 0.68, step: int = 10, most: int = 1_000_000) -> DataFrame:
+    """asked(points) with `trials`: the least number of trials, in steps, at which rates that are so many percentage
+    points apart, around a rate, have separate intervals; 2147483647 where `most` are too few.
+
+    Successes are whole numbers, cut off. The tries are a fixed list of most / step numbers.
+    """
+    side = lambda sign: F.least(F.greatest(F.lit(around) + sign * F.col("points") / 200, F.lit(0.0)), F.lit(1.0))
+    each = asked.select("points").distinct().withColumn("n", F.explode(F.sequence(F.lit(step), F.lit(most), F.lit(step))))
+    low, high = F.floor(side(F.lit(-1)) * F.col("n")), F.floor(side(F.lit(1)) * F.col("n"))
+    apart = each.where(separated(low, F.col("n"), high, F.col("n")))
+    found = apart.groupBy("points").agg(F.min("n").alias("trials"))
+    return asked.join(found, "points", "left").withColumn("trials", F.coalesce("trials", F.lit(2**31 - 1)))
+
+
+def by_band(judged: DataFrame) -> DataFrame:
+    """Counts for each length band of pairs, empty bands with zeros."""
+    return _every(judged.withColumn("band", T.length_band(F.col("a"), F.col("b"))), "band", "int", list(enumerate(T.BANDS)), "label")
+
+
+def by_register(judged: DataFrame) -> DataFrame:
+    """Counts for each register of pairs, empty registers with zeros."""
+    return _every(judged.withColumn("register", T.pair_register(F.col("a"), F.col("b"))), "register", "string", [(r,) for r in T.REGISTERS])
+
+
+def _every(judged: DataFrame, key: str, kind: str, listed: list[tuple], label: str | None = None) -> DataFrame:
+    every = judged.sparkSession.createDataFrame(listed, f"{key} {kind}" + (f", {label} string" if label else ""))
+    counts = ["pairs", "near_misses", "caught", "paraphrases", "kept"]
+    scored = corpus_score(judged, [key]).withColumn("pairs", F.col("near_misses") + F.col("paraphrases")).select(key, *counts)
+    return every.join(scored, key, "left").na.fill(0, counts)
 
 
 def verifier_cost(asked: DataFrame) -> DataFrame:

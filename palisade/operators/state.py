@@ -46,16 +46,16 @@ def rejections_by_guard(decisions: DataFrame, guards: list[str]) -> DataFrame:
     return every.join(counted, "guard", "left").select("guard", F.coalesce("n", F.lit(0)).cast("long").alias("rejections"))
 
 
-def savings(hits: DataFrame, prices: DataFrame, tokens_in: str = "input_tokens", tokens_out: str = "output_tokens") -> DataFrame:
-    """What hits have saved, for each scope and currency: tokens and calls at their prices; hits without token counts
-    are counted apart. hits(scope, metadata), prices(scope, currency, price_in, price_out, price_call)."""
-    count = lambda k: F.try_to_number(F.element_at("metadata", k), F.lit("999999999999")).cast("long")
+def savings(hits: DataFrame, prices: DataFrame, tokens_in: str = "inputTokens", tokens_out: str = "outputTokens") -> DataFrame:
+    """What hits have saved, for each scope and currency: tokens and calls at their prices. Hits whose entry has neither
+    token count are counted apart. hits(scope, metadata), prices(scope, currency, price_in, price_out, price_call)."""
+    count = lambda k: F.try_element_at("metadata", F.lit(k)).try_cast("bigint")
     rows = hits.select("scope", count(tokens_in).alias("n_in"), count(tokens_out).alias("n_out"))
     summed = rows.groupBy("scope").agg(
         F.count(F.lit(1)).alias("hits"),
         F.coalesce(F.sum("n_in"), F.lit(0)).alias("tokens_in"),
         F.coalesce(F.sum("n_out"), F.lit(0)).alias("tokens_out"),
-        F.count_if(F.col("n_in").isNull() | F.col("n_out").isNull()).alias("uncounted"),
+        F.count_if(F.col("n_in").isNull() & F.col("n_out").isNull()).alias("uncounted"),
     )
     money = F.col("tokens_in") * F.col("price_in") + F.col("tokens_out") * F.col("price_out") + F.col("hits") * F.col("price_call")
     return summed.join(prices, "scope").select("scope", "currency", "hits", "tokens_in", "tokens_out", "uncounted", money.alias("saved"))
@@ -93,12 +93,27 @@ def metrics(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type", "tag").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.max("value").alias("most"))
 
 
+def timers(events: DataFrame) -> DataFrame:
+    """Count, total and longest time of each stage of lookups(embed_nanos, search_nanos, verify_nanos). A stage that never
+    ran has no row for the verifier, whose zero means that it wasn't asked."""
+    stages = F.array(*(F.struct(F.lit(s).alias("stage"), F.col(f"{s}_nanos").alias("nanos")) for s in ("embed", "search", "verify")))
+    each = events.select(F.explode(stages).alias("s")).where("s.nanos IS NOT NULL AND (s.stage <> 'verify' OR s.nanos > 0)")
+    return each.groupBy(F.col("s.stage").alias("stage")).agg(F.count(F.lit(1)).alias("n"), F.sum("s.nanos").alias("total_nanos"), F.max("s.nanos").alias("longest_nanos"))
+
+
 def spans_of(lookups: DataFrame) -> DataFrame:
-    """Stage spans of lookups(query_id, end_nanos, stages array<struct<name, nanos>>), laid end to end so that the last ends at end_nanos."""
-    each = lookups.select("query_id", "end_nanos", "stages", F.posexplode("stages").alias("place", "stage"))
-    rest = F.aggregate(F.slice("stages", F.col("place") + 1, F.size("stages")), F.lit(0).cast("long"), lambda s, x: s + x["nanos"])
-    start = F.col("end_nanos") - rest
-    return each.select("query_id", F.col("stage.name").alias("name"), start.alias("start_nanos"), (start + F.col("stage.nanos")).alias("end_nanos"))
+    """Spans of lookups(query_id, end_nanos, stages array<struct<name, nanos>>): the lookup's own, without a parent, as long as
+    its stages together, and its stages' laid end to end in it. A stage of no time didn't run and has none."""
+    ran = F.filter("stages", lambda s: s["nanos"] > 0)
+    total = lambda stages: F.aggregate(stages, F.lit(0).cast("long"), lambda s, x: s + x["nanos"])
+    base = lookups.select("query_id", "end_nanos", ran.alias("stages"))
+    whole = F.struct(F.lit(None).cast("string").alias("parent"), F.lit("lookup").alias("name"), (F.col("end_nanos") - total(F.col("stages"))).alias("start_nanos"), F.col("end_nanos").alias("end_nanos"))
+
+    def part(stage: Column, i: Column) -> Column:
+        start = F.col("end_nanos") - total(F.slice("stages", i + 1, F.size("stages")))
+        return F.struct(F.lit("lookup").alias("parent"), stage["name"].alias("name"), start.alias("start_nanos"), (start + stage["nanos"]).alias("end_nanos"))
+
+    return base.select("query_id", F.explode(F.concat(F.array(whole), F.transform("stages", part))).alias("s")).select("query_id", "s.*")
 
 
 def log_lines(events: DataFrame, show_prompt: bool = False, most: int = 200) -> DataFrame:

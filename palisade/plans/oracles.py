@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from palisade.functions.vocabulary import ENGLISH
+from palisade.functions.vocabulary import ABBREVIATIONS, COORDINATORS, ENGLISH, FRAMING
 from palisade.plans import prompts
 from palisade.plans.queries import THRESHOLD
 
@@ -111,6 +111,121 @@ GUARD_SQL = {
     ),
 }
 
+# The whole chain -------------------------------------------------------------------------------------------------
+
+_WORD = "'[\\p{L}\\p{N}]+'"
+
+
+def _names(found: str, gaps: str) -> str:
+    """Names of a text's words and of the gaps before them, the first of each."""
+    end = f"regexp_extract({gaps}[i], '[.?!]')"
+    opens = f"CASE WHEN {end} = '' THEN false WHEN {end} <> '.' THEN true ELSE length({found}[i - 1]) > 1 AND NOT list_contains({_list(ABBREVIATIONS)}, lower({found}[i - 1])) END"
+    named = f"regexp_matches({found}[i], '^\\p{{Lu}}') AND length({found}[i]) >= 2 AND NOT list_contains({_list(ENGLISH.capitals)}, lower({found}[i])) AND NOT (list_contains({_list(ENGLISH.openers)}, lower({found}[i])) AND {opens})"
+    return f"list_transform(list_filter(range(2, len({found}) + 1), lambda i: {named}), lambda i: lower({found}[i]))"
+
+
+def _spans(marked: str, starts: str) -> str:
+    """Spans as opener, words, framing; those without words are left out."""
+    inner = f"{marked}[{starts}[k] + 1 : coalesce({starts}[k + 1], len({marked}) + 1) - 1]"
+    span = f"{{'opener': nullif({marked}[{starts}[k]], ''), 'words': list_filter({inner}, lambda w: NOT list_contains({_list(ENGLISH.stopwords)}, w)), 'framing': list_has_any({inner}, {_list(FRAMING)})}}"
+    return f"list_filter(list_transform(range(1, len({starts}) + 1), lambda k: {span}), lambda s: len(s.words) > 0)"
+
+
+def _found(word: str, words: str) -> str:
+    return f"(list_contains({words}, {word}) OR len(list_filter({words}, lambda v: {_same(word, 'v')})) > 0)"
+
+
+def _spelled(name: str, words: str) -> str:
+    part = f"{words}[i : i + length({name}) - 1]"
+    return f"(length({name}) BETWEEN 3 AND 6 AND len(list_filter(range(1, len({words}) - length({name}) + 2), lambda i: array_to_string(list_transform({part}, lambda v: v[1]), '') = {name} AND NOT list_has_any({part}, {_list(ENGLISH.stopwords)}))) > 0)"
+
+
+def _shared(a: str, b: str) -> str:
+    """How many words of a find a partner of their own in b, each taking the first that is left."""
+    at = f"coalesce(list_position(list_transform(s.l, lambda v: {_same('x.w', 'v')}), true), 0)"
+    step = f"{{'l': list_filter(s.l, lambda v, i: i <> {at}), 'w': '', 'n': s.n + CASE WHEN {at} > 0 THEN 1 ELSE 0 END}}"
+    return f"list_reduce(list_prepend({{'l': {b}, 'w': '', 'n': 0}}, list_transform({a}, lambda w: {{'l': []::VARCHAR[], 'w': w, 'n': 0}})), lambda s, x: {step}).n"
+
+
+def _diverges(a: str, b: str, least: float = 0.25, words: int = 5) -> str:
+    return f"(CASE WHEN len({a}) >= {words} AND len({b}) >= {words} THEN (SELECT n / (len({a}) + len({b}) - n) < {least} FROM (SELECT {_shared(a, b)} AS n)) ELSE false END)"
+
+
+def _narrowed(spans: str, short: str) -> str:
+    new = lambda s: f"len(list_filter({s}.words, lambda w: NOT {_found('w', short)})) > 0"
+    last = f"{spans}[len({spans})]"
+    return f"coalesce(len({spans}) > 0 AND len(list_filter({spans}, lambda s: {new('s')})) = 1 AND {new(last)} AND {last}.opener IS NOT NULL AND NOT {last}.framing, false)"
+
+
+def _inside(short: str, long: str) -> str:
+    return f"len(list_filter({short}, lambda w: NOT {_found('w', long)})) = 0"
+
+
+def _either(words: str) -> str:
+    pair = f"(({words}[i] = fx AND {words}[i + 2] = fy) OR ({words}[i] = fy AND {words}[i + 2] = fx))"
+    return f"(len(list_filter(range(1, len({words}) - 1), lambda i: {pair} AND list_contains({_list(COORDINATORS)}, {words}[i + 1]))) > 0 AND NOT list_contains({words}, 'than'))"
+
+
+def _drop(words: str, which) -> str:
+    return f"list_filter({words}, lambda w: NOT list_contains({_list(which)}, w))"
+
+
+RULES = ("numeric", "unit", "temporal", "negation", "antonym", "entity", "substitution", "scope", "direction", "sub-span", "lexical-divergence")
+_G = {r: f"g_{r.replace('-', '_')}" for r in RULES}
+_FIRST = "coalesce(" + ", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, c in _G.items()) + ")"
+
+
+def _but_last(last: str) -> str:
+    return "coalesce(" + ", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, c in list(_G.items())[:-1]) + f", {last})"
+
+
+#: The first rule that rejects with the prompts exchanged: only one rule reads them in order.
+_FIRST_BACK = _but_last("CASE WHEN g_back THEN 'lexical-divergence' END")
+
+
+def _chain(source: str) -> str:
+    """Steps c1 to c5: the rows of source with a column for each rule about its texts a and b."""
+    read = lambda t, k: f"{_words(t)} AS w{k}, regexp_extract_all({t}, {_WORD}) AS f{k}, string_split_regex({t}, {_WORD}) AS x{k}, flatten(list_transform(string_split_regex({t}, '[,;:]|\\s-\\s'), lambda c: list_prepend('', {_words('c')}))) AS m{k}"
+    more = lambda k: f"{_content(f'w{k}')} AS c{k}, {_unit_names(f'w{k}')} AS u{k}, {_names(f'f{k}', f'x{k}')} AS e{k}, list_filter(range(1, len(m{k}) + 1), lambda i: m{k}[i] = '' OR list_contains({_list(ENGLISH.qualifiers)}, m{k}[i])) AS s{k}"
+    third = lambda k: f"{_spans(f'm{k}', f's{k}')} AS p{k}, {_drop(f'c{k}', ENGLISH.temporal)} AS t{k}, {_drop(f'c{k}', ENGLISH.negation)} AS n{k}"
+    exclusive = lambda x, y, w: f"len(list_filter({x}, lambda z: NOT list_contains({y}, z) AND NOT {_spelled('z', w)})) > 0"
+    turned = f"CASE WHEN len(ca) = 2 THEN list_has_any(ca, {_list(ENGLISH.direction)}) ELSE len(list_filter(range(1, len(ca) + 1), lambda i: list_concat(ca, ca)[i : i + len(ca) - 1] = cb)) > 0 END"
+    rules = {
+        "numeric": f"{_numbers('a')} <> {_numbers('b')}",
+        "unit": f"list_has_any({_kinds('wa', 'ub')}, {_kinds('wb', 'ua')})",
+        "temporal": f"{_marked('wa', ENGLISH.temporal)} <> {_marked('wb', ENGLISH.temporal)} AND len(ta) = len(tb) AND len({_differ('ta', 'tb')}) = 0",
+        "negation": f"{_NEGATED.format(t='a', w='wa')} <> {_NEGATED.format(t='b', w='wb')} AND len(na) = len(nb) AND len({_differ('na', 'nb')}) <= 1",
+        "antonym": f"len(list_filter({_OPPOSITES}, lambda o: {_COUNT.format(w='wa', o='o[1]')} > {_COUNT.format(w='wb', o='o[1]')} AND {_COUNT.format(w='wb', o='o[2]')} > {_COUNT.format(w='wa', o='o[2]')})) > 0",
+        "entity": f"{exclusive('ea', 'eb', 'wb')} AND {exclusive('eb', 'ea', 'wa')}",
+        "substitution": f"len(ca) = len(cb) AND len(ca) >= 4 AND len(list_filter(range(1, len(ca) + 1), lambda i: NOT {_SUB_SAME})) = 1",
+        "scope": f"len(list_filter({_SHAPES_A}, lambda x: NOT list_contains({_SHAPES_B}, x))) > 0 AND len(list_filter({_SHAPES_B}, lambda x: NOT list_contains({_SHAPES_A}, x))) > 0",
+        "direction": f"(list_has_any(wa, {_list(ENGLISH.direction)}) OR list_has_any(wb, {_list(ENGLISH.direction)})) AND len(ca) > 0 AND len(ca) = len(cb) AND ca <> cb AND list_sort(ca) = list_sort(cb) AND NOT ({turned}) AND NOT {_either('wa')} AND NOT {_either('wb')}",
+        "sub-span": f"CASE WHEN len(ca) > len(cb) AND {_inside('cb', 'ca')} THEN {_narrowed('pa', 'cb')} WHEN len(cb) > len(ca) AND {_inside('ca', 'cb')} THEN {_narrowed('pb', 'ca')} ELSE false END",
+        "lexical-divergence": _diverges("ca", "cb"),
+    }
+    found = ", ".join(f"coalesce({rule}, false) AS {_G[name]}" for name, rule in rules.items())
+    return f"""
+c1 AS (SELECT *, {read('a', 'a')}, {read('b', 'b')} FROM {source}),
+c2 AS (SELECT *, {more('a')}, {more('b')} FROM c1),
+c3 AS (SELECT *, {third('a')}, {third('b')}, ca[list_filter(range(1, len(ca) + 1), lambda i: ca[i] <> cb[i])[1]] AS fx, cb[list_filter(range(1, len(ca) + 1), lambda i: ca[i] <> cb[i])[1]] AS fy FROM c2),
+c4 AS (SELECT *, {found}, coalesce({_diverges('cb', 'ca')}, false) AS g_back FROM c3),
+c5 AS (SELECT *, {_FIRST} AS guard_reason, {_FIRST_BACK} AS back_reason FROM c4)"""
+
+
+_PAIRS = f"WITH p AS ({prompts.ORDER_PAIRS}), {_chain('p')}"
+_STRICT = _but_last(f"CASE WHEN {_diverges('ca', 'cb', 0.35, 4)} THEN 'lexical-divergence' END, CASE WHEN len(wa) > 0 AND len(wb) > 0 AND greatest(len(wa), len(wb)) / least(len(wa), len(wb)) > 4.0 THEN 'length-ratio' END")
+_PROSE = _FIRST.replace("CASE WHEN g_substitution THEN 'substitution' END, ", "")
+_ANCHORS = "list_distinct(list_concat(e{k}, list_filter(w{k}, lambda w: regexp_matches(w, '\\p{{Nd}}'))))"
+_MOVED = "len(list_filter(range(1, len(oa) + 1), lambda i: len(list_filter(range(i + 1, len(oa) + 1), lambda j: list_position(ob, oa[i]) > list_position(ob, oa[j]))) > 0)) > 0"
+_PLACES = {"lisbon": "iberia", "madrid": "iberia", "vienna": "centre", "prague": "centre", "warsaw": "east"}
+_GROUPS = "list_distinct(list_transform(list_filter({w}, lambda w: list_contains(" + _list(_PLACES) + ", w)), lambda w: map {{" + ", ".join(f"'{k}': '{v}'" for k, v in _PLACES.items()) + "}}[w]))"
+
+GUARD_SQL |= {f"guard_{r.replace('-', '_')}": f"{_PAIRS} SELECT pair_id, {_G[r]} AS rejects FROM c4" for r in ("entity", "direction", "sub-span", "lexical-divergence")} | {
+    "guard_chain": f"{_PAIRS} SELECT pair_id, guard_reason AS standard, {_STRICT} AS strict, {_PROSE} AS prose FROM c5",
+    "guard_word_order": f"{_PAIRS}, o1 AS (SELECT *, list_intersect({_ANCHORS.format(k='a')}, {_ANCHORS.format(k='b')}) AS sh FROM c2), o2 AS (SELECT *, list_filter(ca, lambda w: list_contains(sh, w)) AS oa, list_filter(cb, lambda w: list_contains(sh, w)) AS ob FROM o1) SELECT pair_id, list_sort(ca) = list_sort(cb) AND len(sh) >= 2 AND {_MOVED} AS rejects FROM o2",
+    "guard_field_terms": f"WITH p AS ({prompts.ORDER_PAIRS}), w AS (SELECT pair_id, {_GROUPS.format(w=_words('a'))} AS x, {_GROUPS.format(w=_words('b'))} AS y FROM p) SELECT pair_id, len(x) > 0 AND len(y) > 0 AND NOT list_has_any(x, y) AS rejects FROM w",
+}
+
 # Vectors ---------------------------------------------------------------------------------------------------------
 
 
@@ -150,14 +265,8 @@ _INT8 = "list_transform(embedding, lambda x: CAST(least(greatest(floor(x::DOUBLE
 
 _JUDGED = f"""
 {_NEAR}, c AS (
-  SELECT n.*, q.scope, q.embedder AS qe, e.embedder AS ee, q.prompt, e.prompt AS stored, e.response FROM n JOIN q USING (query_id) JOIN e USING (entry_id) WHERE rank <= 5
-), g AS (
-  SELECT *, {_words('prompt')} AS wa, {_words('stored')} AS wb, {_numbers('prompt')} AS na, {_numbers('stored')} AS nb FROM c
-), v AS (
-  SELECT *, CASE WHEN na <> nb THEN 'numeric' END AS g_numeric,
-    CASE WHEN len(list_filter({_SHAPES_A}, lambda x: NOT list_contains({_SHAPES_B}, x))) > 0 AND len(list_filter({_SHAPES_B}, lambda x: NOT list_contains({_SHAPES_A}, x))) > 0 THEN 'scope' END AS g_scope
-  FROM g
-)
+  SELECT n.*, q.scope, q.embedder AS qe, e.embedder AS ee, q.prompt AS a, e.prompt AS b, e.response FROM n JOIN q USING (query_id) JOIN e USING (entry_id) WHERE rank <= 5
+), {_chain('c')}, v AS (SELECT *, b AS stored, a AS prompt FROM c5)
 """
 
 
@@ -165,8 +274,8 @@ def _decided(threshold: str, extra: str = "") -> str:
     return f"""
 {_JUDGED}, t AS (SELECT *, {threshold} AS threshold FROM v), d AS (
   SELECT *, CASE WHEN similarity < threshold THEN 'BELOW_THRESHOLD' WHEN qe <> ee THEN 'EMBEDDER_MISMATCH'
-    WHEN coalesce(g_numeric, g_scope) IS NOT NULL THEN 'GUARD_REJECTED' END AS why,
-    CASE WHEN similarity >= threshold AND qe = ee THEN coalesce(g_numeric, g_scope) END AS guard
+    WHEN guard_reason IS NOT NULL THEN 'GUARD_REJECTED' END AS why,
+    CASE WHEN similarity >= threshold AND qe = ee THEN guard_reason END AS guard
   FROM t
 ), f AS (
   SELECT query_id,
@@ -219,18 +328,16 @@ WHERE NOT EXISTS (SELECT 1 FROM lg c WHERE c.op = 'C' AND c.seq > p.seq AND (c.s
 # Scoring ---------------------------------------------------------------------------------------------------------
 
 _CORPUS = f"""
-WITH p0 AS ({prompts.ORDER_PAIRS}), p AS (SELECT *, kind IN ('same', 'typo', 'grouped') AS should_match FROM p0 WHERE pair_id % 3 = 0), g AS (
-  SELECT *, {_words('a')} AS wa, {_words('b')} AS wb, {_numbers('a')} AS na, {_numbers('b')} AS nb FROM p
-), j AS (
-  SELECT *, list_filter([CASE WHEN na <> nb THEN 'numeric' END,
-    CASE WHEN len(list_filter({_SHAPES_A}, lambda x: NOT list_contains({_SHAPES_B}, x))) > 0 AND len(list_filter({_SHAPES_B}, lambda x: NOT list_contains({_SHAPES_A}, x))) > 0 THEN 'scope' END], lambda x: x IS NOT NULL) AS rejecting
-  FROM g
+WITH p0 AS ({prompts.ORDER_PAIRS}), p AS (SELECT *, kind IN ('same', 'typo', 'grouped') AS should_match FROM p0), {_chain('p')}, j AS (
+  SELECT *, list_filter([{', '.join(f"CASE WHEN {c}{' OR g_back' if r == 'lexical-divergence' else ''} THEN '{r}' END" for r, c in _G.items())}], lambda x: x IS NOT NULL) AS rejecting,
+    (guard_reason IS NULL) <> (back_reason IS NULL) AS disagrees FROM c5
 ), cs AS (
   SELECT kind, count(*) FILTER (WHERE NOT should_match) AS near_misses, count(*) FILTER (WHERE NOT should_match AND len(rejecting) > 0) AS caught,
-    count(*) FILTER (WHERE should_match) AS paraphrases, count(*) FILTER (WHERE should_match AND len(rejecting) = 0) AS kept, 0 AS direction_disagreements
+    count(*) FILTER (WHERE should_match) AS paraphrases, count(*) FILTER (WHERE should_match AND len(rejecting) = 0) AS kept, count(*) FILTER (WHERE disagrees) AS direction_disagreements
   FROM j GROUP BY GROUPING SETS ((kind), ())
 )
 """
+_RULE_LIST = "[" + ", ".join(f"'{r}'" for r in RULES) + "]"
 
 
 def _wilson(k: str, n: str, sign: str, edge: str) -> str:
@@ -256,13 +363,24 @@ _OUTCOMES = f"""
 )
 """
 
-_QUESTION = "regexp_matches({t}, '\\?\\s*$') OR regexp_matches({t}, '(?i)^\\s*(who|what|when|where|why|which|whose|whom|how|is|are|was|were|do|does|did|can|could|should|would|will|has|have|had|may|might)\\b')"
-_VERB = "regexp_matches({t}, '(?i)\\b(is|are|was|were|be|been|has|have|had|do|does|did|can|could|will|would|should|\\w+ed|\\w+ing)\\b')"
-_BAND = "(CASE WHEN (length(a) + length(b)) // 2 < 40 THEN 0 WHEN (length(a) + length(b)) // 2 < 80 THEN 1 WHEN (length(a) + length(b)) // 2 < 120 THEN 2 WHEN (length(a) + length(b)) // 2 < 200 THEN 3 WHEN (length(a) + length(b)) // 2 < 400 THEN 4 WHEN (length(a) + length(b)) // 2 < 1000 THEN 5 ELSE 6 END)"
+# The bands and registers as their definition has them.
+_MEAN = "(length(a) + length(b)) // 2"
+_BAND = f"CAST(CASE WHEN {_MEAN} < 48 THEN 0 WHEN {_MEAN} < 96 THEN 1 WHEN {_MEAN} < 192 THEN 2 WHEN {_MEAN} < 384 THEN 3 WHEN {_MEAN} < 768 THEN 4 WHEN {_MEAN} < 1536 THEN 5 ELSE 6 END AS INTEGER)"
+_ASKS = "what who whom whose where when why which how is are was were am be do does did can could should would will shall may might has have had".split()
+_TELLS = "explain define list show give write convert calculate find compare translate summarize summarise describe tell name create make generate set add remove install configure fix recommend suggest draft rewrite outline analyse analyze check review".split()
+_VERB = "'\\b(is|are|was|were|be|been|being|has|have|had|do|does|did|will|would|can|could|should|may|might|\\w+ed|\\w+s)\\b'"
+_BANDS = "(VALUES (0, '<48'), (1, '48-95'), (2, '96-191'), (3, '192-383'), (4, '384-767'), (5, '768-1535'), (6, '1536+')) AS bands(band, label)"
+_REGISTERS = "(VALUES ('question'), ('imperative'), ('fragment'), ('declarative'), ('mixed')) AS registers(register)"
 
 
 def _register(t: str) -> str:
-    return f"CASE WHEN {_QUESTION.format(t=t)} THEN 'question' WHEN len({_words(t)}) <= 6 AND NOT {_VERB.format(t=t)} THEN 'fragment' ELSE 'declarative' END"
+    low = f"lower(regexp_replace({t}, '^\\s+|\\s+$', '', 'g'))"
+    found = f"regexp_extract_all({low}, '[\\p{{L}}\\p{{N}}'']+')"
+    return f"CASE WHEN len({found}) = 0 THEN 'fragment' WHEN {low} LIKE '%?' OR list_contains({_list(_ASKS)}, {found}[1]) THEN 'question' WHEN list_contains({_list(_TELLS)}, {found}[1]) THEN 'imperative' WHEN len({found}) <= 6 AND NOT regexp_matches({low}, {_VERB}) THEN 'fragment' ELSE 'declarative' END"
+
+
+_PAIR_REGISTER = f"CASE WHEN {_register('a')} = {_register('b')} THEN {_register('a')} ELSE 'mixed' END"
+_COUNTS = "count(j.pair_id) AS pairs, count(j.pair_id) FILTER (WHERE NOT should_match) AS near_misses, count(j.pair_id) FILTER (WHERE NOT should_match AND len(rejecting) > 0) AS caught, count(j.pair_id) FILTER (WHERE should_match) AS paraphrases, count(j.pair_id) FILTER (WHERE should_match AND len(rejecting) = 0) AS kept"
 
 
 def _grams(t: str) -> str:
@@ -284,14 +402,16 @@ WITH {_Q}, {_E}, s AS (
 ), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, entry_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, entry_id, similarity, rank FROM n WHERE rank <= 3""",
     "retrieval": f"WITH {_NEAR} SELECT query_id, entry_id FROM n WHERE rank = 1",
-    "text_words": f"WITH w AS (SELECT conv_id, turn, {_words('text')} AS w FROM conversations), c AS (SELECT *, {_content('w')} AS c FROM w) SELECT conv_id, turn, len(w) AS n_words, len(c) AS n_content, array_to_string(c[1:5], ' ') AS first_content FROM c",
+    "text_words": f"WITH w AS (SELECT conv_id, turn, {_words('text')} AS w FROM conversations), c AS (SELECT *, {_content('w')} AS c FROM w) SELECT conv_id, turn, len(w) AS n_words, len(c) AS n_content, array_to_string(c, ' ') AS content FROM c",
     "text_numbers": f"WITH p AS ({prompts.ORDER_PAIRS}) SELECT pair_id, array_to_string({_numbers('a')}, ' ') AS numbers_a, array_to_string({_numbers('b')}, ' ') AS numbers_b FROM p",
     "document_numbers": f"WITH n AS (SELECT doc_id, {_numbers('text')} AS n FROM documents) SELECT doc_id, len(n) AS n_numbers, array_to_string(n, ' ') AS numbers FROM n",
     "text_units": f"WITH p AS ({prompts.ORDER_PAIRS}), w AS (SELECT pair_id, {_words('a')} AS w FROM p) SELECT pair_id, array_to_string(list_sort({_unit_names('w')}), ' ') AS units FROM w",
     "text_ngrams": f"{_JACCARD} SELECT pair_id, jaccard FROM j",
     "text_similar_questions": f"{_JACCARD} SELECT pair_id FROM j WHERE jaccard >= 0.6",
-    "text_registers": f"WITH p AS ({prompts.ORDER_PAIRS}), r AS (SELECT {_register('a')} AS ra, {_register('b')} AS rb, {_BAND} AS band FROM p) SELECT CASE WHEN ra = rb THEN ra ELSE 'mixed' END AS register, band, count(*) AS n FROM r GROUP BY 1, 2",
+    "text_names": f"{_PAIRS} SELECT pair_id, array_to_string(list_filter(ea, lambda z, i: list_position(ea, z) = i), ' ') AS names_a, array_to_string(list_filter(eb, lambda z, i: list_position(eb, z) = i), ' ') AS names_b FROM c2",
+    "text_registers": f"WITH p AS ({prompts.ORDER_PAIRS}), r AS (SELECT {_PAIR_REGISTER} AS register, {_BAND} AS band FROM p) SELECT registers.register, bands.band, count(r.band) AS n FROM {_REGISTERS} CROSS JOIN {_BANDS} LEFT JOIN r ON r.register = registers.register AND r.band = bands.band GROUP BY 1, 2",
     "lookup_decisions": f"WITH {_decided(str(THRESHOLD))} SELECT * FROM out",
+    "lookup_standard": f"WITH {_decided(str(THRESHOLD))} SELECT * FROM out",
     "lookup_scope_thresholds": f"WITH {_decided(f'CASE scope WHEN $$0$$ THEN 0.1 WHEN $$1$$ THEN 0.3 ELSE {THRESHOLD} END')} SELECT query_id, is_hit, entry_id, reason FROM out",
     "lookup_verified": f"""
 WITH {_JUDGED}, d AS (
@@ -301,10 +421,10 @@ WITH {_JUDGED}, d AS (
 )
 SELECT q.query_id, h.rank IS NOT NULL AS is_hit, h.entry_id, CASE WHEN h.rank IS NULL THEN coalesce(m.why, 'EMPTY_SCOPE') END AS reason
 FROM q LEFT JOIN f USING (query_id) LEFT JOIN d h ON h.query_id = q.query_id AND h.rank = f.hit LEFT JOIN d m ON m.query_id = q.query_id AND m.rank = coalesce(f.refused, 1)""",
-    "lookup_explained": f"WITH {_JUDGED} SELECT query_id, entry_id, rank, similarity, similarity >= {THRESHOLD} AS above, qe = ee AS same_embedder, g_numeric AS numeric, g_scope AS scope FROM v",
+    "lookup_explained": f"WITH {_JUDGED} SELECT query_id, entry_id, rank, similarity, similarity >= {THRESHOLD} AS above, qe = ee AS same_embedder, {', '.join(f"CASE WHEN {c} THEN '{r}' END AS {c.removeprefix('g_')}" for r, c in _G.items())} FROM v",
     "lookup_shadow": f"""
 WITH {_JUDGED}, t AS (SELECT unnest([0.18, 0.22, 0.26])::DOUBLE AS threshold), x AS (
-  SELECT query_id, threshold, rank, entry_id, coalesce(g_numeric, g_scope) AS guard FROM v, t WHERE similarity >= threshold
+  SELECT query_id, threshold, rank, entry_id, similarity, stored, guard_reason AS guard FROM v, t WHERE similarity >= threshold
 ), f AS (
   SELECT query_id, threshold, min(CASE WHEN guard IS NULL THEN rank END) AS hit, min(CASE WHEN guard IS NOT NULL THEN rank END) AS refused FROM x GROUP BY 1, 2
 )
@@ -319,17 +439,21 @@ WITH c AS (
 SELECT conv_id, turn, md5(concat(context, coalesce(text, ''))) AS key_md5, length(concat(context, coalesce(text, ''))) AS key_length FROM c WHERE role = 'user'""",
     "stats_total": f"WITH {_decided(str(THRESHOLD))} SELECT {_STATS} FROM out",
     "stats_by_scope": f"WITH {_decided(str(THRESHOLD))} SELECT scope, {_STATS} FROM out GROUP BY scope",
-    "stats_guards": f"WITH {_decided(str(THRESHOLD))}, k AS (SELECT unnest(['numeric', 'unit', 'scope']) AS guard) SELECT k.guard, count(out.query_id) AS rejections FROM k LEFT JOIN out ON out.guard = k.guard GROUP BY k.guard",
+    "stats_guards": f"WITH {_decided(str(THRESHOLD))}, k AS (SELECT unnest({_RULE_LIST}) AS guard) SELECT k.guard, count(out.query_id) AS rejections FROM k LEFT JOIN out ON out.guard = k.guard GROUP BY k.guard",
     "stats_savings": """
-WITH h AS (SELECT event_type AS scope, CASE WHEN event_id % 7 <> 0 THEN event_id % 50 END AS n_in, event_id % 90 AS n_out FROM events),
-s AS (SELECT scope, count(*) AS hits, CAST(coalesce(sum(n_in), 0) AS BIGINT) AS tokens_in, CAST(coalesce(sum(n_out), 0) AS BIGINT) AS tokens_out, count(*) FILTER (WHERE n_in IS NULL OR n_out IS NULL) AS uncounted FROM h GROUP BY scope),
+WITH h AS (SELECT event_type AS scope, CASE WHEN event_id % 7 <> 0 THEN event_id % 50 END AS n_in, CASE WHEN event_id % 3 <> 0 THEN event_id % 90 END AS n_out FROM events),
+s AS (SELECT scope, count(*) AS hits, CAST(coalesce(sum(n_in), 0) AS BIGINT) AS tokens_in, CAST(coalesce(sum(n_out), 0) AS BIGINT) AS tokens_out, count(*) FILTER (WHERE n_in IS NULL AND n_out IS NULL) AS uncounted FROM h GROUP BY scope),
 p(scope, currency, price_in, price_out, price_call) AS (VALUES ('view', 'USD', 0.5::DOUBLE, 1.5::DOUBLE, 0.25::DOUBLE), ('click', 'EUR', 0.25, 1.0, 0.0), ('error', 'USD', 1.0, 2.0, 0.5))
 SELECT scope, currency, hits, tokens_in, tokens_out, uncounted, tokens_in * price_in + tokens_out * price_out + hits * price_call AS saved FROM s JOIN p USING (scope)""",
     "stats_metrics": "SELECT event_type, json_extract_string(props, '$.k') AS tag, count(*) AS n, round(sum(value), 4) AS total, max(value) AS most FROM events GROUP BY 1, 2",
     "stats_spans": """
 WITH e AS (SELECT event_id AS q, event_id * 1000 + 5000 AS t, event_id % 100 AS a, event_id % 37 AS b, event_id % 11 AS c FROM events)
-SELECT q AS query_id, 'embed' AS name, t - a - b - c AS start_nanos, t - b - c AS end_nanos FROM e
-UNION ALL SELECT q, 'search', t - b - c, t - c FROM e UNION ALL SELECT q, 'verify', t - c, t FROM e""",
+SELECT q AS query_id, CAST(NULL AS VARCHAR) AS parent, 'lookup' AS name, t - a - b - c AS start_nanos, t AS end_nanos FROM e
+UNION ALL SELECT q, 'lookup', 'embed', t - a - b - c, t - b - c FROM e WHERE a > 0
+UNION ALL SELECT q, 'lookup', 'search', t - b - c, t - c FROM e WHERE b > 0 UNION ALL SELECT q, 'lookup', 'verify', t - c, t FROM e WHERE c > 0""",
+    "stats_timers": """
+WITH s AS (SELECT 'embed' AS stage, event_id % 100 AS nanos FROM events UNION ALL SELECT 'search', event_id % 37 FROM events UNION ALL SELECT 'verify', event_id % 11 FROM events WHERE event_id % 11 > 0)
+SELECT stage, count(*) AS n, CAST(sum(nanos) AS BIGINT) AS total_nanos, max(nanos) AS longest_nanos FROM s GROUP BY stage""",
     "stats_log": "SELECT event_id, concat('event=', event_type, ' scope=u', CAST(user_id AS STRING), ' prompt=', CAST(length(props) AS STRING)) AS line FROM events",
     "admission_outcomes": f"WITH {_SEEN} SELECT event_id, sighting, CASE WHEN sighting > 2 THEN 'hit' WHEN sighting = 2 THEN 'stored' ELSE 'held_back' END AS outcome FROM k",
     "admission_rates": f"WITH {_SEEN}, t AS (SELECT unnest([1, 2, 3]) AS nth) SELECT nth, count(*) FILTER (WHERE sighting > nth) AS n_hit, count(*) FILTER (WHERE sighting = nth) AS n_stored, count(*) FILTER (WHERE sighting < nth) AS n_held_back, count(*) AS n_requests, count(*) FILTER (WHERE sighting > nth) / count(*) AS hit_rate FROM k, t GROUP BY nth",
@@ -348,11 +472,19 @@ WITH RECURSIVE w AS (
 SELECT scope, wd AS "window", threshold FROM t""",
     "score_corpus": f"{_CORPUS} SELECT near_misses, caught, paraphrases, kept, direction_disagreements, caught / near_misses AS catch_rate, {_wilson('caught', 'near_misses', '-', '0.0')} AS catch_low, {_wilson('caught', 'near_misses', '+', '1.0')} AS catch_high, kept / paraphrases AS retention, {_wilson('kept', 'paraphrases', '-', '0.0')} AS retention_low, {_wilson('kept', 'paraphrases', '+', '1.0')} AS retention_high FROM cs WHERE kind IS NULL",
     "score_by_kind": f"{_CORPUS} SELECT kind, near_misses, caught, paraphrases, kept, direction_disagreements FROM cs WHERE kind IS NOT NULL",
-    "score_by_guard": f"""{_CORPUS}, k AS (SELECT unnest(['numeric', 'scope', 'unit']) AS guard), x AS (
+    "score_by_guard": f"""{_CORPUS}, k AS (SELECT unnest({_RULE_LIST}) AS guard), x AS (
   SELECT k.guard, count(*) FILTER (WHERE NOT should_match AND list_contains(rejecting, k.guard)) AS caught, count(*) FILTER (WHERE NOT should_match AND rejecting = [k.guard]) AS "only",
     count(*) FILTER (WHERE should_match AND list_contains(rejecting, k.guard)) AS lost, count(*) FILTER (WHERE NOT should_match) AS nm FROM k, j GROUP BY k.guard)
 SELECT guard, caught, "only", lost, CASE WHEN caught + lost > 0 THEN caught / (caught + lost) END AS precision, CASE WHEN nm > 0 THEN caught / nm END AS recall FROM x""",
     "score_breakdown": f"{_CORPUS}, b AS (SELECT kind, {_BAND} AS band, rejecting FROM j) SELECT kind, band, count(*) AS n, count(*) FILTER (WHERE len(rejecting) > 0) AS rejected FROM b GROUP BY GROUPING SETS ((kind), (band), ())",
+    "score_by_band": f"{_CORPUS}, b AS (SELECT *, {_BAND} AS band FROM j) SELECT bands.band, bands.label, {_COUNTS.replace('j.', 'b.')} FROM {_BANDS} LEFT JOIN b ON b.band = bands.band GROUP BY 1, 2",
+    "score_by_register": f"{_CORPUS}, b AS (SELECT *, {_PAIR_REGISTER} AS register FROM j) SELECT registers.register, {_COUNTS.replace('j.', 'b.')} FROM {_REGISTERS} LEFT JOIN b ON b.register = registers.register GROUP BY 1",
+    "score_pairs": f"WITH e AS (SELECT vec_id, vec_id - vec_id % 10 AS other, list_transform(embedding, lambda x: CAST(x::DOUBLE / {_NORM} AS FLOAT)) AS u FROM embeddings) SELECT x.vec_id AS pair_id, x.vec_id % 3 = 0 AS should_match, round({_dot('x.u', 'y.u')}, 9) AS similarity, x.vec_id <> x.other AS vetoed FROM e x JOIN e y ON y.vec_id = x.other",
+    "calibrate_trials": f"""
+WITH p AS (SELECT unnest([0.05, 1.0, 5.0, 20.0, 60.0])::DOUBLE AS points), n AS (SELECT unnest(range(10, 1000001, 10)) AS n), k AS (
+  SELECT points, n, floor(least(greatest(0.68::DOUBLE - points / 200, 0), 1) * n) AS lo, floor(least(greatest(0.68::DOUBLE + points / 200, 0), 1) * n) AS hi FROM p, n
+), s AS (SELECT points, min(n) AS n FROM k WHERE {_wilson('lo', 'n', '+', '1.0')} < {_wilson('hi', 'n', '-', '0.0')} GROUP BY points)
+SELECT points, CAST(coalesce(n, 2147483647) AS BIGINT) AS trials FROM p LEFT JOIN s USING (points)""",
     "calibrate_outcomes": f"WITH {_OUTCOMES} SELECT step, threshold, tp, fp, tn, fn, precision, recall, f1, false_hit_rate FROM of1",
     "calibrate_recommended": f"""
 WITH {_OUTCOMES}
@@ -382,9 +514,9 @@ SELECT doc_id AS entry_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS pla
     "store_faults": f"WITH {_STORED}, f AS (SELECT CASE WHEN seq % 50 = 0 THEN 'blank id' WHEN seq % 3 = 0 AND length(response) <> 1 THEN $$chunks don't make the response$$ END AS fault FROM st) SELECT fault, count(*) AS n FROM f GROUP BY 1",
     "store_point_ids": "WITH c AS (SELECT c_custkey, md5(c_name) AS m FROM customer) SELECT c_custkey, concat(m[1:8], '-', m[9:12], '-', m[13:16], '-', m[17:20], '-', m[21:32]) AS point_id FROM c",
     "store_near_duplicates": f"""
-WITH {_E}, x AS (SELECT a.entry_id, b.entry_id AS replaces, {_dot('a.embedding', 'b.embedding')} AS similarity, a.prompt AS prompt, b.prompt AS stored FROM e a JOIN e b ON a.scope = b.scope AND b.entry_id < a.entry_id AND a.embedder = b.embedder),
-g AS (SELECT *, {_words('prompt')} AS wa, {_words('stored')} AS wb FROM x WHERE similarity >= 0.2),
-f AS (SELECT * FROM g WHERE {_numbers('prompt')} = {_numbers('stored')} AND NOT (len(list_filter({_SHAPES_A}, lambda x: NOT list_contains({_SHAPES_B}, x))) > 0 AND len(list_filter({_SHAPES_B}, lambda x: NOT list_contains({_SHAPES_A}, x))) > 0))
+WITH {_E}, x AS (SELECT a.entry_id, b.entry_id AS replaces, {_dot('a.embedding', 'b.embedding')} AS similarity, a.prompt AS a, b.prompt AS b FROM e a JOIN e b ON a.scope = b.scope AND b.entry_id < a.entry_id AND a.embedder = b.embedder),
+g AS (SELECT * FROM x WHERE similarity >= 0.2), {_chain('g')},
+f AS (SELECT * FROM c5 WHERE guard_reason IS NULL AND back_reason IS NULL)
 SELECT entry_id, replaces, similarity FROM (SELECT *, row_number() OVER (PARTITION BY entry_id ORDER BY similarity DESC, replaces) AS n FROM f) WHERE n = 1""",
     "stream_metrics": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total, max(value) AS most FROM events GROUP BY 1, 2",
     "stream_answers": """

@@ -52,6 +52,12 @@ REQUESTS = f"SELECT vec_id AS query_id, CAST(label AS STRING) AS scope, embeddin
 ENTRIES = f"SELECT vec_id AS entry_id, CAST(label AS STRING) AS scope, embedding, {_PROMPT} AS prompt, concat('answer ', CAST(vec_id AS STRING)) AS response, {_EMBEDDER} AS embedder FROM embeddings WHERE vec_id % 2 = 0"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df in as many partitions as there are cores, if it comes in fewer: reading prompts costs CPU, not bytes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def run(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
     """The SQL over the tables it names."""
     return spark.sql(re.sub(r"\b(FROM|JOIN) (\w+)\b", lambda m: f"{m[1]} {{{m[2]}}}" if m[2] in tables else m[0], sql), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})

@@ -33,7 +33,7 @@ def entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    return prompts.run(spark, d, prompts.ORDER_PAIRS, "orders")
+    return prompts.spread(prompts.run(spark, d, prompts.ORDER_PAIRS, "orders"), "pair_id")
 
 
 # Vectors ---------------------------------------------------------------------------------------------------------
@@ -83,7 +83,7 @@ def visible_at_request(spark, d):
 
 def text_words(spark, d):
     w = T.words(F.col("text"))
-    return _t(spark, d, "conversations").select("conv_id", "turn", F.size(w).alias("n_words"), F.size(T.content(w)).alias("n_content"), F.array_join(F.slice(T.content(w), 1, 5), " ").alias("first_content"))
+    return _t(spark, d, "conversations").select("conv_id", "turn", F.size(w).alias("n_words"), F.size(T.content(w)).alias("n_content"), F.array_join(T.content(w), " ").alias("content"))
 
 
 def text_numbers(spark, d):
@@ -111,9 +111,10 @@ def text_similar_questions(spark, d):
 
 
 def text_registers(spark, d):
-    p = pairs(spark, d)
-    a, b = T.register(F.col("a")), T.register(F.col("b"))
-    return p.groupBy(F.when(a == b, a).otherwise("mixed").alias("register"), T.length_band(F.col("a"), F.col("b")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    """How many pairs are of each register and length band; those of none, too."""
+    counted = pairs(spark, d).groupBy(T.pair_register(F.col("a"), F.col("b")).alias("register"), T.length_band(F.col("a"), F.col("b")).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    every = spark.createDataFrame([(r, i) for r in T.REGISTERS for i in range(len(T.BANDS))], "register string, band int")
+    return every.join(counted, ["register", "band"], "left").na.fill(0, ["n"])
 
 
 def _read(spark, d) -> DataFrame:
@@ -136,8 +137,8 @@ def guard_field_terms(spark, d):
 
 
 def guard_chain(spark, d):
-    p = _read(spark, d)
-    return p.select("pair_id", *(G.first_rejection(G.PRESETS[n](), F.col("q"), F.col("c")).alias(n) for n in ("standard", "strict", "prose")))
+    chains = {n: G.PRESETS[n]() for n in ("standard", "strict", "prose")}
+    return G.first_rejections(_read(spark, d), chains, "q", "c").select("pair_id", *chains)
 
 
 GUARDS = {
@@ -160,11 +161,8 @@ GUARDS = {
 
 # Lookups ---------------------------------------------------------------------------------------------------------
 
-_SHORT_CHAIN = [G.numeric(), G.scope()]
-
-
 def _decided(spark, d, **options) -> DataFrame:
-    return lookup.decide(requests(spark, d), entries(spark, d), _SHORT_CHAIN, threshold=THRESHOLD, dim=DIM, **options)
+    return lookup.decide(requests(spark, d), entries(spark, d), threshold=THRESHOLD, dim=DIM, **options)
 
 
 def lookup_decisions(spark, d):
@@ -172,7 +170,8 @@ def lookup_decisions(spark, d):
 
 
 def lookup_standard(spark, d):
-    return lookup.decide(requests(spark, d), entries(spark, d), threshold=THRESHOLD, dim=DIM, salts=4)
+    """The same with each scope's entries dealt to four tasks."""
+    return _decided(spark, d, salts=4)
 
 
 def lookup_scope_thresholds(spark, d):
@@ -186,12 +185,12 @@ def lookup_verified(spark, d):
 
 
 def lookup_explained(spark, d):
-    e = lookup.explain(requests(spark, d), entries(spark, d), _SHORT_CHAIN, threshold=THRESHOLD, dim=DIM)
-    return e.select("query_id", "entry_id", "rank", "similarity", "above", "same_embedder", F.col("verdicts")["numeric"].alias("numeric"), F.col("verdicts")["scope"].alias("scope"))
+    e = lookup.explain(requests(spark, d), entries(spark, d), threshold=THRESHOLD, dim=DIM)
+    return e.select("query_id", "entry_id", "rank", "similarity", "above", "same_embedder", *(F.col("verdicts")[g.name].alias(g.name.replace("-", "_")) for g in G.standard()))
 
 
 def lookup_shadow(spark, d):
-    return lookup.shadow(requests(spark, d), entries(spark, d), [0.18, 0.22, 0.26], _SHORT_CHAIN, dim=DIM)
+    return lookup.shadow(requests(spark, d), entries(spark, d), [0.18, 0.22, 0.26], dim=DIM)
 
 
 def lookup_exact(spark, d):
@@ -206,7 +205,7 @@ def conversation_keys(spark, d):
 
 
 def retrieval(spark, d):
-    """Each request's nearest entry of all scopes' own."""
+    """Each request's nearest entry of its scope."""
     return search.nearest(requests(spark, d), entries(spark, d), k=1, dim=DIM).select("query_id", "entry_id")
 
 
@@ -222,11 +221,13 @@ def stats_by_scope(spark, d):
 
 
 def stats_guards(spark, d):
-    return state.rejections_by_guard(_decided(spark, d), ["numeric", "unit", "scope"])
+    return state.rejections_by_guard(_decided(spark, d), [g.name for g in G.standard()])
 
 
 def stats_savings(spark, d):
-    hits = _t(spark, d, "events").select(F.col("event_type").alias("scope"), F.create_map(F.lit("input_tokens"), F.when(F.col("event_id") % 7 != 0, (F.col("event_id") % 50).cast("string")).otherwise("many"), F.lit("output_tokens"), (F.col("event_id") % 90).cast("string")).alias("metadata"))
+    i = F.col("event_id")
+    counts = F.create_map(F.lit("inputTokens"), F.when(i % 7 != 0, (i % 50).cast("string")).otherwise("many"), F.lit("outputTokens"), F.when(i % 3 != 0, (i % 90).cast("string")))
+    hits = _t(spark, d, "events").select(F.col("event_type").alias("scope"), counts.alias("metadata"))
     prices = spark.createDataFrame([("view", "USD", 0.5, 1.5, 0.25), ("click", "EUR", 0.25, 1.0, 0.0), ("error", "USD", 1.0, 2.0, 0.5)], "scope string, currency string, price_in double, price_out double, price_call double")
     return state.savings(hits, prices)
 
@@ -243,6 +244,11 @@ def stats_spans(spark, d):
     return state.spans_of(each)
 
 
+def stats_timers(spark, d):
+    i = F.col("event_id")
+    return state.timers(_t(spark, d, "events").select((i % 100).alias("embed_nanos"), (i % 37).alias("search_nanos"), (i % 11).alias("verify_nanos")))
+
+
 def stats_log(spark, d):
     return state.log_lines(_t(spark, d, "events").select("event_id", "event_type", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("scope"), F.col("props").alias("prompt")))
 
@@ -279,8 +285,7 @@ def _labelled(spark, d) -> DataFrame:
 
 
 def _judged(spark, d) -> DataFrame:
-    """A third of the pairs: those that the SQL of these queries takes."""
-    return written(score.rejected(_labelled(spark, d).where(F.col("pair_id") % 3 == 0), _SHORT_CHAIN), "judged")
+    return written(score.rejected(_labelled(spark, d)), "judged")
 
 
 def score_corpus(spark, d):
@@ -292,7 +297,15 @@ def score_by_kind(spark, d):
 
 
 def score_by_guard(spark, d):
-    return score.by_guard(_judged(spark, d), ["numeric", "scope", "unit"])
+    return score.by_guard(_judged(spark, d), [g.name for g in G.standard()])
+
+
+def score_by_band(spark, d):
+    return score.by_band(_judged(spark, d))
+
+
+def score_by_register(spark, d):
+    return score.by_register(_judged(spark, d))
 
 
 def score_breakdown(spark, d):
@@ -301,8 +314,16 @@ def score_breakdown(spark, d):
     return j.groupingSets([["kind"], ["band"], []], "kind", "band").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("rejecting") > 0).alias("rejected"))
 
 
-def score_standard(spark, d):
-    return score.corpus_score(written(score.rejected(_labelled(spark, d)), "judged-standard"), ["kind"]).select("kind", "near_misses", "caught", "paraphrases", "kept", "direction_disagreements")
+def score_pairs(spark, d):
+    """Pairs of requests and of entries next to each other, with their texts' own vectors."""
+    e = _t(spark, d, "embeddings").select("vec_id", F.concat(F.lit("What is item "), F.col("vec_id").cast("string")).alias("text"), "embedding")
+    p = e.select(F.col("vec_id").alias("pair_id"), F.col("text").alias("a"), F.concat(F.lit("What is item "), (F.col("vec_id") - F.col("vec_id") % 10).cast("string")).alias("b"), (F.col("vec_id") % 3 == 0).alias("should_match"))
+    return score.score_pairs(p, e.select("text", "embedding")).select("pair_id", "should_match", F.round("similarity", 9).alias("similarity"), "vetoed")
+
+
+def calibrate_trials(spark, d):
+    asked = spark.createDataFrame([(0.05,), (1.0,), (5.0,), (20.0,), (60.0,)], "points double")
+    return score.trials_to_separate(asked)
 
 
 def _scored(spark, d) -> DataFrame:
@@ -425,7 +446,7 @@ def store_vetoed(spark, d):
 
 def store_near_duplicates(spark, d):
     e = entries(spark, d).withColumn("seq", F.col("entry_id"))
-    return store.near_duplicates(e, 0.2, _SHORT_CHAIN, DIM)
+    return store.near_duplicates(e, 0.2, dim=DIM)
 
 
 def store_chunks(spark, d):
@@ -460,9 +481,9 @@ _PLAIN = [
     text_words, text_numbers, document_numbers, text_units, text_names, text_ngrams, text_similar_questions, text_registers,
     guard_answer_anchor, guard_field_terms, guard_chain,
     lookup_decisions, lookup_standard, lookup_scope_thresholds, lookup_verified, lookup_explained, lookup_shadow, lookup_exact, conversation_keys, retrieval,
-    stats_total, stats_by_scope, stats_guards, stats_savings, stats_metrics, stats_spans, stats_log,
+    stats_total, stats_by_scope, stats_guards, stats_savings, stats_metrics, stats_spans, stats_timers, stats_log,
     admission_outcomes, admission_rates, admission_coalesced, adaptive_thresholds,
-    score_corpus, score_by_kind, score_by_guard, score_breakdown, score_standard, calibrate_outcomes, calibrate_recommended, calibrate_wilson, verifier_costs, verifier_cuts,
+    score_corpus, score_by_kind, score_by_guard, score_by_band, score_by_register, score_breakdown, score_pairs, calibrate_outcomes, calibrate_recommended, calibrate_wilson, calibrate_trials, verifier_costs, verifier_cuts,
     store_upsert, store_live, store_expired_count, store_sizes, store_recent, store_bytes, store_tags, store_clear, store_remove, store_log, store_compacted,
     store_encrypted, store_vetoed, store_near_duplicates, store_chunks, store_faults, store_point_ids,
     stream_metrics, stream_answers,
