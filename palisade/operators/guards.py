@@ -241,6 +241,62 @@ def disjoint_terms(name: str, groups: dict[str, tuple[str, ...]]) -> Guard:
     return Guard(name, rejects)
 
 
+# The words that part a prompt's arguments.
+RELATIONS = frozenset(["to", "than", "into", "versus", "vs", "over", "against", "before", "after"])
+
+
+@cache
+def slot_order(vocabulary: Vocabulary = ENGLISH, relations: frozenset[str] = RELATIONS) -> Guard:
+    """An experiment: rejects when what stands before and after the last relation word is exchanged. A prompt with no
+    relation word, or with different ones, says nothing."""
+
+    def slots(p: Column) -> Column:
+        w = p["words"]
+        found = F.filter(F.transform(w, lambda x, i: F.when(T.among(x, relations), i)), lambda i: i.isNotNull())
+
+        def cut(at: Column) -> Column:
+            kept = lambda words: F.filter(words, lambda x: ~T.among(x, vocabulary.stopwords))
+            return F.struct(F.get(w, at).alias("relation"), kept(F.slice(w, 1, at)).alias("before"), kept(F.slice(w, at + 2, F.size(w))).alias("after"))
+
+        alone = F.size(F.array_distinct(F.transform(found, lambda i: F.get(w, i)))) == 1
+        return F.when(alone, cut(F.array_max(found)))
+
+    def rejects(q, c, _):
+        a, b = slots(q), slots(c)
+        swapped = (a["before"] == b["after"]) & (a["after"] == b["before"]) & (F.size(a["before"]) > 0) & (F.size(a["after"]) > 0)
+        return (a["relation"] == b["relation"]) & swapped & ((a["before"] != b["before"]) | (a["after"] != b["after"]))
+
+    return Guard("slot-order", rejects, symmetric=True)
+
+
+# What partial evidence counts.
+BELOW_FLOOR, TWO_PLACES, ONE_SIDED, MOVED, GAP, CONTAINED, CEILING, DIVERGED = 0.7, 0.5, 0.35, 0.4, 0.3, 0.5, 0.5, 0.6
+
+
+def suspicion(q: Column, c: Column) -> Column:
+    """An experiment: the evidence that eight readings of the rules nearly found, summed; the more of both directions."""
+    return F.greatest(_suspicion(q, c), _suspicion(c, q))
+
+
+def _suspicion(q: Column, c: Column) -> Column:
+    a, b = q["content"], c["content"]
+    la, lb = F.size(a), F.size(b)
+    longer = F.greatest(la, lb, F.lit(1))
+    found = lambda x, y: F.filter(x, lambda w: F.exists(y, lambda v: T.same_word(v, w)))
+    apart = F.size(_places(a, b, T.same_word))
+    swap = F.when((la != lb) | (la == 0), 0.0).when((apart == 1) & (la >= 4), 1.0).when(apart == 1, BELOW_FLOOR).when((apart == 2) & (la >= 4), TWO_PLACES).otherwise(0.0)
+    mine, theirs = F.size(F.array_except(q["names"], c["names"])), F.size(F.array_except(c["names"], q["names"]))
+    named = F.when((mine > 0) & (theirs > 0), 1.0).when((mine > 0) | (theirs > 0), ONE_SIDED).otherwise(0.0)
+    number = F.when(numeric().reason(q, c).isNotNull(), 1.0).otherwise(0.0)
+    ours, others = F.array_except(q["units"], c["units"]), F.array_except(c["units"], q["units"])
+    measure = F.when((F.size(ours) == 0) | (F.size(others) == 0), 0.0).when(unit().reason(q, c).isNotNull(), 1.0).otherwise(ONE_SIDED)
+    overlap = lambda shared: shared / (la + lb - shared)
+    diverged = F.when((la == 0) | (lb == 0), 0.0).otherwise(T.let(F.size(found(a, b)), lambda n: F.when(overlap(n) >= CEILING, 0.0).otherwise((CEILING - overlap(n)) / CEILING * DIVERGED)))
+    contained = F.when((la != lb) & ((F.size(found(a, b)) == la) | (F.size(found(b, a)) == lb)), CONTAINED).otherwise(0.0)
+    moved = F.when((F.array_sort(a) == F.array_sort(b)) & (a != b), MOVED).otherwise(0.0)
+    return swap + named + number + measure + diverged + contained + moved + F.abs(la - lb) / longer * GAP
+
+
 # Chains ----------------------------------------------------------------------------------------------------------
 
 

@@ -70,9 +70,15 @@ def clear(stored: DataFrame, scope: str | None = None) -> DataFrame:
     return stored.where(F.lit(False) if scope is None else ~F.col("scope").eqNullSafe(F.lit(scope)))
 
 
-def live(stored: DataFrame, ttl_seconds: int, now: Column) -> DataFrame:
-    """Entries not yet expired: created_at + ttl is after now. Microseconds decide."""
-    return stored.where(F.unix_micros(F.col("created_at").cast("timestamp")) + F.lit(ttl_seconds * 1_000_000) > F.unix_micros(now))
+def tagged(stored: DataFrame, tag: str, scope: str | None = None) -> DataFrame:
+    """How many entries invalidate_by_tag would drop."""
+    gone = F.coalesce(F.array_contains("tags", tag), F.lit(False))
+    return stored.agg(F.count_if(gone if scope is None else gone & F.col("scope").eqNullSafe(F.lit(scope))).alias("n_invalidated"))
+
+
+def live(stored: DataFrame, ttl_seconds: int, now: Column, since: str = "created_at") -> DataFrame:
+    """Entries not yet expired: since + ttl is after now. Microseconds decide. Some stores count from the time of writing."""
+    return stored.where(F.unix_micros(F.col(since).cast("timestamp")) + F.lit(ttl_seconds * 1_000_000) > F.unix_micros(now))
 
 
 def size(stored: DataFrame, by_scope: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from palisade.functions.vocabulary import ABBREVIATIONS, COORDINATORS, ENGLISH, FRAMING
 from palisade.plans import prompts
 from palisade.plans.queries import THRESHOLD
+from palisade.sources.readers import INSTRUCTION
 
 
 def _list(words) -> str:
@@ -390,7 +391,83 @@ def _grams(t: str) -> str:
 
 _JACCARD = f"WITH p AS ({prompts.ORDER_PAIRS}), g AS (SELECT pair_id, {_grams('a')} AS x, {_grams('b')} AS y FROM p), j AS (SELECT pair_id, len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) AS jaccard FROM g)"
 
+
+
+def _walk(accepts: str) -> str:
+    """Lookups without rules whose verifier is a condition on prompt, stored and similarity."""
+    return f"""
+WITH {_JUDGED}, d AS (
+  SELECT *, CASE WHEN similarity < {THRESHOLD} THEN 'BELOW_THRESHOLD' WHEN qe <> ee THEN 'EMBEDDER_MISMATCH' WHEN NOT ({accepts}) THEN 'VERIFIER_REJECTED' END AS why FROM v
+), f AS (
+  SELECT query_id, min(CASE WHEN why IS NULL THEN rank END) AS hit, min(CASE WHEN why <> 'BELOW_THRESHOLD' THEN rank END) AS refused FROM d GROUP BY query_id
+)
+SELECT q.query_id, h.rank IS NOT NULL AS is_hit, h.entry_id, CASE WHEN h.rank IS NULL THEN coalesce(m.why, 'EMPTY_SCOPE') END AS reason
+FROM q LEFT JOIN f USING (query_id) LEFT JOIN d h ON h.query_id = q.query_id AND h.rank = f.hit LEFT JOIN d m ON m.query_id = q.query_id AND m.rank = coalesce(f.refused, 1)"""
+
+
+#: Decisions of ranked candidates n(query_id, entry_id, prompt, stored, qe, ee, similarity, rank) by one rule.
+_NUMERIC_WALK = f"""d AS (
+  SELECT *, CASE WHEN similarity < {{threshold}} THEN 'BELOW_THRESHOLD' WHEN qe <> ee THEN 'EMBEDDER_MISMATCH' WHEN {_numbers('prompt')} <> {_numbers('stored')} THEN 'GUARD_REJECTED' END AS why FROM n WHERE rank <= 5
+), f AS (
+  SELECT query_id, min(CASE WHEN why IS NULL THEN rank END) AS hit, min(CASE WHEN why <> 'BELOW_THRESHOLD' THEN rank END) AS refused FROM d GROUP BY query_id
+)
+SELECT q.query_id, h.rank IS NOT NULL AS is_hit, h.entry_id, CASE WHEN h.rank IS NULL THEN coalesce(m.why, 'EMPTY_SCOPE') END AS reason
+FROM q LEFT JOIN f USING (query_id) LEFT JOIN d h ON h.query_id = q.query_id AND h.rank = f.hit LEFT JOIN d m ON m.query_id = q.query_id AND m.rank = coalesce(f.refused, 1)""".replace("\\d{3}", "\\d{{3}}")
+_ANSWERED = f"""
+WITH {_Q}, {_E}, s AS (
+  SELECT q.query_id, e.entry_id, q.prompt, e.prompt AS stored, q.embedder AS qe, e.embedder AS ee, e.response, {_dot('q.embedding', 'e.embedding')} AS similarity FROM q JOIN e ON q.scope = e.scope
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, entry_id) AS rank FROM s
+), h AS (
+  SELECT query_id, arg_min(response, rank) AS found FROM n WHERE rank <= 5 AND similarity >= {THRESHOLD} AND qe = ee AND {_numbers('prompt')} = {_numbers('stored')} GROUP BY query_id
+), answered AS (
+  SELECT q.query_id, q.scope, q.prompt, CASE WHEN q.query_id % 17 <> 0 AND found IS NOT NULL THEN found ELSE concat('made for ', q.prompt) END AS response,
+    CASE WHEN q.query_id % 17 = 0 THEN 'degraded' WHEN found IS NOT NULL THEN 'hit' ELSE 'computed' END AS how FROM q LEFT JOIN h USING (query_id)
+)"""
+_EXCLUSIVE = "len(list_filter({x}, lambda z: NOT list_contains({y}, z))) > 0"
+
+
+def _suspicion(k: str, o: str) -> str:
+    """One direction's evidence, from the steps of _chain."""
+    only, others = _EXCLUSIVE.format(x=f"e{k}", y=f"e{o}"), _EXCLUSIVE.format(x=f"e{o}", y=f"e{k}")
+    units, foreign = _EXCLUSIVE.format(x=f"u{k}", y=f"u{o}"), _EXCLUSIVE.format(x=f"u{o}", y=f"u{k}")
+    same = lambda x, y: f"len(list_filter({x}, lambda w: len(list_filter({y}, lambda v: {_same('v', 'w')})) > 0))"
+    a, b = f"c{k}", f"c{o}"
+    places = f"len({_differ(a, b)})"
+    overlap = f"({same(a, b)} / (len({a}) + len({b}) - {same(a, b)}))"
+    return (
+        f"(CASE WHEN len({a}) <> len({b}) OR len({a}) = 0 THEN 0.0 WHEN {places} = 1 AND len({a}) >= 4 THEN 1.0 WHEN {places} = 1 THEN 0.7 WHEN {places} = 2 AND len({a}) >= 4 THEN 0.5 ELSE 0.0 END)::DOUBLE"
+        f" + (CASE WHEN {only} AND {others} THEN 1.0 WHEN {only} OR {others} THEN 0.35 ELSE 0.0 END)::DOUBLE + (CASE WHEN g_numeric THEN 1.0 ELSE 0.0 END)::DOUBLE"
+        f" + (CASE WHEN NOT ({units}) OR NOT ({foreign}) THEN 0.0 WHEN g_unit THEN 1.0 ELSE 0.35 END)::DOUBLE"
+        f" + (CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 WHEN {overlap} >= 0.5 THEN 0.0 ELSE (0.5 - {overlap}) / 0.5 * 0.6 END)::DOUBLE"
+        f" + (CASE WHEN len({a}) <> len({b}) AND ({same(a, b)} = len({a}) OR {same(b, a)} = len({b})) THEN 0.5 ELSE 0.0 END)::DOUBLE"
+        f" + (CASE WHEN list_sort({a}) = list_sort({b}) AND {a} <> {b} THEN 0.4 ELSE 0.0 END)::DOUBLE + abs(len({a}) - len({b}))::DOUBLE / greatest(len({a}), len({b}), 1) * 0.3"
+    )
+
+
+_RELATIONS = "['to', 'than', 'into', 'versus', 'vs', 'over', 'against', 'before', 'after']"
+
+
+def _slots(k: str) -> str:
+    at = f"list_filter(range(1, len(w{k}) + 1), lambda i: list_contains({_RELATIONS}, w{k}[i]))"
+    stop = f"list_contains({_list(ENGLISH.stopwords)}, w)"
+    return f"len(list_distinct(list_filter(w{k}, lambda w: list_contains({_RELATIONS}, w)))) AS kinds{k}, w{k}[list_max({at})] AS rel{k}, list_filter(w{k}[: list_max({at}) - 1], lambda w: NOT {stop}) AS before{k}, list_filter(w{k}[list_max({at}) + 1 :], lambda w: NOT {stop}) AS after{k}"
+
+
 ORACLES: dict[str, str] = GUARD_SQL | {
+    "guard_suspicion": f"{_PAIRS} SELECT pair_id, round(greatest({_suspicion('a', 'b')}, {_suspicion('b', 'a')}), 9) AS suspicion FROM c4",
+    "guard_slot_order": f"WITH p AS ({prompts.ORDER_PAIRS}), w AS (SELECT pair_id, {_words('a')} AS wa, {_words('b')} AS wb FROM p), s AS (SELECT *, {_slots('a')}, {_slots('b')} FROM w) SELECT pair_id, coalesce(kindsa = 1 AND kindsb = 1 AND rela = relb AND len(beforea) > 0 AND len(aftera) > 0 AND beforea = afterb AND aftera = beforeb AND (beforea <> beforeb OR aftera <> afterb), false) AS rejects FROM s",
+    "guard_languages": """SELECT * FROM (VALUES
+  ('it', 'Come attivare il registro', 'antonym'), ('it', 'Vorrei 3 grammi di farina', 'unit'), ('it', 'Spiega la fotosintesi', NULL),
+  ('es', 'Cómo abrir una cuenta', 'antonym'), ('es', 'Qué tiempo hace hoy', 'temporal'), ('es', 'Escribe un poema', NULL),
+  ('de', 'Datei verschlüsseln', 'antonym'), ('de', 'Wetter heute', 'temporal'), ('de', 'Erkläre den Satz', NULL),
+  ('fr', 'Comment ajouter un compte', 'antonym'), ('fr', 'Courir 5 heures', 'unit'), ('fr', 'Décris le plan', NULL)) AS t(lang, a, guard)""",
+    "text_envelopes": f"""
+WITH RECURSIVE {_Q}, p AS (SELECT query_id, prompt, row_number() OVER (ORDER BY query_id) - 1 AS i, count(*) OVER () AS n FROM q), t(query_id, prompt, i, n, step, long, lines) AS (
+  SELECT query_id, prompt, i, n, 1, {len(INSTRUCTION)} + length(prompt), '' FROM p
+  UNION ALL SELECT t.query_id, t.prompt, t.i, t.n, t.step + 1, t.long + length(o.prompt) + 3, concat(t.lines, '- ', o.prompt, chr(10)) FROM t JOIN p o ON o.i = (t.i + t.step) % t.n WHERE t.long < 512 AND t.step < t.n
+), l AS (SELECT query_id, prompt, arg_max(lines, step) AS lines FROM t GROUP BY 1, 2)
+SELECT query_id AS pair_id, md5(concat('{INSTRUCTION}', chr(10), chr(10), 'Context:', chr(10), lines, chr(10), 'Question: ', prompt)) AS a_md5, length(concat('{INSTRUCTION}', chr(10), chr(10), 'Context:', chr(10), lines, chr(10), 'Question: ', prompt, '?')) AS b_length FROM l""",
     "vector_norms": f"SELECT vec_id, {_NORM} AS norm, abs({_NORM} - 1) <= 1e-4 AS unit, {_dot('embedding', 'u')} AS self_dot FROM (SELECT *, list_transform(embedding, lambda x: CAST(x::DOUBLE / {_NORM} AS FLOAT)) AS u FROM embeddings)",
     "vector_codes": f"SELECT vec_id, {_INT8} AS int8, [CAST(list_reduce(list_prepend(0::HUGEINT, list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN CASE WHEN i = 64 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << (i - 1)::INTEGER) END ELSE 0 END)), lambda s, x: s + x) AS BIGINT)] AS signs FROM embeddings",
     "nearest_in_scope": f"WITH {_NEAR} SELECT query_id, entry_id, similarity, rank FROM n WHERE rank <= 5",
@@ -428,9 +505,25 @@ WITH {_JUDGED}, t AS (SELECT unnest([0.18, 0.22, 0.26])::DOUBLE AS threshold), x
 ), f AS (
   SELECT query_id, threshold, min(CASE WHEN guard IS NULL THEN rank END) AS hit, min(CASE WHEN guard IS NOT NULL THEN rank END) AS refused FROM x GROUP BY 1, 2
 )
-SELECT q.query_id, t.threshold, h.rank IS NOT NULL AS would_hit, h.entry_id, CASE WHEN h.rank IS NULL THEN m.guard END AS guard
+SELECT q.query_id, t.threshold, h.rank IS NOT NULL AS would_hit, h.entry_id, CASE WHEN h.rank IS NULL THEN m.guard END AS guard,
+  CASE WHEN h.rank IS NOT NULL THEN NULL WHEN m.rank IS NOT NULL THEN 'GUARD_REJECTED' WHEN b.rank IS NOT NULL THEN 'BELOW_THRESHOLD' ELSE 'EMPTY_SCOPE' END AS reason,
+  CASE WHEN h.rank IS NOT NULL THEN h.similarity WHEN m.rank IS NOT NULL THEN m.similarity ELSE b.similarity END AS best_similarity,
+  CASE WHEN h.rank IS NOT NULL THEN h.stored WHEN m.rank IS NOT NULL THEN m.stored ELSE b.stored END AS matched_prompt
 FROM q CROSS JOIN t LEFT JOIN f ON f.query_id = q.query_id AND f.threshold = t.threshold
-LEFT JOIN x h ON h.query_id = q.query_id AND h.threshold = t.threshold AND h.rank = f.hit LEFT JOIN x m ON m.query_id = q.query_id AND m.threshold = t.threshold AND m.rank = f.refused""",
+LEFT JOIN x h ON h.query_id = q.query_id AND h.threshold = t.threshold AND h.rank = f.hit LEFT JOIN x m ON m.query_id = q.query_id AND m.threshold = t.threshold AND m.rank = f.refused
+LEFT JOIN v b ON b.query_id = q.query_id AND b.rank = 1""",
+    "lookup_confident": _walk("similarity * 2 + CASE WHEN right(prompt, 3) = right(stored, 3) THEN 0.3 ELSE 0.0 END >= 0.75"),
+    "lookup_recorded": _walk("right(prompt, 1) = right(stored, 1) AND (length(prompt) + length(stored)) % 3 = 0"),
+    "lookup_tenants": f"""
+WITH {_Q}, {_E}, s AS (
+  SELECT q.query_id, e.entry_id, q.prompt, e.prompt AS stored, q.embedder AS qe, e.embedder AS ee, {_dot('q.embedding', 'e.embedding')} AS similarity FROM q JOIN e ON q.scope = e.scope AND (q.query_id // 2) % 3 = (e.entry_id // 2) % 3
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, entry_id) AS rank FROM s
+), {_NUMERIC_WALK.format(threshold='0.15')}""",
+    "cache_answers": f"{_ANSWERED} SELECT query_id, response, how FROM answered",
+    "cache_written": f"{_ANSWERED} SELECT md5(concat(scope, chr(31), prompt)) AS entry_id, scope, prompt, concat('made for ', prompt) AS response, min(query_id) AS first_query_id, CASE WHEN contains(prompt, 'tutorial') THEN 'no tutorials' END AS veto_reason FROM answered WHERE how = 'computed' GROUP BY scope, prompt",
+    "cache_stats": f"{_ANSWERED}, w AS (SELECT DISTINCT scope, prompt FROM answered WHERE how = 'computed') SELECT count(*) FILTER (WHERE how <> 'degraded') AS lookups, count(*) FILTER (WHERE how = 'hit') AS hits, 0 AS exact_hits, count(*) FILTER (WHERE how = 'degraded') AS degraded, (SELECT count(*) FROM w WHERE NOT contains(prompt, 'tutorial')) AS writes, (SELECT count(*) FROM w WHERE contains(prompt, 'tutorial')) AS vetoed, count(*) FILTER (WHERE how = 'hit') / count(*) FILTER (WHERE how <> 'degraded') AS hit_rate FROM answered",
+    "cache_exact": "SELECT q.doc_id AS query_id, md5(q.text) AS response, CASE WHEN EXISTS (SELECT 1 FROM documents e WHERE e.lang = q.lang AND e.text = q.text AND e.doc_id % 2 = 0) THEN 'exact_hit' ELSE 'computed' END AS how FROM documents q WHERE q.doc_id % 2 = 1 AND q.text IS NOT NULL",
     "lookup_exact": "SELECT q.doc_id AS query_id, max(e.doc_id) AS entry_id, 1.0::DOUBLE AS similarity FROM documents q JOIN documents e ON q.lang = e.lang AND q.text = e.text AND q.doc_id % 2 = 1 AND e.doc_id % 2 = 0 GROUP BY q.doc_id",
     "conversation_keys": """
 WITH c AS (
@@ -502,6 +595,9 @@ WITH {_STORED}, u AS (SELECT entry_id, max(seq) AS seq FROM st GROUP BY entry_id
 SELECT entry_id FROM (SELECT u.entry_id, greatest(seq, coalesce(used, seq)) AS r FROM u LEFT JOIN a USING (entry_id) ORDER BY r DESC, entry_id LIMIT 100)""",
     "store_bytes": f"WITH {_STORED} SELECT seq FROM (SELECT seq, sum(bytes) OVER (ORDER BY seq DESC, entry_id) AS total FROM st) WHERE total <= 200000",
     "store_tags": f"WITH {_STORED} SELECT seq FROM st WHERE NOT (tag = 'k3' AND scope = 'view')",
+    "store_tagged": f"WITH {_STORED} SELECT count(*) FILTER (WHERE tag = 'k3' AND scope = 'view') AS n_invalidated FROM st",
+    "store_live_written": f"WITH {_STORED} SELECT seq FROM st WHERE {_LIVE.replace('432000000000', '518400000000')}",
+    "cache_warm": f"WITH {_STORED} SELECT entry_id, max(seq) AS seq FROM st WHERE seq % 3 < 2 GROUP BY entry_id",
     "store_clear": f"WITH {_STORED} SELECT scope, count(*) AS n_entries FROM st WHERE scope <> 'click' GROUP BY scope",
     "store_remove": f"WITH {_STORED} SELECT seq FROM st WHERE entry_id NOT IN (SELECT entry_id FROM st WHERE seq % 10 = 0)",
     "store_log": _FOLD,

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from palisade.functions import text as T
 from palisade.functions import vectors as V
+from palisade.functions.languages import for_language
 from palisade.operators import guards as G
-from palisade.operators import lookup, score, search, state, store
+from palisade.operators import cache, lookup, score, search, state, store
 from palisade.plans import prompts
 from palisade.sources import readers
 from palisade.sources.storage import written
@@ -130,6 +131,33 @@ def guard_answer_anchor(spark, d):
     return _read(spark, d).select("pair_id", G.answer_anchor().reason(F.col("q"), F.col("c"), said).isNotNull().alias("rejects"))
 
 
+def guard_suspicion(spark, d):
+    return _read(spark, d).select("pair_id", F.round(G.suspicion(F.col("q"), F.col("c")), 9).alias("suspicion"))
+
+
+def guard_languages(spark, d):
+    """Each language's chain on sentences of its own."""
+    rows = [
+        ("it", "Come attivare il registro", "Come disattivare il registro"), ("it", "Vorrei 3 grammi di farina", "Vorrei 3 libbre di farina"), ("it", "Spiega la fotosintesi", "spiega la fotosintesi"),
+        ("es", "Cómo abrir una cuenta", "Cómo cerrar una cuenta"), ("es", "Qué tiempo hace hoy", "Qué tiempo hace mañana"), ("es", "Escribe un poema", "escribe un poema"),
+        ("de", "Datei verschlüsseln", "Datei entschlüsseln"), ("de", "Wetter heute", "Wetter morgen"), ("de", "Erkläre den Satz", "erkläre den Satz"),
+        ("fr", "Comment ajouter un compte", "Comment supprimer un compte"), ("fr", "Courir 5 heures", "Courir 5 jours"), ("fr", "Décris le plan", "décris le plan"),
+    ]
+    out = None
+    for code in ("it", "es", "de", "fr"):
+        v = for_language(code)
+        mine = spark.createDataFrame([r for r in rows if r[0] == code], "lang string, a string, b string").select("lang", "a", T.read(F.col("a"), v).alias("q"), T.read(F.col("b"), v).alias("c"))
+        judged = mine.select("lang", "a", G.first_rejection(G.standard(v), F.col("q"), F.col("c")).alias("guard"))
+        out = judged if out is None else out.unionByName(judged)
+    return out
+
+
+def text_envelopes(spark, d):
+    """Requests inside retrieval prompts of 512 characters and more."""
+    p = requests(spark, d).select(F.col("query_id").alias("pair_id"), F.col("prompt").alias("a"), F.concat(F.col("prompt"), F.lit("?")).alias("b"))
+    return readers.enveloped(p, 512).select("pair_id", F.md5("a").alias("a_md5"), F.length("b").alias("b_length"))
+
+
 def guard_field_terms(spark, d):
     """A rule for one field: places that must agree."""
     field = G.disjoint_terms("places", {"iberia": ("lisbon", "madrid"), "centre": ("vienna", "prague"), "east": ("warsaw",)})
@@ -157,6 +185,7 @@ GUARDS = {
     "lexical_divergence": G.lexical_divergence(),
     "length_ratio": G.length_ratio(),
     "word_order": G.word_order(),
+    "slot_order": G.slot_order(),
 }
 
 # Lookups ---------------------------------------------------------------------------------------------------------
@@ -193,6 +222,61 @@ def lookup_shadow(spark, d):
     return lookup.shadow(requests(spark, d), entries(spark, d), [0.18, 0.22, 0.26], dim=DIM)
 
 
+def lookup_confident(spark, d):
+    surer = lambda q, s, similarity: similarity * 2 + F.when(F.right(q, F.lit(3)) == F.right(s, F.lit(3)), 0.3).otherwise(0.0)
+    return lookup.decide(requests(spark, d), entries(spark, d), [], verifier=lookup.confident(surer, 0.75), threshold=THRESHOLD, dim=DIM).select("query_id", "is_hit", "entry_id", "reason")
+
+
+def lookup_recorded(spark, d):
+    """Verdicts on file: a third of the pairs of prompts is accepted, a third refused, of the rest nothing is known."""
+    q, e = requests(spark, d).select(F.col("prompt").alias("query")).distinct(), entries(spark, d).select(F.col("prompt").alias("cached")).distinct()
+    kind = F.length("query") + F.length("cached")
+    said = q.join(e, F.right("query", F.lit(1)) == F.right("cached", F.lit(1))).where(kind % 3 < 2).withColumn("accepted", kind % 3 == 0)
+    return lookup.decide(requests(spark, d), entries(spark, d), [], verdicts_by_text=said, threshold=THRESHOLD, dim=DIM).select("query_id", "is_hit", "entry_id", "reason")
+
+
+def lookup_diverse(spark, d):
+    """The order of marginal relevance decides which candidate is served."""
+    return lookup.decide(requests(spark, d), entries(spark, d), reranker=search.rerank_diverse, threshold=0.15, dim=DIM).select("query_id", "is_hit", "entry_id", "reason")
+
+
+def lookup_tenants(spark, d):
+    """Requests and entries of three tenants; nothing is served across."""
+    of = lambda df, i: cache.for_tenant(df.withColumn("tenant", F.concat(F.lit("t"), (F.floor(F.col(i) / 2) % 3).cast("string"))))
+    q, e = of(requests(spark, d), "query_id"), of(entries(spark, d), "entry_id")
+    return lookup.decide(q, e, [G.numeric()], threshold=0.15, dim=DIM).select("query_id", "is_hit", "entry_id", "reason")
+
+
+def _answered(spark, d) -> DataFrame:
+    # Every 17th request has no vector, as if its embedding had failed.
+    q = requests(spark, d).withColumn("embedding", F.when(F.col("query_id") % 17 != 0, F.col("embedding")))
+    made = lambda prompt: F.concat(F.lit("made for "), prompt)
+    return cache.get_or_put_all(q, entries(spark, d), made, guards=[G.numeric()], threshold=THRESHOLD, dim=DIM)
+
+
+def cache_answers(spark, d):
+    return _answered(spark, d).select("query_id", "response", "how")
+
+
+def cache_written(spark, d):
+    veto = F.when(F.col("response").contains("tutorial"), "no tutorials")
+    return cache.new_entries(_answered(spark, d), veto).select("entry_id", "scope", "prompt", "response", "first_query_id", "veto_reason")
+
+
+def cache_stats(spark, d):
+    answers = _answered(spark, d)
+    return cache.outcome_stats(answers, cache.new_entries(answers, F.when(F.col("response").contains("tutorial"), "no tutorials")))
+
+
+def cache_exact(spark, d):
+    """Documents asked for again: the same text in the same language is served without a vector's help."""
+    docs = _t(spark, d, "documents").where("text IS NOT NULL")
+    vector = F.array(F.length("text").cast("float"), F.lit(1.0).cast("float"))
+    q = docs.where("doc_id % 2 = 1").select(F.col("doc_id").alias("query_id"), F.col("lang").alias("scope"), F.col("text").alias("prompt"), vector.alias("embedding"), F.lit("new").alias("embedder"))
+    e = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("entry_id"), F.col("lang").alias("scope"), F.col("text").alias("prompt"), F.md5("text").alias("response"), vector.alias("embedding"), F.lit("new").alias("embedder"))
+    return cache.get_or_put_all(q, e, F.md5, exact=True, guards=[], threshold=1e18, dim=2).select("query_id", "response", "how")
+
+
 def lookup_exact(spark, d):
     docs = _t(spark, d, "documents")
     asked = docs.where("doc_id % 2 = 1").select(F.col("doc_id").alias("query_id"), F.col("lang").alias("scope"), F.col("text").alias("prompt"))
@@ -409,6 +493,21 @@ def store_tags(spark, d):
     return store.invalidate_by_tag(_stored(spark, d), "k3", "view").select("seq")
 
 
+def store_tagged(spark, d):
+    return store.tagged(_stored(spark, d), "k3", "view")
+
+
+def store_live_written(spark, d):
+    """Expiry from the time of writing, a day after creation here."""
+    written_at = _stored(spark, d).withColumn("written_at", F.col("created_at") + F.expr("INTERVAL 1 DAY"))
+    return store.live(written_at, 5 * 86400, F.expr(_NOW), since="written_at").select("seq")
+
+
+def cache_warm(spark, d):
+    s = _stored(spark, d)
+    return cache.warm(s.where("seq % 3 = 0"), s.where("seq % 3 = 1")).select("entry_id", "seq")
+
+
 def store_clear(spark, d):
     return store.size(store.clear(_stored(spark, d), "click"), by_scope=True)
 
@@ -479,12 +578,13 @@ def stream_answers(spark, d):
 _PLAIN = [
     vector_norms, vector_codes, nearest_in_scope, nearest_int8, nearest_binary, nearest_cells, nearest_diverse, visible_at_request,
     text_words, text_numbers, document_numbers, text_units, text_names, text_ngrams, text_similar_questions, text_registers,
-    guard_answer_anchor, guard_field_terms, guard_chain,
-    lookup_decisions, lookup_standard, lookup_scope_thresholds, lookup_verified, lookup_explained, lookup_shadow, lookup_exact, conversation_keys, retrieval,
+    guard_answer_anchor, guard_field_terms, guard_chain, guard_suspicion, guard_languages, text_envelopes,
+    lookup_decisions, lookup_standard, lookup_scope_thresholds, lookup_verified, lookup_explained, lookup_shadow, lookup_confident, lookup_recorded, lookup_diverse, lookup_tenants, lookup_exact,
+    cache_answers, cache_written, cache_stats, cache_exact, cache_warm, conversation_keys, retrieval,
     stats_total, stats_by_scope, stats_guards, stats_savings, stats_metrics, stats_spans, stats_timers, stats_log,
     admission_outcomes, admission_rates, admission_coalesced, adaptive_thresholds,
     score_corpus, score_by_kind, score_by_guard, score_by_band, score_by_register, score_breakdown, score_pairs, calibrate_outcomes, calibrate_recommended, calibrate_wilson, calibrate_trials, verifier_costs, verifier_cuts,
-    store_upsert, store_live, store_expired_count, store_sizes, store_recent, store_bytes, store_tags, store_clear, store_remove, store_log, store_compacted,
+    store_upsert, store_live, store_expired_count, store_sizes, store_recent, store_bytes, store_tags, store_tagged, store_live_written, store_clear, store_remove, store_log, store_compacted,
     store_encrypted, store_vetoed, store_near_duplicates, store_chunks, store_faults, store_point_ids,
     stream_metrics, stream_answers,
 ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palisade.functions import text as T
@@ -30,6 +30,30 @@ def similar_questions(rows: DataFrame, least: float = 0.6) -> DataFrame:
     return rows.where(T.jaccard(T.n_grams(F.col("a")), T.n_grams(F.col("b"))) >= least)
 
 
+# Fixed value: what stands above the passages of a retrieval prompt.
+INSTRUCTION = "Use only the context below to answer the question. If the context does not contain the answer, say that you do not know."
+
+
+def enveloped(pairs: DataFrame, target: int, order: str = "pair_id") -> DataFrame:
+    """pairs(a, b, ...) inside retrieval prompts of `target` characters or more: above each question stand the texts of the
+    pairs that follow it, the first ones again after the last, as many as it takes.
+
+    A pair meets target / 3 others at most, one join on its place in the order.
+    """
+    n = pairs.count()
+    most = max(0, min(n - 1, -(-max(0, target - len(INSTRUCTION)) // 3)))
+    placed = store.running_total(pairs, [F.asc(order)], F.lit(1).cast("long"), "_at").withColumn("_at", F.col("_at") - 1)
+    texts = placed.select((F.col("_at")).alias("_from"), F.col("a").alias("_text"))
+    wanted = placed.select("*", F.explode(F.sequence(F.lit(1), F.lit(max(1, most)))).alias("_step")).withColumn("_from", F.pmod(F.col("_at") + F.col("_step"), F.lit(max(1, n))))
+    near = wanted.join(texts, "_from").where(F.col("_step") <= most)
+    before = Window.partitionBy("_at").orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
+    long = F.length("a") + len(INSTRUCTION) + F.coalesce(F.sum(F.length("_text") + 3).over(before), F.lit(0))
+    taken = near.withColumn("_long", long).where(F.col("_long") < target).groupBy("_at").agg(F.array_sort(F.collect_list(F.struct("_step", "_text"))).alias("_taken"))
+    lines = F.array_join(F.transform(F.coalesce("_taken", F.array().cast("array<struct<_step:int,_text:string>>")), lambda t: F.concat(F.lit("- "), t["_text"], F.lit("\n"))), "")
+    wrap = lambda c: F.concat(F.lit(f"{INSTRUCTION}\n\nContext:\n"), lines, F.lit("\nQuestion: "), F.col(c))
+    return placed.join(taken, "_at", "left").withColumns({"a": wrap("a"), "b": wrap("b")}).drop("_at", "_taken")
+
+
 def read_articles(spark: SparkSession, path: str, paragraphs: int = 400) -> tuple[DataFrame, DataFrame]:
     """documents(id, title, text) and questions(id, document_id, question, answer) of nested articles, up to so many paragraphs."""
     each = spark.read.schema(ARTICLES).option("multiLine", True).json(path).select(F.posexplode("data").alias("i", "d"))
