@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 from palisade.llm.common import map_batches, mix64, prepare, table, texts_of
 
 SPACE = "▁"
-#: Longer segments are streamed; more are remembered only for speed.
-_COLUMN_CHARS, _REMEMBERED = 48, 1_500_000
+#: Longer segments are streamed, and not remembered.
+_COLUMN_CHARS = 48
+#: Bytes of segments and ids that a worker remembers, its objects' own bytes included; characters cut at once. Only speed depends on them.
+_REMEMBERED, _ENTRY, _SLICE = 96 << 20, 260, 1 << 20
 _UNKNOWN_PENALTY = 10.0
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _models: dict[str, PieceModel] = {}
@@ -58,6 +61,7 @@ class PieceModel:
         for a, b in joined:
             self._follow.setdefault(a, set()).add(b)
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self._columns()
 
     # Scalar pass -------------------------------------------------------------------------------------------------
@@ -193,22 +197,61 @@ class PieceModel:
         return re.compile(f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit bytes."""
-        find, known = self.splitter().findall, self.known
-        if len(known) > _REMEMBERED:
-            known.clear()
-        split = [find(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        fresh = list({s for parts in split for s in parts if s not in known})
-        fresh.sort(key=len)
-        for s in fresh:
-            if len(s) > _COLUMN_CHARS:
-                known[s] = np.array([i for ids, _ in self.stream(s) for i in ids], "<u4").tobytes()
-        short = [s for s in fresh if len(s) <= _COLUMN_CHARS]
+        """Ids as little-endian unsigned 32-bit bytes. Texts are cut into segments a slice at a time."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        owners, parts, size = [], [], 0
+        for i, text in enumerate(texts):
+            for part in self._slices(text):
+                if parts and size + len(part) > _SLICE:
+                    self._encode(parts, owners, out)
+                    owners, parts, size = [], [], 0
+                owners.append(i)
+                parts.append(part)
+                size += len(part)
+        self._encode(parts, owners, out)
+        return [x[0] if len(x) == 1 else b"".join(x) for x in out]
+
+    def _slices(self, text: str) -> Iterator[str]:
+        """The escaped text in parts of about _SLICE characters that end before a space after something else, where the
+        splitter always cuts; whole if it doesn't cut there."""
+        at, lead = 0, SPACE if text else ""
+        while len(text) - at > _SLICE and self._cuts:
+            cut = text.find(" ", at + _SLICE)
+            while cut > 0 and text[cut - 1] in " " + SPACE:
+                cut = text.find(" ", cut + 1)
+            if cut < 0:
+                break
+            yield lead + text[at:cut].replace(" ", SPACE)
+            at, lead = cut, ""
+        yield lead + (text[at:] if at else text).replace(" ", SPACE)
+
+    def _encode(self, parts: list[str], owners: list[int], out: list[list[bytes]]) -> None:
+        split = [self._find(p) for p in parts]
+        known = self.known
+        fresh = sorted({s for segments in split for s in segments if s not in known}, key=len)
+        ids = {s: np.array([i for found, _ in self.stream(s) for i in found], "<u4").tobytes() for s in fresh if len(s) > _COLUMN_CHARS}
+        short = fresh[: len(fresh) - len(ids)]
         for at in range(0, len(short), 20_000):
-            part = short[at : at + 20_000]
-            for s, ids in zip(part, self._column_pass(part), strict=True):
-                known[s] = b"".join([i.to_bytes(4, "little") for i in ids])
-        return [b"".join([known[s] for s in parts]) for parts in split]
+            for s, found in zip(short[at : at + 20_000], self._column_pass(short[at : at + 20_000]), strict=True):
+                known[s] = found = b"".join([i.to_bytes(4, "little") for i in found])
+                self.held += _ENTRY + len(found)
+        for i, segments in zip(owners, split, strict=True):
+            out[i].append(b"".join([ids[s] if s in ids else known[s] for s in segments] if ids else [known[s] for s in segments]))
+        if self.held > _REMEMBERED:
+            kept = list(known.items())[len(known) // 2 :]
+            self.known = dict(kept)
+            self.held = sum(_ENTRY + len(x) for _, x in kept)
+
+    @property
+    def _find(self) -> Callable[[str], list[str]]:
+        if not hasattr(self, "_splits"):
+            self._splits = self.splitter()
+        return self._splits.findall
+
+    @property
+    def _cuts(self) -> bool:
+        """Whether the splitter cuts before each run of spaces."""
+        return len(self._find(f"a{SPACE}a")) == 2
 
     def decode(self, ids: bytes) -> bytes:
         """UTF-8 of the text that has these ids."""
@@ -235,8 +278,8 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
 
     def run(batch: pa.RecordBatch) -> dict:
         pieces, texts, out = model(model_path), texts_of(batch.column(1)), []
-        for at in range(0, len(texts), 500):
-            out += pieces.encode([t.decode() for t in texts[at : at + 500]])
+        for at in range(0, len(texts), 200):
+            out += pieces.encode([t.decode() for t in texts[at : at + 200]])
         return {"doc_id": batch.column(0).cast(pa.int64()), "ids": pa.array(out, pa.binary())}
 
     return map_batches(df.select(id_col, text_col), run, "doc_id bigint, ids binary")

@@ -61,3 +61,18 @@ def test_awkward(spark, awkward, empty):
     got = S.decode(S.encode(awkward, PATH), PATH).collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(((r.doc_id, r.text or "") for r in awkward.collect()), key=str)
     assert S.encode(empty, PATH).collect() == []
+
+
+def test_slices_and_bounded_memory(monkeypatch):
+    import public_tokenizers
+
+    from palisade.llm import pieces as P
+
+    whole = P.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    small = P.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["several  words and   runs of spaces " * 20, " lead", "trail ", "x" * 300, "", "a▁b ▁ c " * 30, "line\nfeeds\n\n and é 日本 " * 10]
+    want = whole.encode(texts)
+    monkeypatch.setattr(P, "_SLICE", 40)
+    monkeypatch.setattr(P, "_REMEMBERED", 5_000)
+    assert small.encode(texts) == want and small.held <= 5_000
+    assert [small.decode(x).decode() for x in small.encode(texts)][:5] == texts[:5]
