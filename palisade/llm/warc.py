@@ -6,7 +6,8 @@ a fresh header and no payload. Reading an archive back checks every payload agai
 to the responses they refer to.
 
 A record is `WARC/1.1`, headers, an empty line, the block, and two line ends; a file is a plain sequence of such
-records, written by Spark's text writer with the record end as line separator and split among files by rows.
+records, written by Spark's text writer with the record end as line separator. Files are bounded by bytes: pages of up to
+FILE_BYTES / FILE_RECORDS bytes go FILE_RECORDS to a file, and longer ones as many to a file as the longest of them allows.
 
 Nulls: a null html is an empty payload; a null url is written as urn:page:<id>. Rows that repeat a page_id are
 records each; if several rows with a payload's largest page_id are there, each of them is a response. A null page_id is
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +28,8 @@ from pyspark.sql import functions as F
 from palisade.llm.common import materialize, prepare, shared_path, table
 
 END = "\r\n"
-#: Records in one file at most. A reader holds one file at a time.
-FILE_RECORDS = 2_000
+#: Records and payload bytes in one file at most, but for a single longer page. A reader holds one file at a time.
+FILE_RECORDS, FILE_BYTES = 2_000, 64 << 20
 _FIELDS = "page_id bigint, record_type string, payload_bytes bigint, payload_digest string, refers_to bigint, target_uri string, payload binary"
 
 
@@ -76,13 +78,22 @@ def _record(date: str) -> F.Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 1000, date: str = "2024-01-01T00:00:00Z", file_records: int = FILE_RECORDS) -> None:
-    """Writes one record for each page under path; equal payloads of min_bytes or more are written once."""
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 1000, date: str | None = None, file_records: int = FILE_RECORDS, file_bytes: int = FILE_BYTES) -> None:
+    """Writes one record for each page under path; equal payloads of min_bytes or more are written once. The records' date
+    is the time of writing unless one is given."""
     decided = materialize(decide(pages, min_bytes), "warc-revisits")
-    keyed = pages.select("page_id", "url", "html").withColumn("digest", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
-    both = keyed.join(decided, keyed["page_id"].eqNullSafe(decided["page_id"]) & (keyed["digest"] == decided["digest"]), "left").select(keyed["*"], decided["original"])
-    records = both.select(_record(date).alias("value"))
-    records.write.option("lineSep", END + END).option("maxRecordsPerFile", file_records).text(path)
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    size, small = F.coalesce(F.octet_length("html"), F.lit(0)), file_bytes // file_records
+    longest = pages.agg(F.max(size)).first()[0] or 0
+
+    def write(some: DataFrame, records: int, mode: str) -> None:
+        keyed = some.select("page_id", "url", "html").withColumn("digest", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")))
+        both = keyed.join(decided, keyed["page_id"].eqNullSafe(decided["page_id"]) & (keyed["digest"] == decided["digest"]), "left").select(keyed["*"], decided["original"])
+        both.select(_record(date).alias("value")).write.mode(mode).option("lineSep", END + END).option("maxRecordsPerFile", records).text(path)
+
+    write(pages.where(size <= small) if longest > small else pages, file_records, "error")
+    if longest > small:
+        write(pages.where(size > small), max(1, file_bytes // longest), "append")
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -57,3 +57,15 @@ def test_empty_and_nulls(spark, tmp_path):
     A.write_archives(odd, f"file://{tmp_path}/o")
     got = {(r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in A.resolve(A.read_archives(spark, f"file://{tmp_path}/o")).collect()}
     assert got == {(None, "revisit", 4, 2000), (None, "response", None, 1500), (4, "response", None, 2000)}
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, None, "x" * (i * 37 % 90)) for i in range(100)] + [(200 + i, None, chr(97 + i) * 5000) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)
+    path = tmp_path / "bytes"
+    A.write_archives(df, f"file://{path}", file_records=100, file_bytes=10_000)
+    sizes = [[int(f["content-length"]) for f, _ in A.parse(x.read_bytes())] for x in path.glob("*.txt")]
+    assert sum(map(len, sizes)) == 106 and all(sum(s) < 30_000 for s in sizes)
+    assert all(len(s) <= 2 for s in sizes if max(s, default=0) > 5000)
+    got = A.read_archives(spark, f"file://{path}").collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == sorted((i, len(h)) for i, _, h in rows)
