@@ -76,21 +76,20 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _best(query_ids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best of each row, ties to the smaller id; ids are in ascending order and a query is no candidate of its own."""
-    rows = []
-    for q, row in zip(query_ids, scores, strict=True):
-        own = np.searchsorted(ids, q)
-        at = np.arange(len(ids))
-        if own < len(ids) and ids[own] == q:
-            at = np.delete(at, own)
-        if len(at) > k:
-            least = np.partition(row[at], len(at) - k)[len(at) - k]
-            above = at[row[at] > least]
-            at = np.concatenate([above, at[row[at] == least][: k - len(above)]])
-        rows.append(at)
-    counts = [len(r) for r in rows]
-    flat = np.concatenate(rows) if rows else np.zeros(0, int)
-    line = np.repeat(np.arange(len(rows)), counts)
-    return query_ids[line], ids[flat], scores[line, flat]
+    if not scores.size:
+        return query_ids[:0], ids[:0], np.zeros(0, np.int64)
+    able = np.ones(scores.shape, bool)
+    own = np.searchsorted(ids, query_ids)
+    rows = np.flatnonzero((own < len(ids)) & (ids[np.minimum(own, len(ids) - 1)] == query_ids))
+    able[rows, own[rows]] = False
+    if scores.shape[1] > k:
+        # A query's own place counts as the least score of all; it isn't able, so no tie can let it in.
+        ranked = np.where(able, scores, np.iinfo(np.int64).min)
+        least = np.partition(ranked, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k][:, None]
+        above, level = able & (scores > least), able & (scores == least)
+        able = above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1)[:, None]))
+    line, at = np.nonzero(able)
+    return query_ids[line], ids[at], scores[line, at]
 
 
 def _tiles(k: int):
