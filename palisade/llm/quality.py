@@ -9,7 +9,8 @@ Fitting takes a bounded sample: train_docs labelled rows in the order of a hash
 as fit into train_lines lines, whole documents each. Scoring reads every row and the whole text.
 
 Nulls: a null or empty text is one empty line and gets a score like any other. A row whose id is null is scored
-and counts as held out. Labels other than 0 and 1 teach nothing; a row labelled twice teaches twice. Without
+and counts as held out. Very long texts are read a block of lines at a time. Ties: documents of one hash are chosen in the
+order of their ids. Labels other than 0 and 1 teach nothing; a row labelled twice teaches twice. Without
 labels of both kinds every document gets the share of good ones as its score (0.5 without labels). An empty table
 gives no rows.
 """
@@ -17,6 +18,8 @@ gives no rows.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from math import exp, log
 from operator import eq
 
 import numpy as np
@@ -27,6 +30,8 @@ from pyspark.sql import functions as F
 from palisade.llm.common import map_batches, materialize, prepare, table, texts_of
 
 TRAIN_DOCS, TRAIN_LINES = 4_000, 200_000
+#: Lines whose features are held at once.
+BLOCK_LINES = 20_000
 #: Bytes by kind: other, lower case, upper case, digit, common punctuation, symbol, white space.
 _KINDS = np.zeros(256, np.uint8)
 _KINDS[np.arange(ord("a"), ord("z") + 1)] = 1
@@ -41,8 +46,9 @@ _OWN = 14
 WIDTH = 4 * _OWN + 3
 
 
-def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features (lines, WIDTH), each line's length + 1, and each document's number of lines."""
+def _own_features(texts: list[bytes], seen: set[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What lines look like themselves (lines, _OWN), each line's length + 1, and each document's number of lines. seen: the
+    lines of the same document before a single text."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     ends = np.flatnonzero(data == 10)
     starts = np.concatenate([[0], ends[:-1] + 1])
@@ -75,7 +81,13 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     own[:, 10] = upper_runs / np.maximum(letters, 1)
     last = data[np.maximum(ends - 1, starts)]
     own[:, 11] = (last == ord(".")) | (last == ord("?")) | (last == ord("!"))
-    own[:, 12], own[:, 13] = _repeats(texts)
+    own[:, 12], own[:, 13] = _repeats(texts, seen)
+    return own, size, lines
+
+
+def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features (lines, WIDTH), each line's length + 1, and each document's number of lines."""
+    own, size, lines = _own_features(texts)
     first = np.concatenate([[0], np.cumsum(lines)[:-1]])
     out = np.zeros((len(size), WIDTH))
     out[:, :_OWN] = own
@@ -93,12 +105,12 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return out, size, lines
 
 
-def _repeats(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _repeats(texts: list[bytes], before: set[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Whether a line that isn't empty was in the document before; the share of its words that repeat the word before."""
     lines: list[bool] = []
     words: list[float] = []
     for t in texts:
-        seen: set[bytes] = set()
+        seen: set[bytes] = set() if before is None else before
         for x in t.split(b"\n"):
             lines.append(bool(x) and x in seen)
             seen.add(x)
@@ -153,9 +165,58 @@ class LineField:
         return np.add.reduceat(self.chances(x, lines) * size, first) / np.add.reduceat(size, first)
 
     def score(self, x: np.ndarray, size: np.ndarray, lines: np.ndarray) -> np.ndarray:
-        share = np.clip(self.good_share(x, size, lines), 1e-9, 1 - 1e-9)
+        return self._calibrated(self.good_share(x, size, lines))
+
+    def _calibrated(self, share: np.ndarray) -> np.ndarray:
+        share = np.clip(share, 1e-9, 1 - 1e-9)
         return 1 / (1 + np.exp(-(self.level + self.slope * np.log(share / (1 - share)))))
 
+    def score_long(self, text: bytes, block: int = BLOCK_LINES) -> float:
+        """The score of one text of many lines: features are made for a block of lines at a time, and only each line's
+        evidence, length and messages are kept. Messages are log odds of state 1."""
+        ends = np.append(np.flatnonzero(np.frombuffer(text, np.uint8) == 10), len(text))
+        n = len(ends)
+        cuts = [*range(0, n, block), n]
+
+        def blocks():
+            seen: set[bytes] = set()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                own, size, _ = _own_features([text[0 if a == 0 else ends[a - 1] + 1 : ends[b - 1]]], seen)
+                yield a, b, own, size
+
+        size, emit, total = np.empty(n), np.empty(n), np.zeros(_OWN)
+        for a, b, own, part in blocks():
+            size[a:b] = part
+            total += part @ own
+        w = self.weights
+        common = total / size.sum() @ w[3 * _OWN : 4 * _OWN] + w[4 * _OWN + 2]
+        last = None
+        for a, b, own, _ in blocks():
+            emit[a:b] = own @ w[:_OWN] + common
+            if last is not None:
+                emit[a] += last @ w[_OWN : 2 * _OWN]
+                emit[a - 1] += own[0] @ w[2 * _OWN : 3 * _OWN]
+            emit[a + 1 : b] += own[:-1] @ w[_OWN : 2 * _OWN]
+            emit[a : b - 1] += own[1:] @ w[2 * _OWN : 3 * _OWN]
+            last = own[-1]
+        emit[0] += w[4 * _OWN]
+        emit[-1] += w[4 * _OWN + 1]
+        emit = np.clip(emit, -30, 30)
+        (s00, s01), (s10, s11) = np.exp(self.steps).tolist()
+        odds = emit.copy()
+        message = 0.0
+        for t, e in enumerate(emit.tolist()):
+            if t:
+                message = log((s01 + r * s11) / (s00 + r * s10))
+            odds[t] += message
+            r = exp(e + message)
+        message = 0.0
+        for t in range(n - 2, -1, -1):
+            r = exp(emit[t + 1] + message)
+            message = log((s10 + r * s11) / (s00 + r * s01))
+            odds[t] += message
+        return float(self._calibrated(np.array([(size / (1 + np.exp(-odds))).sum() / size.sum()]))[0])
+
     @classmethod
     def fit(cls, x: np.ndarray, size: np.ndarray, lines: np.ndarray, labels: np.ndarray, rounds: int = 200, rate: float = 0.1, penalty: float = 1e-3) -> LineField:
         """Maximum conditional likelihood by gradient steps (Adam), then a calibration of documents' scores."""
@@ -206,8 +267,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     rows = rows.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("label"))
     chosen = rows.orderBy(F.xxhash64("_id"), "_id", "label").limit(train_docs)
 
-    def features(batch: pa.RecordBatch) -> dict:
-        x, size, lines = line_features(texts_of(batch.column(1)))
+    # A document of more lines than all of the sample may have can't be chosen: no features are made of it.
+    def features(batch: pa.RecordBatch) -> dict | None:
+        texts = texts_of(batch.column(1))
+        keep = [i for i, t in enumerate(texts) if t.count(b"\n") < train_lines]
+        if not keep:
+            return None
+        batch = batch.take(pa.array(keep))
+        x, size, lines = line_features([texts[i] for i in keep])
         ends = np.cumsum(lines)
         cut = lambda a: [a[e - n : e].astype(np.float32).tobytes() for e, n in zip(ends, lines, strict=True)]
         return {"id": batch.column(0).cast(pa.int64()), "label": batch.column(2), "lines": lines.astype(np.int64), "x": pa.array(cut(x), pa.binary()), "size": pa.array(cut(size), pa.binary())}
@@ -230,15 +297,29 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     return LineField.fit(x, size, np.array([r["lines"] for r in fit]), y)
 
 
+def _parts(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Texts in parts of at most 250 and BLOCK_LINES lines; a longer text is a part of its own."""
+    part, left = [], BLOCK_LINES
+    for t in texts:
+        n = t.count(b"\n") + 1
+        if part and (len(part) == 250 or n > left):
+            yield part
+            part, left = [], BLOCK_LINES
+        part.append(t)
+        left -= n
+    if part:
+        yield part
+
+
 def score_quality(docs: DataFrame, model: LineField | float, extra: list[str], text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The columns `extra` of docs, with score and predicted."""
 
     def score(batch: pa.RecordBatch) -> dict:
-        out, texts = [], texts_of(batch.column(0))
-        for at in range(0, len(texts), 250):
-            part = texts[at : at + 250]
-            out.append(np.full(len(part), model) if isinstance(model, float) else model.score(*line_features(part)))
-        scores = np.concatenate(out)
+        texts = texts_of(batch.column(0))
+        if isinstance(model, float):
+            scores = np.full(len(texts), model)
+        else:
+            scores = np.concatenate([np.array([model.score_long(p[0])]) if p[0].count(b"\n") >= BLOCK_LINES else model.score(*line_features(p)) for p in _parts(texts)])
         kept = {name: batch.column(i + 1) for i, name in enumerate(extra)}
         return kept | {"score": scores, "predicted": (scores >= threshold).astype(np.int32)}
 

@@ -61,8 +61,31 @@ def test_awkward(spark, awkward, empty):
     assert Q.quality(empty, labels).collect() == []
 
 
-def test_sample_is_bounded(spark):
+def test_sample_is_bounded(spark, monkeypatch):
     rows, labels = corpus(60, 2)
     docs, marks = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int")
-    assert isinstance(Q.fit_quality(docs, marks, train_docs=20, train_lines=50), (Q.LineField, float))
-    assert docs.where(F.col("doc_id") < 0).count() == 0
+    fitted = []
+    monkeypatch.setattr(Q.LineField, "fit", classmethod(lambda cls, x, size, lines, labels: fitted.append((len(x), len(labels))) or 0.5))
+    Q.fit_quality(docs, marks, train_docs=20, train_lines=50)
+    assert fitted and fitted[0][0] <= 50 and fitted[0][1] <= 20
+
+
+def test_scores_are_those_of_each_document_alone(spark):
+    """The query against messages passed along each text by itself, a few lines at a time."""
+    rows, labels = corpus(150, 3)
+    rows += [(1000, ""), (1001, None), (1002, "\n" * 70), (1003, "\n".join(t for _, t in rows[:30]))]
+    docs, marks = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int")
+    model = Q.fit_quality(docs, marks)
+    got = {r.doc_id: r.score for r in Q.quality(docs, marks).collect()}
+    for i, text in rows:
+        for block in (3, 1000):
+            assert abs(got[i] - model.score_long((text or "").encode(), block)) < 1e-9
+
+
+def test_many_lines_take_bounded_memory(spark):
+    rows, labels = corpus(80, 4)
+    docs = spark.createDataFrame([*rows, (900, "\n" * 300_000), (901, "word\n" * 50_000)], "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in Q.quality(docs, spark.createDataFrame([*labels, (900, 0)], "doc_id bigint, quality int")).collect()}
+    assert len(got) == 82 and 0 <= got[900] <= 1
+    parts = list(Q._parts([b"a"] * 600 + [b"\n" * 30_000, b"b"]))
+    assert [len(p) for p in parts] == [250, 250, 100, 1, 1]
