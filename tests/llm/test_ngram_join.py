@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import pytest
 
+from palisade.llm import ngram_join as N
 from palisade.llm.components import components
 from palisade.llm.ngram_join import Plan, ngram_join
 
@@ -55,6 +56,17 @@ def test_against_every_pair(spark, words, p, length, edits):
     assert run(df, words=words, p=p) == brute(rows, words, p, 100)
 
 
+@pytest.mark.parametrize(("words", "p", "length", "edits"), [(3, 90, 150, 9), (2, 60, 40, 14)])
+def test_groups_of_copies_a_little_too_far_apart(spark, monkeypatch, words, p, length, edits):
+    """Groups around a text that isn't there, done in one part and split into many."""
+    rows = [(i, t) for i, t in enumerate(near_copies(7, 110, length, edits) + near_copies(8, 40, length, 2 * edits)) if len(set(t.split())) < length]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    want = brute(rows, words, p, 100)
+    assert run(df, words=words, p=p) == want
+    monkeypatch.setattr(N, "GROUP_ELEMENTS", 700)
+    assert run(df, words=words, p=p) == want
+
+
 def test_awkward(spark, awkward, empty):
     rows = [(r.doc_id, r.text) for r in awkward.collect()]
     assert run(awkward, words=3, p=90) == brute(rows, 3, 90, 100)

@@ -35,14 +35,25 @@ def test_stages_take_effect(spark, tmp_path):
     assert {r.doc_id for r in P.run(spark, d).collect()} == near
 
 
-def test_awkward(spark, awkward, empty):
-    labels = spark.createDataFrame([(1, 1, 0), (8, 0, 0)], "doc_id bigint, quality int, toxic int")
-    for stage in (P.drop_copies, P.drop_near_copies):
-        assert stage(spark, awkward, "").columns == awkward.columns
-        assert stage(spark, empty, "").count() == 0
+def test_awkward(spark, awkward, empty, tmp_path):
+    spark.createDataFrame([(1, 1), (8, 0)], "doc_id bigint, quality int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    for stage in (P.keep_quality, P.drop_copies, P.drop_near_copies):
+        assert stage(spark, awkward, f"file://{tmp_path}").columns == awkward.columns
+        assert stage(spark, empty, f"file://{tmp_path}").count() == 0
+    assert P.pack(spark, empty, "").count() == 0
     kept = P.drop_copies(spark, awkward, "")
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 3, 5, 6, 7, 8, 8, 9, None, 10, 12], key=str)
-    assert labels.count() == 2
+    packed = P.pack(spark, awkward, "").collect()
+    assert sorted({r.doc_id for r in packed}, key=str) == sorted({r.doc_id for r in awkward.collect()}, key=str)
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    rows = [(i, "\n".join(f"Plain sentence {i} number {j} about a quiet town." for j in range(4)), "en", "s", 1) for i in range(30)]
+    rows += [(50, None, None, None, None), (51, "", "en", "s", 0), (None, "a row without an id and some words", "en", "s", 1), (52, "long words here " * 60_000, "en", "s", 1), (53, "\n" * 40_000, "en", "s", 1)]
+    got = {r.doc_id for r in P.run(spark, write(spark, rows, tmp_path / "odd")).collect()}
+    assert got >= {0, 52, None} and 51 not in got
+    none = write(spark, rows[:0], tmp_path / "none")
+    assert P.run(spark, none).collect() == []
 
 
 def test_quality_stage_keeps_every_column(spark, awkward, tmp_path):
