@@ -33,7 +33,7 @@ SPACE = "▁"
 #: Longer segments are streamed, and not remembered.
 _COLUMN_CHARS = 48
 #: Bytes of segments and ids that a worker remembers, its objects' own bytes included; characters cut at once. Only speed depends on them.
-_REMEMBERED, _ENTRY, _SLICE = 96 << 20, 260, 1 << 20
+_REMEMBERED, _ENTRY, _SLICE = 144 << 20, 260, 1 << 20
 _UNKNOWN_PENALTY = 10.0
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _models: dict[str, PieceModel] = {}
