@@ -14,7 +14,7 @@ from palisade.operators.guards import Guard, first_rejection, standard, verdicts
 EMPTY, BELOW, EMBEDDER, GUARD, VERIFIER = "EMPTY_SCOPE", "BELOW_THRESHOLD", "EMBEDDER_MISMATCH", "GUARD_REJECTED", "VERIFIER_REJECTED"
 
 
-def candidates(requests: DataFrame, entries: DataFrame, k: int = 5, threshold: float = 0.95, thresholds: DataFrame | None = None, dim: int | None = None, as_of: bool = False, salts: int = 1) -> DataFrame:
+def candidates(requests: DataFrame, entries: DataFrame, k: int = 5, threshold: float = 0.95, thresholds: DataFrame | None = None, dim: int | None = None, as_of: bool = False, salts: int | None = None) -> DataFrame:
     """One row for each request and near entry: ids, scope, similarity, rank, the threshold that applies.
 
     thresholds(scope, threshold) overrides the threshold in some scopes.

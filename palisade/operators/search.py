@@ -9,6 +9,8 @@ from palisade.functions import vectors as V
 
 #: Entries per query that a code shortlist keeps for each one that is wanted.
 OVERFETCH = {"int8": 4, "binary": 24}
+#: Entries of one scope that a task takes.
+SALT_ROWS = 50_000
 
 
 def best(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -17,14 +19,22 @@ def best(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFra
     return df.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
 
 
-def nearest(queries: DataFrame, entries: DataFrame, k: int = 5, dim: int | None = None, as_of: bool = False, salts: int = 1) -> DataFrame:
+def salts_of(entries: DataFrame) -> int:
+    """How many tasks the largest scope's entries need: one count by scope."""
+    most = entries.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return max(1, -(-(most or 0) // SALT_ROWS))
+
+
+def nearest(queries: DataFrame, entries: DataFrame, k: int = 5, dim: int | None = None, as_of: bool = False, salts: int | None = None) -> DataFrame:
     """Each query's k most similar entries of its scope: query_id, entry_id, similarity, rank.
 
     queries(query_id, scope, embedding[, ts]), entries(entry_id, scope, embedding[, created_at]); embeddings are
     normalised. Ties go to the smaller entry_id. With as_of only entries created before the query count. With
     salts above 1 a scope's entries are dealt to that many tasks and each query is sent to all of them, so that a
-    hot scope isn't one task; the k best of each part meet in the final ranking.
+    hot scope isn't one task; the k best of each part meet in the final ranking. Unless salts are given, they are as
+    many as leave SALT_ROWS of the largest scope's entries to a task.
     """
+    salts = salts_of(entries) if salts is None else salts
     q, e = queries.withColumnRenamed("embedding", "q_vec"), entries.withColumnRenamed("embedding", "e_vec")
     keys = ["scope"]
     if salts > 1:
@@ -71,7 +81,7 @@ def _cells(v: Column, centres: list[list[float]], n: int) -> Column:
     return F.transform(F.slice(F.array_sort(F.array(*far)), 1, n), lambda s: s["cell"])
 
 
-def nearest_by_cells(queries: DataFrame, entries: DataFrame, k: int = 10, cells: int = 32, probes: int = 10, centres: list[list[float]] | None = None) -> DataFrame:
+def nearest_by_cells(queries: DataFrame, entries: DataFrame, k: int = 10, cells: int = 16, probes: int = 12, centres: list[list[float]] | None = None) -> DataFrame:
     """Like nearest, but only entries of the cells nearest to the query are proposed. Every entry is in one cell."""
     centres = centres or centroids(entries, cells)
     placed = entries.select("entry_id", "scope", _cells(F.col("embedding"), centres, 1)[0].alias("cell"))

@@ -565,6 +565,7 @@ WITH RECURSIVE w AS (
 SELECT scope, wd AS "window", threshold FROM t""",
     "score_corpus": f"{_CORPUS} SELECT near_misses, caught, paraphrases, kept, direction_disagreements, caught / near_misses AS catch_rate, {_wilson('caught', 'near_misses', '-', '0.0')} AS catch_low, {_wilson('caught', 'near_misses', '+', '1.0')} AS catch_high, kept / paraphrases AS retention, {_wilson('kept', 'paraphrases', '-', '0.0')} AS retention_low, {_wilson('kept', 'paraphrases', '+', '1.0')} AS retention_high FROM cs WHERE kind IS NULL",
     "score_by_kind": f"{_CORPUS} SELECT kind, near_misses, caught, paraphrases, kept, direction_disagreements FROM cs WHERE kind IS NOT NULL",
+    "score_standard": f"{_CORPUS} SELECT kind, near_misses, caught, paraphrases, kept, direction_disagreements FROM cs WHERE kind IS NOT NULL",
     "score_by_guard": f"""{_CORPUS}, k AS (SELECT unnest({_RULE_LIST}) AS guard), x AS (
   SELECT k.guard, count(*) FILTER (WHERE NOT should_match AND list_contains(rejecting, k.guard)) AS caught, count(*) FILTER (WHERE NOT should_match AND rejecting = [k.guard]) AS "only",
     count(*) FILTER (WHERE should_match AND list_contains(rejecting, k.guard)) AS lost, count(*) FILTER (WHERE NOT should_match) AS nm FROM k, j GROUP BY k.guard)

@@ -23,7 +23,7 @@ PAIRS = (
     ("divergent", "Plan a cheap family trip through {p} by train", "List seven famous painters born near lakes and mountains"),
     ("length", "Weather {p}", "Tell me in plain words everything about the weather that somebody would expect in {p} this whole month"),
     ("order", "Did {p} beat {r} in the final", "Did {r} beat {p} in the final"),
-    ("same", "How do I reverse a list in Python", "how do I reverse a list in Python?"),
+    ("same", "How do I rinse a brush in Sweden", "how do I rinse a brush in Sweden?"),
 )
 _PLACES = ("Lisbon", "Madrid", "Vienna", "Prague", "Warsaw")
 

@@ -63,7 +63,7 @@ def nearest_binary(spark, d):
 
 
 def nearest_cells(spark, d):
-    return search.nearest_by_cells(requests(spark, d), entries(spark, d), k=5, cells=16, probes=10).select("query_id", "entry_id", "similarity", "rank")
+    return search.nearest_by_cells(requests(spark, d), entries(spark, d), k=5).select("query_id", "entry_id", "similarity", "rank")
 
 
 def nearest_diverse(spark, d):
@@ -380,6 +380,11 @@ def score_by_kind(spark, d):
     return score.corpus_score(_judged(spark, d), ["kind"]).select("kind", "near_misses", "caught", "paraphrases", "kept", "direction_disagreements")
 
 
+def score_standard(spark, d):
+    """The standard chain's counts by kind, under their older name."""
+    return score_by_kind(spark, d)
+
+
 def score_by_guard(spark, d):
     return score.by_guard(_judged(spark, d), [g.name for g in G.standard()])
 
@@ -583,7 +588,7 @@ _PLAIN = [
     cache_answers, cache_written, cache_stats, cache_exact, cache_warm, conversation_keys, retrieval,
     stats_total, stats_by_scope, stats_guards, stats_savings, stats_metrics, stats_spans, stats_timers, stats_log,
     admission_outcomes, admission_rates, admission_coalesced, adaptive_thresholds,
-    score_corpus, score_by_kind, score_by_guard, score_by_band, score_by_register, score_breakdown, score_pairs, calibrate_outcomes, calibrate_recommended, calibrate_wilson, calibrate_trials, verifier_costs, verifier_cuts,
+    score_corpus, score_by_kind, score_by_guard, score_by_band, score_by_register, score_breakdown, score_standard, score_pairs, calibrate_outcomes, calibrate_recommended, calibrate_wilson, calibrate_trials, verifier_costs, verifier_cuts,
     store_upsert, store_live, store_expired_count, store_sizes, store_recent, store_bytes, store_tags, store_tagged, store_live_written, store_clear, store_remove, store_log, store_compacted,
     store_encrypted, store_vetoed, store_near_duplicates, store_chunks, store_faults, store_point_ids,
     stream_metrics, stream_answers,

@@ -2,16 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in spark.checkpoint.dir; in a temporary folder only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/palisade-shared"
-    return f"{root.rstrip('/')}/palisade-{uuid.uuid4().hex}-{name}"
+    """A fresh path in spark.checkpoint.dir, deleted at exit. Where that is unset it is in a temporary folder if all run on this
+    machine, else an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}/palisade-shared"
+    path = f"{root.rstrip('/')}/palisade-{uuid.uuid4().hex}-{name}"
+    _written.append((spark, path))
+    return path
+
+
+@atexit.register
+def _clean() -> None:
+    for spark, path in _written:
+        try:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001 - the session may be gone; then its owner clears the folder
+            continue
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

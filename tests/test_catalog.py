@@ -9,7 +9,7 @@ from palisade import catalog
 
 DATA = "/root/testdata/sf0.001"
 #: The dearest queries share their operators with others that run here.
-SAMPLE = ["nearest_in_scope", "nearest_int8", "text_words", "text_numbers", "guard_numeric", "guard_substitution", "lookup_decisions", "lookup_shadow", "stats_by_scope", "admission_rates", "adaptive_thresholds", "score_by_guard", "calibrate_outcomes", "store_log", "store_bytes", "store_recent", "stream_metrics", "stream_answers"]
+SAMPLE = ["nearest_in_scope", "nearest_int8", "text_words", "text_numbers", "guard_numeric", "guard_substitution", "lookup_decisions", "lookup_shadow", "stats_by_scope", "admission_rates", "adaptive_thresholds", "score_by_guard", "calibrate_outcomes", "cache_answers", "stats_spans", "store_log", "store_bytes", "store_recent", "stream_metrics", "stream_answers"]
 
 
 def cells(x):

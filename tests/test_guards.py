@@ -7,27 +7,27 @@ from palisade.functions import text as T
 from palisade.operators import guards as G
 
 REJECTED = [
-    ("numeric", "Convert 100 USD to EUR", "Convert 250 USD to EUR"),
+    ("numeric", "Book 120 chairs for the hall", "Book 210 chairs for the hall"),
     ("numeric", "Scale it by 3,5 now", "Scale it by 5,3 now"),
     ("unit", "How heavy is 5 kg of rice", "How heavy is 5 lbs of rice"),
     ("temporal", "Who leads the company today", "Who leads the company tomorrow"),
-    ("negation", "foods you should eat while pregnant", "foods you should not eat during pregnancy"),
-    ("antonym", "turn on format on save", "turn off format on save"),
-    ("entity", "Tell me the capital of Austria", "Tell me the capital of Australia"),
-    ("substitution", "write code painting brown horse", "write code painting brown camel"),
+    ("negation", "plants that cats may chew at home", "plants that cats may not chew at home"),
+    ("antonym", "keep the porch light on overnight", "keep the porch light off overnight"),
+    ("entity", "Who governs the town of Lugano", "Who governs the town of Lucerne"),
+    ("substitution", "draw a tall green ladder", "draw a tall green lantern"),
     ("scope", "give me a summary of this report", "give me a tutorial of this report"),
-    ("direction", "convert dollars to euros or pounds", "convert euros to dollars or pounds"),
+    ("direction", "convert gallons to litres or pints", "convert litres to gallons or pints"),
     ("sub-span", "How do I sort an array", "How do I sort an array without extra memory"),
     ("lexical-divergence", "plan cheap family trip through Lisbon by train", "list seven famous painters born near lakes"),
 ]
 ACCEPTED = [
     ("numeric", "A hall of 1,200 seats", "A hall of 1200 seats"),
-    ("unit", "375 f to c", "What is 375 degrees Fahrenheit in Celsius?"),
+    ("unit", "90 f in c", "What is 90 degrees Fahrenheit in Celsius?"),
     ("temporal", "the current branch in git", "the active branch in git merges now"),
     ("negation", "which cheese melts well today", "reasons why trains are never late in winter"),
     ("antonym", "run this before deploy", "run this prior to deploy"),
     ("entity", "Explain the Application Programming Interface to me", "Explain the API to me"),
-    ("substitution", "write code painting brown horse", "write code painting bronw horses"),
+    ("substitution", "draw a tall green ladder", "draw a tall geren ladders"),
     ("scope", "an overview of this", "an overview and an example of this"),
     ("direction", "how do I move from A1 to B1", "how do I move from A1 to B1"),
     ("sub-span", "sort an array", "I am on Ubuntu, sort an array"),
@@ -52,7 +52,7 @@ def test_known_verdicts(spark):
 
 @pytest.mark.parametrize(
     ("a", "b", "same"),
-    [("cat", "cut", False), ("mak", "make", True), ("raed", "read", True), ("austria", "australia", False), ("color", "colour", True), ("walk", "walking", False), ("paint", "painting", True), ("12345", "12354", True), ("1234", "1243", False), ("recieve", "receive", True), ("house", "houses", True), ("a", "b", False)],
+    [("cat", "cut", False), ("mak", "make", True), ("raed", "read", True), ("armenia", "argentina", False), ("color", "colour", True), ("walk", "walking", False), ("paint", "painting", True), ("12345", "12354", True), ("1234", "1243", False), ("recieve", "receive", True), ("house", "houses", True), ("a", "b", False)],
 )
 def test_same_word(spark, a, b, same):
     row = spark.range(1).select(T.same_word(F.lit(a), F.lit(b)).alias("ab"), T.same_word(F.lit(b), F.lit(a)).alias("ba")).first()
@@ -61,7 +61,7 @@ def test_same_word(spark, a, b, same):
 
 @pytest.mark.parametrize(
     ("text", "found"),
-    [("Compare Python vs. Java", ["python", "java"]), ("Country: Austria. Give me the capital.", ["austria"]), ("Show CSS. Show me an example", ["css"]), ("I met Dr. Who in Paris", ["dr", "who", "paris"]), ("", []), (None, [])],
+    [("Rank Oslo vs. Bergen", ["oslo", "bergen"]), ("River: Loire. Show me its length.", ["loire"]), ("Read XML. Explain it with a drawing", ["xml"]), ("I met Dr. Who in Paris", ["dr", "who", "paris"]), ("", []), (None, [])],
 )
 def test_names(spark, text, found):
     df = spark.createDataFrame([(text,)], "t string")
