@@ -2,13 +2,13 @@
 
 A text is escaped (spaces become U+2581, one is put before it) and cut into the pieces whose scores sum to the most;
 of equally good paths the one whose last piece is longest is taken, as the library's unigram encoder does. The
-Viterbi pass keeps a window of the last positions that a piece can still reach, as many as the longest piece has
+Viterbi pass keeps a window of the positions that a piece can still reach, as many as the longest piece has
 characters. Whenever all paths that survive in the window go through one boundary, the ids before it are committed
 and dropped, and scores start from 0 there, so memory doesn't grow with the text.
 
-Where two neighbouring characters occur side by side in no piece, every path has a boundary between them. Texts are
-cut there first and each distinct segment is encoded once, many segments at a time by columns; a segment
-that is long goes through the streaming pass.
+Where two neighbouring characters occur side by side in no piece, every path has a boundary between them. Those
+boundaries are known before the pass: texts are cut there, each segment goes through the same pass, and the ids that it
+commits are remembered, so that a segment that comes again isn't passed again.
 
 A character that no piece covers becomes its UTF-8 bytes' pieces if the model has them, else the unknown piece; it
 scores 10 less than the least piece. Decoding joins the pieces and bytes and undoes the escape, and gives back the
@@ -27,15 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palisade.llm.common import map_batches, mix64, prepare, table, texts_of
+from palisade.llm.common import map_batches, prepare, table, texts_of
 
 SPACE = "▁"
-#: Longer segments are streamed, and not remembered.
-_COLUMN_CHARS = 48
+#: Longer segments are not remembered.
+_REMEMBERED_CHARS = 48
 #: Bytes of segments and ids that a worker remembers, its objects' own bytes included; characters cut at once. Only speed depends on them.
 _REMEMBERED, _ENTRY, _SLICE = 144 << 20, 260, 1 << 20
 _UNKNOWN_PENALTY = 10.0
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_NEVER = float("-inf")
+_NO_PIECE = (_NEVER, -1)
 _models: dict[str, PieceModel] = {}
 
 
@@ -60,132 +61,78 @@ class PieceModel:
         self._follow: dict[str, set[str]] = {}
         for a, b in joined:
             self._follow.setdefault(a, set()).add(b)
+        # Every beginning of a piece, with its score and id if it is one itself: a look-up that fails ends the search.
+        self.steps = {p[:i]: _NO_PIECE for p in self.ids for i in range(1, len(p))} | {p: (self.scores[i], i) for p, i in self.ids.items()}
         self.known: dict[str, bytes] = {}
         self.held = 0
-        self._columns()
 
-    # Scalar pass -------------------------------------------------------------------------------------------------
+    # Streamed pass -----------------------------------------------------------------------------------------------
 
     def stream(self, chars: str):
-        """Yields (ids, characters committed) as paths converge. The window holds `longest` + 1 positions' scores;
-        backpointers are kept from the last committed boundary on."""
-        best, back = [0.0], [(0, -1)]  # by position from the last boundary: score; start and id of the last piece
-        base, n = 0, len(chars)
+        """Yields (ids, characters committed) as paths converge. A position that no piece goes over is a boundary of
+        all paths at once; beyond `longest` open positions the surviving paths are followed back to where they meet."""
+        n, base, steps, longest, uncovered = len(chars), 0, self.steps, self.longest, (self.unknown_score, -1)
+        best, back, ids = [0.0], [0], [-1]  # by position from the last boundary: score; start and id of the last piece
         for start in range(n):
             here = start - base
-            for length in range(1, min(self.longest, n - start) + 1):
-                end = here + length
-                while len(best) <= end:
-                    best.append(float("-inf"))
-                    back.append((0, -1))
-                found = self.ids.get(chars[start : start + length])
-                if found is None and length > 1:
-                    continue
-                score = best[here] + (self.scores[found] if found is not None else self.unknown_score)
-                if score > best[end]:
-                    best[end], back[end] = score, (here, -1 if found is None else found)
-            # Which positions can a later piece still start at? Those after `start` that are reached.
-            live = {e for e in range(here + 1, len(best)) if best[e] > float("-inf")}
-            meet = self._meeting(live, back)
+            so_far, size, end, at = best[here], len(best), start + 1, here + 1
+            value = steps.get(chars[start], _NO_PIECE)
+            if value is _NO_PIECE:
+                value = uncovered
+            while True:
+                if value is not _NO_PIECE:
+                    score = so_far + value[0]
+                    while at >= size:
+                        best.append(_NEVER)
+                        back.append(0)
+                        ids.append(-1)
+                        size += 1
+                    if score > best[at]:
+                        best[at], back[at], ids[at] = score, here, value[1]
+                if end == n:
+                    break
+                end += 1
+                at += 1
+                value = steps.get(chars[start:end])
+                if value is None:
+                    break
+            if size == here + 2:
+                meet = here + 1
+            elif here >= longest:
+                # Which positions can a later piece still start at? Those after `start` that are reached.
+                meet = self._meeting({e for e in range(here + 1, size) if best[e] > _NEVER}, back)
+            else:
+                continue
             if meet > 0:
-                yield self._ids(chars, base, meet, back), meet
-                best, back = [x - best[meet] for x in best[meet:]], [(0, -1), *((s - meet, i) for s, i in back[meet + 1 :])]
+                yield self._ids(chars, base, meet, back, ids), meet
+                best, back, ids = [x - best[meet] for x in best[meet:]], [0, *(s - meet for s in back[meet + 1 :])], [-1, *ids[meet + 1 :]]
                 base += meet
-        if base < n:
-            yield self._ids(chars, base, n - base, back), n - base
 
     @staticmethod
-    def _meeting(live: set[int], back: list) -> int:
+    def _meeting(live: set[int], back: list[int]) -> int:
         """The last position through which the paths to all live positions go."""
         open_ = set(live)
         while len(open_) > 1:
             far = max(open_)
             open_.discard(far)
-            open_.add(back[far][0])
+            open_.add(back[far])
         return open_.pop() if open_ else 0
 
-    def _ids(self, chars: str, base: int, end: int, back: list) -> list[int]:
-        out: list[list[int]] = []
+    def _ids(self, chars: str, base: int, end: int, back: list[int], ids: list[int]) -> list[int]:
+        out: list[int] = []
         while end > 0:
-            start, found = back[end]
-            out.append([found] if found >= 0 else self._spelled(chars[base + start : base + end]))
+            start = back[end]
+            if ids[end] >= 0:
+                out.append(ids[end])
+            else:
+                out += reversed(self._spelled(chars[base + start : base + end]))
             end = start
-        return [i for part in reversed(out) for i in part]
+        out.reverse()
+        return out
 
     def _spelled(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in char.encode()] if self.byte_ids else [self.unknown]
 
-    # Column pass -------------------------------------------------------------------------------------------------
-
-    def _columns(self) -> None:
-        keys = np.array([self._hash(p) for p in self.ids], np.uint64)
-        ids, scores = np.array(list(self.ids.values())), np.array([self.scores[i] for i in self.ids.values()])
-        bits = int(4 * len(keys)).bit_length()
-        self._shift, size = np.uint64(64 - bits), 1 << bits
-        self._table = np.full(size, -1, np.int32)
-        self._keys, self._ids_of, self._score_of = keys, ids, scores
-        left, slot = np.arange(len(keys)), (keys >> self._shift).astype(np.int64)
-        while len(left):
-            free = self._table[slot] < 0
-            self._table[slot[free]] = left[free]
-            lost = self._table[slot] != left
-            left, slot = left[lost], (slot[lost] + 1) & (size - 1)
-
-    @staticmethod
-    def _hash(piece: str) -> int:
-        h = 0
-        for c in piece:
-            h = (h * int(_BASE) + int(mix64(np.array([ord(c)]))[0])) & (2**64 - 1)
-        return int(mix64(np.array([h], np.uint64), len(piece))[0])
-
-    def _lookup(self, keys: np.ndarray) -> np.ndarray:
-        """Index of each piece by its hash, -1 where there is none."""
-        slot, out, open_ = (keys >> self._shift).astype(np.int64), np.full(len(keys), -1, np.int64), np.arange(len(keys))
-        while len(open_):
-            own = self._table[slot]
-            hit = (own >= 0) & (self._keys[own] == keys[open_])
-            out[open_[hit]] = own[hit]
-            more = (own >= 0) & ~hit
-            open_, slot = open_[more], (slot[more] + 1) & (len(self._table) - 1)
-        return out
-
-    def _column_pass(self, segments: list[str]) -> list[list[int]]:
-        """Best paths of segments of at most _COLUMN_CHARS characters, position by position for all of them."""
-        n = np.array([len(s) for s in segments])
-        width, count = int(n.max()), len(segments)
-        chars = np.zeros((count, width), np.uint32)
-        flat = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)
-        chars[np.arange(width)[None, :] < n[:, None]] = flat
-        mixed = mix64(chars.astype(np.uint64).ravel()).reshape(chars.shape)
-        best = np.full((count, width + 1), -np.inf)
-        best[:, 0] = 0
-        back, piece = np.zeros((count, width + 1), np.int32), np.full((count, width + 1), -1, np.int64)
-        with np.errstate(over="ignore", invalid="ignore"):
-            for start in range(width):
-                rows = np.flatnonzero(n > start)
-                running = np.zeros(len(rows), np.uint64)
-                for length in range(1, min(self.longest, width - start) + 1):
-                    keep = n[rows] >= start + length
-                    if not keep.all():
-                        rows, running = rows[keep], running[keep]
-                    if not len(rows):
-                        break
-                    running = running * _BASE + mixed[rows, start + length - 1]
-                    found = self._lookup(mix64(running, length))
-                    score = np.where(found >= 0, self._score_of[found], self.unknown_score if length == 1 else -np.inf) + best[rows, start]
-                    better = score > best[rows, start + length]
-                    at = rows[better]
-                    best[at, start + length], back[at, start + length] = score[better], start
-                    piece[at, start + length] = np.where(found[better] >= 0, self._ids_of[found[better]], -1)
-        out = []
-        for i, (s, end) in enumerate(zip(segments, n.tolist(), strict=True)):
-            path, b, p = [], back[i].tolist(), piece[i].tolist()
-            while end:
-                path.append([p[end]] if p[end] >= 0 else self._spelled(s[b[end] : end]))
-                end = b[end]
-            out.append([x for part in reversed(path) for x in part])
-        return out
-
     # Texts -------------------------------------------------------------------------------------------------------
 
     def splitter(self) -> re.Pattern:
@@ -228,15 +175,16 @@ class PieceModel:
     def _encode(self, parts: list[str], owners: list[int], out: list[list[bytes]]) -> None:
         split = [self._find(p) for p in parts]
         known = self.known
-        fresh = sorted({s for segments in split for s in segments if s not in known}, key=len)
-        ids = {s: np.array([i for found, _ in self.stream(s) for i in found], "<u4").tobytes() for s in fresh if len(s) > _COLUMN_CHARS}
-        short = fresh[: len(fresh) - len(ids)]
-        for at in range(0, len(short), 20_000):
-            for s, found in zip(short[at : at + 20_000], self._column_pass(short[at : at + 20_000]), strict=True):
-                known[s] = found = b"".join([i.to_bytes(4, "little") for i in found])
+        long: dict[str, bytes] = {}
+        for s in {s for segments in split for s in segments if s not in known}:
+            found = b"".join([i.to_bytes(4, "little") for ids, _ in self.stream(s) for i in ids])
+            if len(s) > _REMEMBERED_CHARS:
+                long[s] = found
+            else:
+                known[s] = found
                 self.held += _ENTRY + len(found)
         for i, segments in zip(owners, split, strict=True):
-            out[i].append(b"".join([ids[s] if s in ids else known[s] for s in segments] if ids else [known[s] for s in segments]))
+            out[i].append(b"".join([long[s] if s in long else known[s] for s in segments] if long else [known[s] for s in segments]))
         if self.held > _REMEMBERED:
             kept = list(known.items())[len(known) // 2 :]
             self.known = dict(kept)
