@@ -37,6 +37,7 @@ _REMEMBERED, _ENTRY, _LONGEST = 96 << 20, 200, 64
 #: Bytes of text that are split into words at once.
 _SLICE = 1 << 20
 _SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_tokens bigint, padded_to bigint, task int, tier int, nth bigint"
+_UP_TO_027F = bytes(b for b in range(256) if b < 0xCA)
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _encoders: dict[str, WordEncoder] = {}
 
@@ -56,7 +57,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Ids of words: those met of late, and those met before that; what is met again moves from one to the other.
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
         self.held = 0
         self.mark = self.tokenizer.encode(self._MARK, add_special_tokens=False).ids
         self.letters, self.letter_mark = self._letters_only()
@@ -91,7 +94,7 @@ class WordEncoder:
         return [x[0] if len(x) == 1 else b"".join(x) for x in out]
 
     def _encode(self, slices: list[bytes], owners: list[int], out: list[list[bytes]]) -> None:
-        split = [t.split() for t in slices]
+        split = [(t.lower() if _lowers_alike(t) else t).split() for t in slices]
         every = [w for words in split for w in words]
         found = list(map(self.known.get, every))
         missed = [i for i, x in enumerate(found) if x is None]
@@ -99,39 +102,44 @@ class WordEncoder:
             fresh = self._ids_of({every[i] for i in missed})
             for i in missed:
                 found[i] = fresh[every[i]]
-            self._remember(fresh)
         at = 0
         for i, words in zip(owners, split, strict=True):
             out[i].append(b"".join(found[at : at + len(words)]))
             at += len(words)
+        if self.held > _REMEMBERED // 2:
+            self.before, self.known, self.held = self.known, {}, 0
 
     def _ids_of(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words and of their cores, none of the words known."""
-        parts = {w: _core(w) for w in words}
-        ids = {b"": b""}
-        for x in {x for pair in parts.values() for x in pair if x}:
-            if (old := self.known.get(x)) is not None:
+        """Ids of words that aren't in `known`, and of their cores; puts them there."""
+        ids, parts, cores = {}, [], set()
+        for w in words:
+            if (old := self.before.get(w)) is not None:
+                ids[w] = old
+            else:
+                parts.append((w, *(pair := _core(w))))
+                cores.update(pair)
+        cores.discard(b"")
+        plain, other = [], []
+        for x in cores:
+            old = self.known.get(x)
+            if old is None:
+                old = self.before.get(x)
+            if old is not None:
                 ids[x] = old
-        todo = [x for x in {x for pair in parts.values() for x in pair} if x not in ids]
-        plain = [x for x in todo if x.isalpha() and x.isascii()]
-        other = [x for x in todo if not (x.isalpha() and x.isascii())]
+            else:
+                (plain if x.isalpha() else other).append(x)
         for tokenizer, mark, each in ((self.letters, self.letter_mark, plain), (self.tokenizer, self._MARK, other)):
             for at in range(0, len(each), 50_000):
                 ids.update(zip(each[at : at + 50_000], self._tokenise(tokenizer, mark, each[at : at + 50_000]), strict=True))
-        ids.update({w: ids[core] + ids[tail] for w, (core, tail) in parts.items()})
+        for w, core, tail in parts:
+            if w != core:
+                ids[w] = ids[core] + ids[tail] if tail else ids[core]
+        kept = ids if max(map(len, ids)) <= _LONGEST else {w: x for w, x in ids.items() if len(w) <= _LONGEST}
+        before = len(self.known)
+        self.known |= kept
+        self.held += (len(self.known) - before) * _ENTRY + sum(map(len, kept)) + sum(map(len, kept.values()))
         return ids
 
-    def _remember(self, fresh: dict[bytes, bytes]) -> None:
-        """Adds words up to the bound; beyond it the older half goes."""
-        for w, ids in fresh.items():
-            if 0 < len(w) <= _LONGEST and w not in self.known:
-                self.known[w] = ids
-                self.held += _ENTRY + len(w) + len(ids)
-        if self.held > _REMEMBERED:
-            kept = list(self.known.items())[len(self.known) // 2 :]
-            self.known = dict(kept)
-            self.held = sum(_ENTRY + len(w) + len(ids) for w, ids in kept)
-
     def _tokenise(self, tokenizer, mark: str, words: list[bytes]) -> list[bytes]:
         texts = [w.decode() for w in words]
         alone = len(self.mark) != 1 or any(self._MARK in t for t in texts)
@@ -160,9 +168,15 @@ def _slices(text: bytes) -> Iterator[bytes]:
 def _core(word: bytes) -> tuple[bytes, bytes]:
     """The word in lower case up to its last punctuation, and that; the whole word and nothing where case or the cut could matter."""
     core = word.rstrip(b".,;:!?")
-    if not core or not word.isascii() or b"<|" in word or not core[-1:].isalpha():
+    if b"<|" in word or not core[-1:].isalpha():
         return word, b""
-    return core.lower(), word[len(core) :]
+    return core.lower() if word.isascii() else core, word[len(core) :]
+
+
+def _lowers_alike(text: bytes) -> bool:
+    """Whether the tokenizer reads the text and the text with A-Z in lower case alike: no character up to U+027F joins with
+    another one when texts are composed, and marks of special tokens have a case."""
+    return b"<|" not in text and not text.translate(None, _UP_TO_027F)
 
 
 def encoder(path: str) -> WordEncoder:

@@ -7,8 +7,9 @@ characters. Whenever all paths that survive in the window go through one boundar
 and dropped, and scores start from 0 there, so memory doesn't grow with the text.
 
 Where two neighbouring characters occur side by side in no piece, every path has a boundary between them. Those
-boundaries are known before the pass: texts are cut there, each segment goes through the same pass, and the ids that it
-commits are remembered, so that a segment that comes again isn't passed again.
+boundaries are known before the pass: texts are cut there into words, and a new word once more before its last punctuation
+where that is such a boundary. Each segment goes through the same pass, and the ids that it commits are remembered, so
+that a segment that comes again isn't passed again.
 
 A character that no piece covers becomes its UTF-8 bytes' pieces if the model has them, else the unknown piece; it
 scores 10 less than the least piece. Decoding joins the pieces and bytes and undoes the escape, and gives back the
@@ -21,6 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ _REMEMBERED_CHARS = 48
 _REMEMBERED, _ENTRY, _SLICE = 144 << 20, 260, 1 << 20
 _UNKNOWN_PENALTY = 10.0
 _NEVER = float("-inf")
-_NO_PIECE = (_NEVER, -1)
+_NO_PIECE = (_NEVER, -1, 0)
 _models: dict[str, PieceModel] = {}
 
 
@@ -61,9 +63,12 @@ class PieceModel:
         self._follow: dict[str, set[str]] = {}
         for a, b in joined:
             self._follow.setdefault(a, set()).add(b)
-        # Every beginning of a piece, with its score and id if it is one itself: a look-up that fails ends the search.
-        self.steps = {p[:i]: _NO_PIECE for p in self.ids for i in range(1, len(p))} | {p: (self.scores[i], i) for p, i in self.ids.items()}
+        # Every beginning of a piece, with its score, id and length if it is one itself: a look-up that fails ends the search.
+        self.steps = {p[:i]: _NO_PIECE for p in self.ids for i in range(1, len(p))} | {p: (self.scores[i], i, len(p)) for p, i in self.ids.items()}
+        self.coded = [i.to_bytes(4, "little") for i in every]
+        # Ids of segments: those met of late, and those met before that; what is met again moves from one to the other.
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.held = 0
 
     # Streamed pass -----------------------------------------------------------------------------------------------
@@ -71,62 +76,61 @@ class PieceModel:
     def stream(self, chars: str):
         """Yields (ids, characters committed) as paths converge. A position that no piece goes over is a boundary of
         all paths at once; beyond `longest` open positions the surviving paths are followed back to where they meet."""
-        n, base, steps, longest, uncovered = len(chars), 0, self.steps, self.longest, (self.unknown_score, -1)
-        best, back, ids = [0.0], [0], [-1]  # by position from the last boundary: score; start and id of the last piece
+        n, base, step, longest, uncovered = len(chars), 0, self.steps.get, self.longest, (self.unknown_score, -1, 1)
+        best, last = [0.0], [uncovered]  # by position from the last boundary: score; score, id and length of the last piece
         for start in range(n):
             here = start - base
             so_far, size, end, at = best[here], len(best), start + 1, here + 1
-            value = steps.get(chars[start], _NO_PIECE)
+            value = step(chars[start], _NO_PIECE)
             if value is _NO_PIECE:
                 value = uncovered
-            while True:
+            while value is not None:
                 if value is not _NO_PIECE:
                     score = so_far + value[0]
-                    while at >= size:
-                        best.append(_NEVER)
-                        back.append(0)
-                        ids.append(-1)
+                    if at >= size:
+                        while at > size:
+                            best.append(_NEVER)
+                            last.append(_NO_PIECE)
+                            size += 1
+                        best.append(score)
+                        last.append(value)
                         size += 1
-                    if score > best[at]:
-                        best[at], back[at], ids[at] = score, here, value[1]
+                    elif score > best[at]:
+                        best[at], last[at] = score, value
                 if end == n:
                     break
                 end += 1
                 at += 1
-                value = steps.get(chars[start:end])
-                if value is None:
-                    break
+                value = step(chars[start:end])
             if size == here + 2:
-                meet = here + 1
+                yield self._ids(chars, base, here + 1, last), here + 1
+                best, last, base = [0.0], [uncovered], start + 1
             elif here >= longest:
                 # Which positions can a later piece still start at? Those after `start` that are reached.
-                meet = self._meeting({e for e in range(here + 1, size) if best[e] > _NEVER}, back)
-            else:
-                continue
-            if meet > 0:
-                yield self._ids(chars, base, meet, back, ids), meet
-                best, back, ids = [x - best[meet] for x in best[meet:]], [0, *(s - meet for s in back[meet + 1 :])], [-1, *ids[meet + 1 :]]
-                base += meet
+                meet = self._meeting({e for e in range(here + 1, size) if best[e] > _NEVER}, last)
+                if meet > 0:
+                    yield self._ids(chars, base, meet, last), meet
+                    best, last, base = [x - best[meet] for x in best[meet:]], last[meet:], base + meet
 
     @staticmethod
-    def _meeting(live: set[int], back: list[int]) -> int:
+    def _meeting(live: set[int], last: list[tuple]) -> int:
         """The last position through which the paths to all live positions go."""
         open_ = set(live)
         while len(open_) > 1:
             far = max(open_)
             open_.discard(far)
-            open_.add(back[far])
-        return open_.pop() if open_ else 0
+            open_.add(far - last[far][2])
+        return open_.pop()
 
-    def _ids(self, chars: str, base: int, end: int, back: list[int], ids: list[int]) -> list[int]:
+    def _ids(self, chars: str, base: int, end: int, last: list[tuple]) -> list[int]:
         out: list[int] = []
         while end > 0:
-            start = back[end]
-            if ids[end] >= 0:
-                out.append(ids[end])
+            _, found, length = last[end]
+            if found >= 0:
+                out.append(found)
             else:
-                out += reversed(self._spelled(chars[base + start : base + end]))
-            end = start
+                out += reversed(self._spelled(chars[base + end - 1]))
+            end -= length
         out.reverse()
         return out
 
@@ -174,21 +178,47 @@ class PieceModel:
 
     def _encode(self, parts: list[str], owners: list[int], out: list[list[bytes]]) -> None:
         split = [self._find(p) for p in parts]
-        known = self.known
-        long: dict[str, bytes] = {}
-        for s in {s for segments in split for s in segments if s not in known}:
-            found = b"".join([i.to_bytes(4, "little") for ids, _ in self.stream(s) for i in ids])
-            if len(s) > _REMEMBERED_CHARS:
-                long[s] = found
-            else:
-                known[s] = found
-                self.held += _ENTRY + len(found)
+        every = [s for segments in split for s in segments]
+        found = list(map(self.known.get, every))
+        missed = [i for i, x in enumerate(found) if x is None]
+        fresh = {s: self._fresh(s) for s in {every[i] for i in missed}}
+        for i in missed:
+            found[i] = fresh[every[i]]
+        at = 0
         for i, segments in zip(owners, split, strict=True):
-            out[i].append(b"".join([long[s] if s in long else known[s] for s in segments] if long else [known[s] for s in segments]))
-        if self.held > _REMEMBERED:
-            kept = list(known.items())[len(known) // 2 :]
-            self.known = dict(kept)
-            self.held = sum(_ENTRY + len(x) for _, x in kept)
+            out[i].append(b"".join(found[at : at + len(segments)]))
+            at += len(segments)
+        if self.held > _REMEMBERED // 2:
+            self.before, self.known, self.held = self.known, {}, 0
+
+    def _fresh(self, segment: str) -> bytes:
+        """Ids of a segment, from its part before the last punctuation and that, where every path has a boundary there."""
+        found = self.known.get(segment) or self.before.get(segment)
+        if found is None:
+            head = segment.rstrip(punctuation)
+            if 0 < len(head) < len(segment) and segment[len(head)] not in self._follow.get(head[-1], ()):
+                found = self._remembered(head) + self._remembered(segment[len(head) :])
+            else:
+                found = self._streamed(segment)
+        self._remember(segment, found)
+        return found
+
+    def _remembered(self, segment: str) -> bytes:
+        found = self.known.get(segment)
+        if found is None:
+            found = self.before.get(segment)
+            if found is None:
+                found = self._streamed(segment)
+            self._remember(segment, found)
+        return found
+
+    def _remember(self, segment: str, ids: bytes) -> None:
+        if len(segment) <= _REMEMBERED_CHARS and segment not in self.known:
+            self.known[segment] = ids
+            self.held += _ENTRY + len(ids)
+
+    def _streamed(self, segment: str) -> bytes:
+        return b"".join([self.coded[i] for ids, _ in self.stream(segment) for i in ids])
 
     @property
     def _find(self) -> Callable[[str], list[str]]:
