@@ -33,7 +33,7 @@ TIERS = (512, 1024, 2048, 4096)
 #: Tokens of a step group; pieces that may wait in a tier before they are packed by themselves.
 STEP_TOKENS, WAITING = 65_536, 512
 #: Bytes of words and ids that a worker remembers, its objects' own bytes included, and the longest word; only speed depends on them.
-_REMEMBERED, _ENTRY, _LONGEST = 96 << 20, 200, 64
+_REMEMBERED, _ENTRY, _LONGEST = 192 << 20, 200, 64
 #: Bytes of text that are split into words at once.
 _SLICE = 1 << 20
 _SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, sequence_tokens bigint, padded_to bigint, task int, tier int, nth bigint"
@@ -111,33 +111,40 @@ class WordEncoder:
 
     def _ids_of(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of words that aren't in `known`, and of their cores; puts them there."""
-        ids, parts, cores = {}, [], set()
+        ids, parts, cores, fresh = {}, [], set(), []
+        before = self.before.get
         for w in words:
-            if (old := self.before.get(w)) is not None:
+            if (old := before(w)) is not None:
                 ids[w] = old
             else:
-                parts.append((w, *(pair := _core(w))))
-                cores.update(pair)
-        cores.discard(b"")
-        plain, other = [], []
+                core, tail = _core(w)
+                if core == w:
+                    fresh.append(w)
+                else:
+                    parts.append((w, core, tail))
+                    cores.add(core)
+                    cores.add(tail)
+        cores.difference_update(fresh, ids, (b"",))
         for x in cores:
             old = self.known.get(x)
             if old is None:
-                old = self.before.get(x)
+                old = before(x)
             if old is not None:
                 ids[x] = old
             else:
-                (plain if x.isalpha() else other).append(x)
+                fresh.append(x)
+        plain, other = [], []
+        for x in fresh:
+            (plain if x.isalpha() else other).append(x)
         for tokenizer, mark, each in ((self.letters, self.letter_mark, plain), (self.tokenizer, self._MARK, other)):
             for at in range(0, len(each), 50_000):
                 ids.update(zip(each[at : at + 50_000], self._tokenise(tokenizer, mark, each[at : at + 50_000]), strict=True))
         for w, core, tail in parts:
-            if w != core:
-                ids[w] = ids[core] + ids[tail] if tail else ids[core]
+            ids[w] = ids[core] + ids[tail] if tail else ids[core]
         kept = ids if max(map(len, ids)) <= _LONGEST else {w: x for w, x in ids.items() if len(w) <= _LONGEST}
-        before = len(self.known)
+        known = len(self.known)
         self.known |= kept
-        self.held += (len(self.known) - before) * _ENTRY + sum(map(len, kept)) + sum(map(len, kept.values()))
+        self.held += (len(self.known) - known) * _ENTRY + sum(map(len, kept)) + sum(map(len, kept.values()))
         return ids
 
     def _tokenise(self, tokenizer, mark: str, words: list[bytes]) -> list[bytes]:
@@ -166,7 +173,8 @@ def _slices(text: bytes) -> Iterator[bytes]:
 
 
 def _core(word: bytes) -> tuple[bytes, bytes]:
-    """The word in lower case up to its last punctuation, and that; the whole word and nothing where case or the cut could matter."""
+    """The word up to its last punctuation, in lower case if it is ASCII, and that punctuation; the whole word and nothing where
+    the cut could matter."""
     core = word.rstrip(b".,;:!?")
     if b"<|" in word or not core[-1:].isalpha():
         return word, b""

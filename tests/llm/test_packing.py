@@ -91,3 +91,24 @@ def test_step_groups_are_full_over_the_whole_table(spark):
     for mine in tiers.values():
         sizes = [n for _, n in sorted(mine)]
         assert all(n == 8192 for n in sizes[:-1]) and sizes[-1] <= 8192
+
+
+def test_words_that_case_or_a_mark_could_change():
+    import random
+
+    encoder, r = P.WordEncoder(PATH), random.Random(5)
+    parts = ["Hello", "H\u0331", "h\u0331", "I\u0307", "\u0130", "\u00c9COLE", "Stra\u00dfe", "A\u03a3", "\u03a3", "K\u212a", "it's", "IT'S", "x", "9", ".", ",", "!", ";", "$", "<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>", "\u00a0", "\u0301", " ", "\n", "\x01"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(3000)]
+    for again in range(2):
+        for text, ids in zip(texts, encoder.encode([t.encode() for t in texts]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, (again, text)
+
+
+def test_words_move_between_generations(monkeypatch):
+    encoder = P.WordEncoder(PATH)
+    texts = [f"common word{i}, and other{i}. Words".encode() for i in range(300)]
+    want = [x for t in texts for x in encoder.encode([t])]
+    monkeypatch.setattr(P, "_REMEMBERED", 4_000)
+    small = P.WordEncoder(PATH)
+    assert [x for t in texts for x in small.encode([t])] == want
+    assert small.held <= 2_000 and len(small.known) + len(small.before) < 30
