@@ -35,7 +35,7 @@ SPACE = "▁"
 #: Longer segments are not remembered.
 _REMEMBERED_CHARS = 48
 #: Bytes of segments and ids that a worker remembers, its objects' own bytes included; characters cut at once. Only speed depends on them.
-_REMEMBERED, _ENTRY, _SLICE = 144 << 20, 260, 1 << 20
+_REMEMBERED, _ENTRY, _SLICE = 240 << 20, 260, 1 << 20
 _UNKNOWN_PENALTY = 10.0
 _NEVER = float("-inf")
 _NO_PIECE = (_NEVER, -1, 0)
