@@ -36,7 +36,7 @@ def get_or_put_all(requests: DataFrame, entries: DataFrame, compute: Callable[[C
     if exact:
         known = lookup.exact_hits(asked, entries).join(entries.select("entry_id", F.col("response").alias("_found")), "entry_id").select("query_id", "_found", F.lit(EXACT).alias("how"))
         asked = asked.join(known.select("query_id"), "query_id", "left_anti")
-    decided = lookup.decide(asked, entries, **options).select("query_id", F.col("response").alias("_found"), F.when(F.col("is_hit"), HIT).otherwise(COMPUTED).alias("how"))
+    decided = lookup.decide(asked, entries, hits_only=True, **options).select("query_id", F.col("response").alias("_found"), F.when(F.col("is_hit"), HIT).otherwise(COMPUTED).alias("how"))
     every = decided.unionByName(degraded)
     rows = requests.join(every if known is None else every.unionByName(known), "query_id")
     todo = rows.where(F.col("how").isin(COMPUTED, DEGRADED)).select("scope", "prompt").distinct()

@@ -144,3 +144,14 @@ def test_published_counts(spark, caught, kept, strict_caught, strict_kept):
     assert ((got.caught, got.near_misses), (got.kept, got.paraphrases)) == (caught, kept)
     strict = score.corpus_score(score.rejected(pairs, guards.strict())).first()
     assert (strict.caught, strict.kept) == (strict_caught, strict_kept)
+
+
+def test_texts_that_no_rule_asks_for_are_not_read(requests, entries):
+    """Without rules no prompt is taken apart, and of a miss nothing is told."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    answers = cache.get_or_put_all(requests, entries, F.upper, guards=[], threshold=0.95, dim=2)
+    assert "regexp_extract_all" not in plan(answers)
+    assert "regexp_extract_all" in plan(cache.get_or_put_all(requests, entries, F.upper, guards=[guards.numeric()], threshold=0.95, dim=2))
+    asked = requests.where("embedding IS NOT NULL")
+    full, short = ({r.query_id: (r.is_hit, r.entry_id, r.response) for r in lookup.decide(asked, entries, [], threshold=0.95, dim=2, hits_only=h).collect()} for h in (False, True))
+    assert full == short and full[10] == (True, 1, "ten minutes") and not full[11][0]
