@@ -70,3 +70,29 @@ def test_no_row_is_made_of_each_pair(spark):
     of = lambda name: spark.createDataFrame([(i, "s", v) for i, v in enumerate(r.normal(size=(3000, 4)).tolist())], f"{name} bigint, scope string, embedding array<float>")
     near = search.nearest(of("query_id"), of("entry_id"), 5, dim=4)
     assert "Join" not in near._jdf.queryExecution().executedPlan().toString() and near.count() == 15_000
+
+
+def one_by_one(v, similarity, weight):
+    """Marginal relevance of one query's candidates, step by step."""
+    order, left = [0], list(range(1, len(v)))
+    while left:
+        score = [weight * similarity[i] - (1 - weight) * max(float((v[i] * v[j]).sum()) for j in order) for i in left]
+        order.append(left.pop(score.index(max(score))))
+    return order
+
+
+def test_diverse_orders_many_queries_at_once(spark):
+    """Queries of one to seven candidates, copies among them, shuffled: one list a query, no group of rows in Python."""
+    r = np.random.default_rng(2)
+    rows, want = [], {}
+    for q in range(200):
+        n = q % 7 + 1
+        v = r.integers(-2, 3, (n, 4)).astype(float)
+        similarity = sorted(r.integers(0, 64, n) / 64, reverse=True)
+        order = one_by_one(v, similarity, 0.75) if n > 2 else range(n)
+        want |= {(q, 10 * q + i): (similarity[i], i + 1, place + 1) for place, i in enumerate(order)}
+        rows += [(q, 10 * q + i, float(similarity[i]), i + 1, v[i].tolist()) for i in range(n)]
+    df = spark.createDataFrame([rows[i] for i in r.permutation(len(rows))], "query_id bigint, entry_id bigint, similarity double, rank int, embedding array<float>")
+    placed = search.rerank_diverse(df, 0.75)
+    assert "FlatMapGroups" not in placed._jdf.queryExecution().optimizedPlan().toString()
+    assert {(x.query_id, x.entry_id): (x.similarity, x["rank"], x.place) for x in placed.collect()} == want
